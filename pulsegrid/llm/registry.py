@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing
+from . import bpe, chat_format, exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
     "op9_mixing": mixing.op9_mixing,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
