@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, materialise, table
 
 HEAD = 48
 SALTS = 256
@@ -47,7 +47,7 @@ def duplicate_groups(
     keyed = _keys(docs, text_col, id_col, normalise, salts)
     by = ["head", "code", "salt", "norm"]
     run = Window.partitionBy(*by)
-    first = (
+    first = materialise(
         keyed.select("id", "sha", "salt", "norm", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("code"))
         .repartitionByRange("head", "code", "salt")
         .withColumn("nth", F.row_number().over(run.orderBy(best)))
