@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, mixing, simhash, toxicity
+from . import bpe, chat_format, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
