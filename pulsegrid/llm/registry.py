@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity
+from . import bpe, chat_format, exact_dedup, license_scan, mixing, pii, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
