@@ -1 +1 @@
-
+"""Scalar and aggregate expressions."""

@@ -1 +1 @@
-
+"""Readers, writers and the catalogue of batches."""

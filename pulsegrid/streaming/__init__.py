@@ -1 +1 @@
-
+"""Structured Streaming versions of the causal operators."""
