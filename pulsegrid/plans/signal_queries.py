@@ -112,14 +112,14 @@ sig AS (SELECT unit, file_seq, w, x AS v, count(*) OVER (PARTITION BY unit, file
 
 
 def s26_waveforms(spark, sf_dir):
-    """Picked windows as arrays of floats; gaps keep their places."""
-    rows = views.samples(spark, sf_dir).where("row_index % 1024 < 32").withColumn("w", F.floor(F.col("row_index") / 1024).cast("long"))
+    """Windows of 64 rows as arrays of floats; gaps keep their places."""
+    rows = views.samples(spark, sf_dir).withColumn("w", F.floor(F.col("row_index") / SIZE).cast("long"))
     arrays = spectral.gather(rows, ["unit", "w"], "row_index", "x", "xs", "float").join(spectral.gather(rows, ["unit", "w"], "row_index", "y", "ys", "float"), ["unit", "w"])
     return arrays.select("unit", "w", F.size("xs").alias("n"), F.array_join(F.transform("ys", lambda v: v.cast("int").cast("string")), ",", "-").alias("ys"), F.size(F.filter("xs", lambda v: v.isNull())).alias("gaps"))
 
 
-S26 = f"""{with_views("samples")} SELECT unit, row_index // 1024 AS w, CAST(count(*) AS INT) AS n, string_agg(coalesce(CAST(CAST(y AS INT) AS VARCHAR), '-'), ',' ORDER BY row_index) AS ys, CAST(count(*) - count(x) AS INT) AS gaps
-FROM samples WHERE row_index % 1024 < 32 GROUP BY unit, row_index // 1024"""
+S26 = f"""{with_views("samples")} SELECT unit, row_index // {SIZE} AS w, CAST(count(*) AS INT) AS n, string_agg(coalesce(CAST(CAST(y AS INT) AS VARCHAR), '-'), ',' ORDER BY row_index) AS ys, CAST(count(*) - count(x) AS INT) AS gaps
+FROM samples GROUP BY unit, row_index // {SIZE}"""
 
 
 def s32_dropout_profile(spark, sf_dir):

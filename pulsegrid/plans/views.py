@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 FILE_ROWS, SIZE, OVERLAP, RATE = 512, 64, 0.5, 64.0
 STEP = 32
 DAY0 = -2208988800  # 1900-01-01 in seconds
-STUDY_UNITS = 10
+#: Groups of machines that are left out in turn.
+GROUPS = 6
 #: Added before rounding, so that sums whose last bits differ don't fall on both sides of a tie.
 NUDGE = 1.7e-6
 
@@ -42,10 +43,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def acq(spark: SparkSession, sf_dir: str, study: bool = False) -> DataFrame:
-    """``study`` keeps the ten units whose folds are multiplied out."""
+def acq(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    li = li.where(F.col("l_suppkey") <= STUDY_UNITS) if study else li
     unit = Window.partitionBy("l_suppkey")
     seq = F.row_number().over(unit.orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
     rows = li.withColumn("sequence_index", seq.cast("int")).withColumn("n", F.count(F.lit(1)).over(unit))
@@ -58,7 +57,7 @@ def acq(spark: SparkSession, sf_dir: str, study: bool = False) -> DataFrame:
     return rows.select(
         F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("bearing_run_id"),
         F.concat(F.lit("Bearing"), (1 + group % 3).cast("string"), F.lit("_"), group.cast("string")).alias("label"),
-        role.alias("role"), "sequence_index", F.timestamp_seconds(F.lit(DAY0) + 10 * F.col("sequence_index")).alias("event_timestamp"),
+        F.concat(F.lit("g"), (group % GROUPS).cast("string")).alias("grp"), role.alias("role"), "sequence_index", F.timestamp_seconds(F.lit(DAY0) + 10 * F.col("sequence_index")).alias("event_timestamp"),
         F.when(role == "learning", 10.0 * (F.col("n") - 1 - F.col("sequence_index"))).alias("rul_seconds"),
         (q * f).alias("vibration_x_rms"), (p * f / 1000).alias("vibration_y_rms"), ((q + 100 * t) * f).alias("vibration_x_peak_to_peak"), ((p / 1000 + 100 * d) * f).alias("vibration_y_peak_to_peak"),
         (100 * d * f).alias("vibration_x_kurtosis"), (100 * t * f).alias("vibration_y_kurtosis"), ((1 + d) * f).alias("vibration_x_crest_factor"),
@@ -91,11 +90,11 @@ SQL = {
     "acq": f"""acq_o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS sequence_index, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
       acq_f AS (SELECT *, 1 + 3 * power(greatest(0.0::DOUBLE, (sequence_index::DOUBLE / greatest(n - 1, 1) - 0.6::DOUBLE) / 0.4::DOUBLE), 2) AS f, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t,
         CASE WHEN l_suppkey % 5 < 3 THEN 'learning' WHEN l_suppkey % 5 = 3 THEN 'test_censored' ELSE 'full_test' END AS role FROM acq_o),
-      acq AS (SELECT 'u' || l_suppkey AS bearing_run_id, l_suppkey, 'Bearing' || (1 + (l_suppkey // 5) % 3) || '_' || (l_suppkey // 5) AS label, role, sequence_index, 10.0::DOUBLE * sequence_index AS ts,
+      acq AS (SELECT 'u' || l_suppkey AS bearing_run_id, l_suppkey, 'Bearing' || (1 + (l_suppkey // 5) % 3) || '_' || (l_suppkey // 5) AS label, 'g' || (l_suppkey // 5) % {GROUPS} AS grp, role, sequence_index, 10.0::DOUBLE * sequence_index AS ts,
         CASE WHEN role = 'learning' THEN 10.0::DOUBLE * (n - 1 - sequence_index) END AS rul_seconds, n,
         q * f AS vibration_x_rms, p * f / 1000 AS vibration_y_rms, (q + 100 * t) * f AS vibration_x_peak_to_peak, (p / 1000 + 100 * d) * f AS vibration_y_peak_to_peak,
         100 * d * f AS vibration_x_kurtosis, 100 * t * f AS vibration_y_kurtosis, (1 + d) * f AS vibration_x_crest_factor, CASE WHEN sequence_index % 53 <> 7 THEN (1 + t) * f END AS vibration_y_crest_factor FROM acq_f)""",
-    "study": f"study AS (SELECT * FROM acq WHERE l_suppkey <= {STUDY_UNITS} AND role = 'learning')",
+    "learn": "learn AS (SELECT * FROM acq WHERE role = 'learning')",
     "batches": """batches AS (SELECT o_orderkey AS batch_id, c_mktsegment AS dataset_id, o_orderstatus AS role, CAST(epoch(o_orderdate) AS BIGINT) AS created_at FROM orders JOIN customer ON o_custkey = c_custkey)""",
     "paths": r"""paths AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'C:\data\' || replace(url, '/', '\') ELSE '/srv/data/' || url END AS path FROM pages)""",
 }
@@ -103,7 +102,7 @@ SQL = {
 
 def with_views(*names: str) -> str:
     """A WITH clause of the named views and those they need."""
-    needs = {"win": ["samples"], "study": ["acq"]}
+    needs = {"win": ["samples"], "learn": ["acq"]}
     order: list[str] = []
     for n in names:
         for m in [*needs.get(n, []), n]:
