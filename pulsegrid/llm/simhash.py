@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialise, table
+from .common import lower_ascii, materialise, table
 from .components import connected_components
 
 RADIUS = 2
@@ -211,14 +211,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest id.
+def _shingle_codes(text: Column, shingle: int) -> Column:
+    """Hashes of the distinct word shingles of a text; of fewer words, of all of them; none of none."""
+    words = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-    All columns stay. Rows without an id stay where no row of their group has one.
+    def codes(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)]))
+        return F.when(n >= shingle, F.array_distinct(runs)).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+
+    return F.transform(F.array(words), codes)[0]
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the near-duplicates of the row with the smallest id of their group.
+
+    A row goes if its fingerprint links it to the group and it shares at least ``similarity``
+    (Jaccard) of its word shingles with that row, two texts without words sharing all. All
+    columns stay. Rows without an id stay where no row of their group has one.
     """
     found = near_duplicates(docs, id_col, text_col, radius=radius)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__keep_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep_id"]), "left_semi")
+    pairs = materialise(found.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "component_id").distinct())
+    codes = _shingle_codes(F.col(text_col), shingle)
+    kept = pairs.select(F.col("component_id").alias("__kept")).distinct()
+    ours = docs.join(pairs.withColumnsRenamed({"id": "__bad", "component_id": "__kept"}), docs[id_col].eqNullSafe(F.col("__bad"))).select(F.col("__bad"), "__kept", codes.alias("__a"))
+    theirs = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").select(F.col(id_col).alias("__kept"), codes.alias("__b"))
+    shared, all_ = F.size(F.array_intersect("__a", "__b")), F.size(F.array_union("__a", "__b"))
+    bad = ours.join(theirs, "__kept").where(shared >= F.lit(similarity) * all_).select(F.col("__bad").alias("__bad_id")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
