@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_low, corr_or_null, log_compress, logistic, row_mean, safe_divide
+from ..tables import materialise
 from .guards import assert_no_leakage, assert_order
 
 CONTRACT = (
@@ -128,18 +129,30 @@ def anchors(scored: DataFrame, by: str, skip: int = SKIP, n_ref: int = N_REF, eo
     return healthy.join(failure, by)
 
 
-def fit_reference(df: DataFrame, by: str | None = None, features=REFERENCE, check: bool = True) -> DataFrame:
-    """Parameter rows ``fold, s_<feature>..., healthy, failure``.
+def _fit_centred(train: DataFrame, features=REFERENCE, check: bool = True) -> DataFrame:
+    """Parameter rows from centred rows with a ``fold``; scores are worked out once."""
+    scales = materialise(robust_scales(train, "fold", features))
+    scored = materialise(degradation_score(train, scales, "fold", features).select("fold", U, "pos", "n_unit", "score"))
+    params = scales.join(anchors(scored, "fold"), "fold")
+    return assert_order(params, "healthy", "failure") if check else params
+
+
+def fit_reference(df: DataFrame, features=REFERENCE, check: bool = True) -> DataFrame:
+    """One parameter row ``fold, s_<feature>..., healthy, failure`` of the fold ``all``.
 
-    ``by`` names a fold column of ``df``; without it all rows are the fold ``all``. Refuses
-    foreign roles and folds whose units don't end above their healthy score.
+    Refuses foreign roles and units that don't end above their healthy score.
     """
     assert_no_leakage(df)
-    rows = df.withColumn("fold", F.lit("all")) if by is None else df.withColumnRenamed(by, "fold")
-    centred = centred_on_own_reference(rows, features, keys=("fold", U))
-    scales = robust_scales(centred, "fold", features)
-    params = scales.join(anchors(degradation_score(centred, scales, "fold", features), "fold"), "fold")
-    return assert_order(params, "healthy", "failure") if check else params
+    return _fit_centred(materialise(centred_on_own_reference(df, features)).withColumn("fold", F.lit("all")), features, check)
+
+
+def fit_leave_one_out(df: DataFrame, unit: str = U, features=REFERENCE, check: bool = True) -> DataFrame:
+    """A parameter row for each value of ``unit``, fitted on all rows of the others: one plan.
+
+    A unit's own reference doesn't depend on the fold, so rows are centred once.
+    """
+    assert_no_leakage(df)
+    return _fit_centred(leave_one_out(materialise(centred_on_own_reference(df, features)), unit), features, check)
 
 
 def apply_reference(df: DataFrame, params: DataFrame, by: str | None = None, features=REFERENCE, out: str = "hi") -> DataFrame:
@@ -158,7 +171,7 @@ def leave_one_out(df: DataFrame, unit: str = U) -> DataFrame:
 
 def leave_one_out_reference(df: DataFrame, check: bool = True) -> DataFrame:
     """Fit without each unit in turn and apply to it: one plan for all folds."""
-    return apply_reference(df, fit_reference(leave_one_out(df), by="fold", check=check), by=U)
+    return apply_reference(df, fit_leave_one_out(df, check=check), by=U)
 
 
 # Diagnostics

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import asof, guards, health, rul, stages
+from ..tables import materialise
 from . import views
 from .views import r, rounded, with_views
 
@@ -21,12 +22,11 @@ def _learn(spark, sf_dir) -> DataFrame:
 
 def _lobo_hi(spark, sf_dir) -> DataFrame:
     """The reference indicator with each group of machines left out of its own fit."""
-    df = _learn(spark, sf_dir)
-    return health.apply_reference(df, _lobo_params(spark, sf_dir), by="grp")
+    return materialise(health.apply_reference(_learn(spark, sf_dir), _lobo_params(spark, sf_dir), by="grp"))
 
 
 def _lobo_params(spark, sf_dir) -> DataFrame:
-    return health.fit_reference(health.leave_one_out(_learn(spark, sf_dir), "grp"), by="fold", check=False)
+    return health.fit_leave_one_out(_learn(spark, sf_dir), "grp", check=False)
 
 
 def _each(fmt: str, features=REF, sep: str = ", ") -> str:
@@ -191,9 +191,10 @@ hi_name = (SELECT arg_max(hi_name, abs(mean_spearman)) FROM rep WHERE worst_pct_
 def c8_smoothing_sweep(spark, sf_dir):
     """The indicator refitted for several widths, all in one plan over one centred table."""
     df = _learn(spark, sf_dir)
-    centred = health.centred_on_own_reference(df).withColumn("fold", F.lit("all"))
+    centred = materialise(health.centred_on_own_reference(df)).withColumn("fold", F.lit("all"))
     scales = health.robust_scales(centred, "fold")
     fused = centred.join(scales, "fold").withColumn("fused", scalar.row_mean([F.col(f"c_{f}") / F.col(f"s_{f}") for f in REF]))
+    fused = materialise(fused.select("fold", U, SEQ, "pos", "n_unit", "fused"))
     out = None
     for w in WIDTHS:
         score = fused.withColumn("score", F.percentile("fused", F.lit(0.5)).over(health.by_sequence().rowsBetween(-(w - 1), 0)))
@@ -217,14 +218,14 @@ hi AS (SELECT {U}, {SEQ}, 1 / (1 + exp((score - (healthy + failure) / 2) / ((fai
 C8 = _sweep_sql()
 
 
-def _thresholds(spark, sf_dir):
+def _thresholds(hi):
     """Fold g is fitted on the other groups, on the indicator of their own folds."""
-    rows = _lobo_hi(spark, sf_dir).drop("fold")
+    rows = hi.drop("fold")
     return stages.fit_thresholds(health.leave_one_out(rows, "grp"), by="fold", check=False)
 
 
 def a33_stage_thresholds(spark, sf_dir):
-    return rounded(_thresholds(spark, sf_dir))
+    return rounded(_thresholds(_lobo_hi(spark, sf_dir)))
 
 
 _THRESH = f"""tf AS (SELECT hi.*, g.fold FROM hi JOIN (SELECT DISTINCT grp AS fold FROM hi) g ON grp <> fold),
@@ -234,7 +235,8 @@ A33 = f"{_LOBO_HI}, {_THRESH} SELECT fold, {r('hi_warn')} AS hi_warn, {r('hi_cri
 
 
 def _staged(spark, sf_dir):
-    return stages.assign_stages(_lobo_hi(spark, sf_dir).drop("fold"), _thresholds(spark, sf_dir), by="grp")
+    hi = _lobo_hi(spark, sf_dir)
+    return stages.assign_stages(hi.drop("fold"), _thresholds(hi), by="grp")
 
 
 def w14_w15_stages(spark, sf_dir):
