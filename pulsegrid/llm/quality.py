@@ -19,9 +19,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Languages with references of their own; the documents of all others share one.
 LANGUAGES = 255
-COMMON = 32
+COMMON = 16
 #: Common words have at most so many characters.
-SHORT = 4
+SHORT = 3
 #: Texts of fewer words aren't judged by divergence.
 MIN_WORDS = 40
 #: Limits for the two distances; what chance adds shrinks with the square root of the words.
@@ -33,8 +33,9 @@ _CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of words that occurs twice or more in the text."""
     n = F.size(words)
-    codes = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
-    return F.when(n < window, F.lit(0)).otherwise(_covered(codes, window))
+    codes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
+    # A one-element array binds a value to a name, so that it is worked out once.
+    return F.when(n < window, F.lit(0)).otherwise(F.transform(F.array(codes), lambda c: _covered(c, window))[0])
 
 
 def _covered(codes: Column, window: int) -> Column:
@@ -52,7 +53,6 @@ def _covered(codes: Column, window: int) -> Column:
         gaps = F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.array(F.lit(2**31 - 1))), lambda a, b: F.least(b - a, F.lit(window)))
         return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
 
-    # A one-element array binds a value to a name, so that it is worked out once.
     bound = F.transform(F.array(sorted_codes), lambda s: F.transform(F.array(places(s)), count)[0])
     return F.when(F.size(F.array_distinct(codes)) == F.size(codes), F.lit(0)).otherwise(bound[0])
 
@@ -99,7 +99,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def common_words(docs: DataFrame, lang: Column, text_col: str = "text", count: int = COMMON, short: int = SHORT) -> DataFrame:
     """``lang, common``: the most frequent words of at most ``short`` characters, by language."""
-    brief = F.filter(words_of(F.lower(F.coalesce(F.col(text_col), F.lit("")))), lambda w: F.length(w) <= short)
+    brief = F.filter(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.length(w) <= short)
     counts = docs.select(lang.alias("lang"), F.explode(brief).alias("word")).groupBy("lang", "word").count()
     ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("nth") <= count)
     return ranked.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common"))
@@ -116,10 +116,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = [r["lang"] for r in docs.select(F.col(lang_col).alias("lang")).where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     lang = F.when(F.col(lang_col).isin(langs), F.col(lang_col)) if langs else F.lit(None).cast("string")
     top = materialise(common_words(docs, lang, text_col))
-    # At most 256 rows of 32 short words each.
+    # At most 256 rows of 16 short words each.
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("q_lang"))
     counted = base_counts(narrow).join(F.broadcast(top.withColumnRenamed("lang", "t_lang")), F.col("q_lang").eqNullSafe(F.col("t_lang")), "left")
-    known = F.filter(F.transform(F.filter("q_words", lambda w: F.length(w) <= SHORT), lambda w: F.lower(w)), lambda w: F.array_contains(F.col("common"), w))
+    known = F.filter(F.filter("q_words", lambda w: F.length(w) <= SHORT), lambda w: F.array_contains(F.col("common"), w))
     features = materialise(
         counted.withColumn("q_known", known)
         .withColumn("q_lower", F.col("q_letters") - F.col("q_upper"))
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     passed = features.where("NOT base_failed")
     medians = passed.groupBy("q_lang").agg(F.array(*[F.percentile_approx(F.col("classes")[k], 0.5, 10_000) for k in range(len(_CLASSES))]).alias("m"))
     medians = medians.select(F.col("q_lang").alias("m_lang"), F.transform("m", lambda x: x / F.aggregate("m", F.lit(1e-12), lambda a, y: a + y)).alias("class_ref"))
-    pooled = passed.groupBy("q_lang").agg(F.array(*[F.sum(F.col("seen")[k]) for k in range(COMMON)]).alias("s"), F.sum("n_words").alias("n"))
+    pooled = passed.groupBy("q_lang").agg(F.array(*[F.sum(F.get("seen", F.lit(k))) for k in range(COMMON)]).alias("s"), F.sum("n_words").alias("n"))
     pooled = pooled.select(F.col("q_lang").alias("p_lang"), _with_rest(F.filter("s", lambda x: x.isNotNull()), F.col("n")).alias("word_ref"))
     judged = features.join(F.broadcast(medians), F.col("q_lang").eqNullSafe(F.col("m_lang")), "left").join(F.broadcast(pooled), F.col("q_lang").eqNullSafe(F.col("p_lang")), "left")
     judged = judged.withColumn("class_distance", js_distance(F.col("classes"), F.col("class_ref"))).withColumn("word_distance", js_distance(_with_rest(F.col("seen"), F.col("n_words")), F.col("word_ref")))
