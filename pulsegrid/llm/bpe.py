@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ CACHED = 400_000
 CACHED_LENGTH = 80
 #: White space to str.split that isn't white space to the vocabulary's splitter.
 _ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The splitter of the vocabulary, inside a run without white space.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
@@ -53,29 +54,36 @@ class PairTree:
     def __init__(self, ranks: list[int]):
         self.width = 1 << max(0, (len(ranks) - 1).bit_length())
         self.low = [NO_RANK] * self.width + ranks + [NO_RANK] * (self.width - len(ranks))
+        low = self.low
         for k in range(self.width - 1, 0, -1):
-            self.low[k] = min(self.low[2 * k], self.low[2 * k + 1])
+            a, b = low[2 * k], low[2 * k + 1]
+            low[k] = a if a <= b else b
 
     def leftmost(self) -> int:
         """Place of the leftmost lowest rank; -1 if no pair has one."""
         low, k = self.low, 1
         if low[1] == NO_RANK:
             return -1
-        while k < self.width:
+        least, width = low[1], self.width
+        while k < width:
             k *= 2
-            k += low[k] != low[k >> 1]
-        return k - self.width
+            if low[k] != least:
+                k += 1
+        return k - width
 
     def put(self, place: int, rank: int) -> None:
         low, k = self.low, place + self.width
+        if low[k] == rank:
+            return
         low[k] = rank
-        k >>= 1
-        while k:
-            least = min(low[2 * k], low[2 * k + 1])
-            if low[k] == least:
-                break
-            low[k] = least
+        while k > 1:
+            other = low[k ^ 1]
+            if other < rank:
+                rank = other
             k >>= 1
+            if low[k] == rank:
+                return
+            low[k] = rank
 
 
 class WordBPE:
@@ -87,7 +95,8 @@ class WordBPE:
         model = spec["model"]
         vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merged = {(vocab[a], vocab[b]): vocab[a + b] for a, b in pairs}
         letters = byte_letters()
         self.inner, self.last = [vocab[x] for x in letters], [vocab[x + self.end] for x in letters]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -98,35 +107,44 @@ class WordBPE:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        symbols = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        inner = self.inner
+        symbols = [inner[b] for b in word]
+        symbols[-1] = self.last[word[-1]]
         n = len(symbols)
+        if n == 1:
+            return symbols
+        rank, merged = self.ranks.get, self.merged
+        tree = PairTree([rank(p, NO_RANK) for p in zip(symbols, symbols[1:])])
+        low, put, leftmost = tree.low, tree.put, tree.leftmost
+        if low[1] == NO_RANK:
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        look = self.merges.get
-        tree = PairTree([look(p, (NO_RANK,))[0] for p in zip(symbols, symbols[1:])] or [NO_RANK])
-
-        def pair(i: int) -> int:
+        while low[1] != NO_RANK:
+            i = leftmost()
             j = after[i]
-            return look((symbols[i], symbols[j]), (NO_RANK,))[0] if j < n else NO_RANK
-
-        while (i := tree.leftmost()) >= 0:
-            j = after[i]
-            symbols[i] = self.merges[symbols[i], symbols[j]][1]
+            symbols[i] = new = merged[symbols[i], symbols[j]]
             symbols[j] = -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
+            after[i] = k = after[j]
             if j < n - 1:
-                tree.put(j, NO_RANK)
-            tree.put(i, pair(i))
-            if before[i] >= 0:
-                tree.put(before[i], pair(before[i]))
+                put(j, NO_RANK)
+            if k < n:
+                before[k] = i
+                put(i, rank((new, symbols[k]), NO_RANK))
+            else:
+                put(i, NO_RANK)
+            h = before[i]
+            if h >= 0:
+                put(h, rank((symbols[h], new), NO_RANK))
         return [s for s in symbols if s >= 0]
 
     def _plain(self, chunk: str) -> list[int]:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+            parts = _PARTS.findall(chunk.lower())
+        else:
+            parts = [chunk.lower()] if chunk.isalpha() else _PARTS.findall(chunk.lower())
         ids: list[int] = []
-        for part in _PARTS.findall(chunk.lower()):
+        for part in parts:
             known = self._words.get(part)
             if known is None:
                 known = self.merge(part.encode())
@@ -145,7 +163,7 @@ class WordBPE:
             ids = []
             for piece in self._cut.split(chunk):
                 ids += [self.special[piece]] if piece in self.special else self._plain(piece)
-        packed = np.array(ids, dtype="<u4").tobytes()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= CACHED_LENGTH:
             if len(self._chunks) >= CACHED:
                 self._chunks.clear()
