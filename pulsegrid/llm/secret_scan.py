@@ -30,6 +30,8 @@ STATES = len(ALPHABET) + 1
 SAMPLE_DOCS, SAMPLE_STRINGS = 2_000, 20_000
 #: Share of held-out ordinary identifiers that may pass for random.
 FALSE_ALARMS = 0.0005
+#: Weight of single characters in the chance of a pair, in pairs seen.
+BACKOFF = 4.0
 
 
 @dataclass(frozen=True)
@@ -94,11 +96,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
         return MarkovModel((0.0,) * STATES**2, math.inf)
 
     def chance(kind: str) -> list[float]:
-        out = []
-        for a in range(STATES):
-            row = [seen.get((kind, a * STATES + b), 0) + 0.5 for b in range(STATES)]
-            out += [x / sum(row) for x in row]
-        return out
+        """Pair probabilities; a pair seldom seen leans on how frequent its second character is."""
+        pairs = [[seen.get((kind, a * STATES + b), 0) for b in range(STATES)] for a in range(STATES)]
+        single = [sum(row[b] for row in pairs) + 0.5 for b in range(STATES)]
+        back = [x / sum(single) for x in single]
+        return [(n + BACKOFF * p) / (sum(row) + BACKOFF) for row in pairs for n, p in zip(row, back, strict=True)]
 
     ratios = tuple(round(math.log(p / q), 6) for p, q in zip(chance("random"), chance("ordinary"), strict=True))
     held = samples.where("held").select("kind", mean_ratio(F.col("v"), ratios).alias("r"))
