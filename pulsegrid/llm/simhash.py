@@ -7,6 +7,11 @@ side too, as a query only (triangle inequality), so each close pair meets in one
 least. Inside a shard the same splitting goes on in memory until few points are left, which
 are compared in full. Shards report stars rather than pairs: their number stays in
 proportion to the points however dense a group is.
+
+The pipeline's stage has a task of its own, texts that share most of their word shingles,
+which fingerprints a few bits apart can't find. Each set of shingles is put in one common
+order, rare ones first; two sets alike enough share one of the first few (prefix filter).
+Rows meet at these, and pairs whose sizes and places allow it are compared in full.
 """
 
 from __future__ import annotations
@@ -27,8 +32,13 @@ RADIUS = 2
 SAMPLE = 32_768
 SHARD = 8_192
 LEAF = 384
+#: Documents and shingles that put shingles in order of frequency, at most; any order is exact.
+ORDER_DOCS, ORDER_CODES = 8_192, 200_000
+#: Rows of one token that each row is compared with before groups are joined.
+NEIGHBOURS = 16
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+_PRIME = np.uint64(0x9E3779B185EBCA87)
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
 
 
@@ -223,22 +233,144 @@ def _shingle_codes(text: Column, shingle: int) -> Column:
     return F.transform(F.array(words), codes)[0]
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _word_key(text: Column) -> Column:
+    """A hash of the sequence of words; texts that differ in case or white space share it."""
+    return F.xxhash64(F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; of fewer words, of all of them; 0 of none."""
+    words = (text or b"").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        return np.array([digest(b" ".join(words)) if words else 0], dtype=np.uint64).view(np.int64)
+    hashes = np.array([digest(w) for w in words], dtype=np.uint64)
+    n, codes = len(words) - shingle + 1, np.zeros(len(words) - shingle + 1, np.uint64)
+    for k in range(shingle):
+        codes = codes * _PRIME + hashes[k : k + n]
+    return np.unique(codes.view(np.int64))
+
+
+def prefix(codes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest codes of a set: two sets as alike as ``similarity`` share one of these at least.
+
+    All sets are put in one order, by rank and code; codes not in ``common`` have rank 0.
+    """
+    rank = np.zeros(len(codes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+        rank = np.where(common[at] == codes, ranks[at], 0)
+    return codes[np.lexsort((codes, rank))][: len(codes) - int(np.ceil(similarity * len(codes) - 1e-9)) + 1]
+
+
+def _run_pairs(rows: pd.DataFrame, similarity: float, first: int, last: int | None) -> Iterator[pd.DataFrame]:
+    """Pairs of rows of one token that can be alike, ``first`` to ``last`` places apart.
+
+    Rows are sorted by token and size. ``more`` tells that a row has pairs further apart.
+    """
+    rows = rows[~rows.duplicated(["token", "key"])]
+    token, key, size, pos, part = (rows[c].to_numpy(np.int64) for c in ("token", "key", "size", "pos", "part"))
+    left, away, out, held = np.arange(len(rows)), 1, [], 0
+    while True:
+        left = left[left + away < len(rows)]
+        b = left + away
+        left = left[(token[left] == token[b]) & (size[left] >= similarity * size[b] - 1e-9)]
+        if not len(left) or (last is not None and away > last):
+            break
+        if away >= first:
+            b = left + away
+            most = np.minimum(size[left] - pos[left], size[b] - pos[b])
+            good = (most * (1 + similarity) >= similarity * (size[left] + size[b]) - 1e-9) & (part[left] != part[b])
+            out.append(pd.DataFrame({"a": key[left[good]], "b": key[b[good]], "more": False}))
+            held += int(good.sum())
+            if held > 200_000:
+                yield pd.concat(out)
+                out, held = [], 0
+        away += 1
+    if len(left):
+        out.append(pd.DataFrame({"a": key[left[:1]], "b": key[left[:1]], "more": True}))
+    if out:
+        yield pd.concat(out)
+
+
+def _candidates(tokens: DataFrame, similarity: float, first: int, last: int | None) -> DataFrame:
+    """``a, b, more`` for the rows ``token, key, size, pos, part``; rows of one part aren't paired."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch])
+            open_ = (rows["token"] == rows["token"].iloc[-1]).to_numpy()
+            yield from _run_pairs(rows[~open_], similarity, first, last)
+            held = rows[open_]
+        if held is not None:
+            yield from _run_pairs(held, similarity, first, last)
+
+    ordered = tokens.select("token", "key", "size", "pos", "part").repartition("token").sortWithinPartitions("token", "size", "key")
+    return ordered.mapInPandas(run, "a long, b long, more boolean").distinct()
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``a, b``: links between rows ``key, text`` that keep all groups of chained similar texts.
+
+    Texts are similar if they share at least ``similarity`` (Jaccard) of their word shingles.
+    All such pairs are compared but those that other pairs have joined already.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    raw = docs.select("key", F.col("text").cast("binary").alias("text"))
+
+    def codes_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"code": np.concatenate([shingle_set(t, shingle) for t in batch["text"]])})
+
+    share = min(1.0, ORDER_DOCS / max(1, docs.count()))
+    counts = raw.where(F.rand(7) < share).select("text").mapInPandas(codes_only, "code long").groupBy("code").count().where("count > 1")
+    seen = counts.orderBy(F.desc("count"), "code").limit(ORDER_CODES).toPandas().sort_values("code")
+    order = spark.sparkContext.broadcast((seen["code"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"key": batch["key"], "size": [len(s) for s in sets], "tokens": [prefix(s, *order.value, similarity) for s in sets]})
+
+    made = materialise(raw.mapInPandas(prefixes, "key long, size int, tokens array<long>"))
+    tokens = made.select("key", "size", F.posexplode("tokens").alias("pos", "token"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        sets = materialise(docs.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", _shingle_codes(F.col("text"), shingle).alias("codes")))
+        both = pairs.join(sets.toDF("a", "__a"), "a").join(sets.toDF("b", "__b"), "b").withColumn("shared", F.size(F.array_intersect("__a", "__b")))
+        return materialise(both.where(F.col("shared") >= similarity * (F.size("__a") + F.size("__b") - F.col("shared"))).select("a", "b"))
+
+    near = materialise(_candidates(tokens.withColumn("part", F.col("key")), similarity, 1, NEIGHBOURS))
+    edges = verified(near.where("NOT more").select("a", "b"))
+    if near.where("more").isEmpty():
+        return edges
+    parts = materialise(connected_components(edges).toDF("key", "component"))
+    named = tokens.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
+    far = materialise(_candidates(named, similarity, NEIGHBOURS + 1, None).where("NOT more").select("a", "b"))
+    return edges.union(verified(far))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the near-duplicates of the row with the smallest id of their group.
 
-    A row goes if its fingerprint links it to the group and it shares at least ``similarity``
-    (Jaccard) of its word shingles with that row, two texts without words sharing all. All
-    columns stay. Rows without an id stay where no row of their group has one.
+    Rows link if they share at least ``similarity`` (Jaccard) of their word shingles, texts
+    without words sharing all; a group is what links chain together. All columns stay. Rows
+    without an id stay where no row of their group has one; repeated ids stay together.
     """
-    found = near_duplicates(docs, id_col, text_col, radius=radius)
-    pairs = materialise(found.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "component_id").distinct())
-    codes = _shingle_codes(F.col(text_col), shingle)
-    kept = pairs.select(F.col("component_id").alias("__kept")).distinct()
-    ours = docs.join(pairs.withColumnsRenamed({"id": "__bad", "component_id": "__kept"}), docs[id_col].eqNullSafe(F.col("__bad"))).select(F.col("__bad"), "__kept", codes.alias("__a"))
-    theirs = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").select(F.col(id_col).alias("__kept"), codes.alias("__b"))
-    shared, all_ = F.size(F.array_intersect("__a", "__b")), F.size(F.array_union("__a", "__b"))
-    bad = ours.join(theirs, "__kept").where(shared >= F.lit(similarity) * all_).select(F.col("__bad").alias("__bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
+    keyed = docs.select(F.col(id_col).alias("id"), _word_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    points = materialise(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    parts = connected_components(similar_links(keyed.select("key", "text"), shingle, similarity)).toDF("key", "component")
+    named = points.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    groups = named.groupBy("component").agg(F.min("least").alias("__least"), F.sum("n").alias("n")).where("n > 1 AND __least IS NOT NULL")
+    kept = materialise(named.select("key", "component").join(groups, "component").select(F.col("key").alias("__key"), "__least"))
+    marked = docs.withColumn("__word_key", _word_key(F.col(text_col))).join(kept, F.col("__word_key") == F.col("__key"), "left")
+    return marked.where(F.col("__least").isNull() | F.col(id_col).eqNullSafe(F.col("__least"))).select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,49 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _edited(n, edits, rng):
+    words = [f"w{k}" for k in rng.integers(0, 5_000, n)]
+    out = list(words)
+    for k in edits:
+        out[k] = f"new{rng.integers(0, 10**9)}"
+    return " ".join(words), " ".join(out)
+
+
+def _alike(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+def _first_of_groups(texts):
+    groups = _components(sorted(texts), lambda a, b: _alike(texts[a], texts[b]))
+    return sorted(i for i, g in groups.items() if i == g)
+
+
+def test_stage_finds_all_edited_copies(spark, data):
+    rng = np.random.default_rng(5)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(data + "/documents.parquet").select("doc_id", "text").collect()}
+    for k in range(0, 60, 2):  # copies of one to three edits: 3 to 13 bits, not 2
+        texts[10_000 + k], texts[10_001 + k] = _edited(int(rng.integers(60, 200)), rng.integers(0, 60, int(rng.integers(1, 4))), rng)
+    want = _first_of_groups(texts)
+    assert len(want) < len(texts) - 20
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
+def test_stage_finds_pairs_beyond_the_first_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
+    base = [f"w{k}" for k in range(60)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for k in rng.integers(0, 60, int(rng.integers(0, 4))):
+            words[k] = f"x{rng.integers(0, 3)}"
+        texts[i] = " ".join(words[: int(rng.integers(50, 61))])
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == _first_of_groups(texts)
