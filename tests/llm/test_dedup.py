@@ -153,3 +153,18 @@ def test_stage_finds_pairs_beyond_the_first_neighbours(spark, monkeypatch):
         texts[i] = " ".join(words[: int(rng.integers(50, 61))])
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == _first_of_groups(texts)
+
+
+def test_stage_keeps_one_row_of_chains_and_bridges(spark):
+    words = [f"w{k}" for k in range(100)]
+
+    def with_edits(*at):
+        return " ".join("edit" + w if k in at else w for k, w in enumerate(words))
+
+    texts = {1: with_edits(2), 2: with_edits(2, 50), 3: with_edits(2, 50, 97), 4: with_edits(2, 50, 97, 30)}  # a chain
+    texts |= {9: with_edits(2, 50, 97, 30, 75), 0: "same " * 300 + "one", 5: "same " * 300 + " ".join(words[:40]), 6: "same " * 300 + " ".join(words[:40]) + " end"}  # 5 and 6 are alike, 0 is like neither
+    texts |= {7: "", 8: "a b"}
+    want = _first_of_groups(texts)
+    assert not _alike(texts[1], texts[9]) and want == [0, 1, 5, 7, 8]
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
