@@ -4,7 +4,8 @@ Each document's histograms of character classes and of its language's common sho
 held against those of the language by Jensen-Shannon distance. A language's references come
 from all its documents that pass the base rules: the median share of each character class, so
 that a minority of junk doesn't move them, and the pooled shares of the common words. Short
-texts are not judged by divergence, and the limit for words allows for chance in few words.
+texts are not judged by divergence, and the limit for words allows for chance in few words;
+a text without a single common word fails wherever some were to be expected.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from .common import WORD, materialise, table, words_of
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Languages with references of their own; the documents of all others share one.
-LANGUAGES = 255
-COMMON = 16
+COMMON = 32
 #: Common words have at most so many characters.
-SHORT = 3
+SHORT = 4
 #: Texts of fewer words aren't judged by divergence.
 MIN_WORDS = 40
 #: Limits for the two distances; what chance adds shrinks with the square root of the words.
 CLASS_LIMIT, CLASS_NOISE = 0.17, 0.6
 WORD_LIMIT, WORD_NOISE = 0.20, 2.4
+#: A text without any common word fails where its language lets expect so many.
+EXPECTED = 6
 _CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 
 
@@ -99,7 +100,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def common_words(docs: DataFrame, lang: Column, text_col: str = "text", count: int = COMMON, short: int = SHORT) -> DataFrame:
     """``lang, common``: the most frequent words of at most ``short`` characters, by language."""
-    brief = F.filter(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.length(w) <= short)
+    brief = F.filter(words_of(F.lower(F.coalesce(F.col(text_col), F.lit("")))), lambda w: F.length(w) <= short)
     counts = docs.select(lang.alias("lang"), F.explode(brief).alias("word")).groupBy("lang", "word").count()
     ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("nth") <= count)
     return ranked.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common"))
@@ -109,26 +110,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Base counts, ``class_distance``, ``word_distance`` and ``kept``: one row per row.
 
     A null text has no words and fails the base rules, as does any text of under ten words.
-    Languages beyond the 255 most frequent, and null, share one reference. A language none
-    of whose documents passes the base rules has no reference: its distances are null and
-    the base rules decide alone. Repeated rows and null ids each give a row.
+    Each language has references of its own, and so has null. A language none of whose
+    documents passes the base rules has no reference: its distances are null and the base
+    rules decide alone. Repeated rows and null ids each give a row.
     """
-    langs = [r["lang"] for r in docs.select(F.col(lang_col).alias("lang")).where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    lang = F.when(F.col(lang_col).isin(langs), F.col(lang_col)) if langs else F.lit(None).cast("string")
+    lang = F.col(lang_col)
     top = materialise(common_words(docs, lang, text_col))
-    # At most 256 rows of 16 short words each.
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("q_lang"))
-    counted = base_counts(narrow).join(F.broadcast(top.withColumnRenamed("lang", "t_lang")), F.col("q_lang").eqNullSafe(F.col("t_lang")), "left")
-    known = F.filter(F.filter("q_words", lambda w: F.length(w) <= SHORT), lambda w: F.array_contains(F.col("common"), w))
+    counted = base_counts(narrow).join(top.withColumnRenamed("lang", "t_lang"), F.col("q_lang").eqNullSafe(F.col("t_lang")), "left")
+    brief = F.split(F.lower(F.array_join(F.filter("q_words", lambda w: F.length(w) <= SHORT), " ")), " ")
     features = materialise(
-        counted.withColumn("q_known", known)
+        counted.withColumn("q_brief", brief)
         .withColumn("q_lower", F.col("q_letters") - F.col("q_upper"))
         .withColumn("q_space", F.col("q_chars") - F.col("word_chars"))
         .withColumn("q_other", F.col("word_chars") - F.col("q_letters") - F.col("q_digit") - F.col("n_symbols"))
         .select(
             "id", "q_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             _shares("q_lower", "q_upper", "q_digit", "q_space", "n_symbols", "q_other").alias("classes"),
-            F.transform("common", lambda c: F.size(F.filter("q_known", lambda w: w == c))).alias("seen"),
+            F.transform("common", lambda c: F.size("q_brief") - F.size(F.array_remove("q_brief", c))).alias("seen"),
         )
     )
     passed = features.where("NOT base_failed")
@@ -136,9 +135,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     medians = medians.select(F.col("q_lang").alias("m_lang"), F.transform("m", lambda x: x / F.aggregate("m", F.lit(1e-12), lambda a, y: a + y)).alias("class_ref"))
     pooled = passed.groupBy("q_lang").agg(F.array(*[F.sum(F.get("seen", F.lit(k))) for k in range(COMMON)]).alias("s"), F.sum("n_words").alias("n"))
     pooled = pooled.select(F.col("q_lang").alias("p_lang"), _with_rest(F.filter("s", lambda x: x.isNotNull()), F.col("n")).alias("word_ref"))
-    judged = features.join(F.broadcast(medians), F.col("q_lang").eqNullSafe(F.col("m_lang")), "left").join(F.broadcast(pooled), F.col("q_lang").eqNullSafe(F.col("p_lang")), "left")
+    references = materialise(medians.join(pooled, F.col("m_lang").eqNullSafe(F.col("p_lang"))).select(F.col("m_lang").alias("r_lang"), "class_ref", "word_ref"))
+    judged = features.join(references, F.col("q_lang").eqNullSafe(F.col("r_lang")), "left")
     judged = judged.withColumn("class_distance", js_distance(F.col("classes"), F.col("class_ref"))).withColumn("word_distance", js_distance(_with_rest(F.col("seen"), F.col("n_words")), F.col("word_ref")))
-    far = (F.col("n_words") >= MIN_WORDS) & ((F.col("class_distance") > CLASS_LIMIT + CLASS_NOISE / F.sqrt("n_words")) | (F.col("word_distance") > WORD_LIMIT + WORD_NOISE / F.sqrt("n_words")))
+    expected = F.col("n_words") * (1 - F.element_at("word_ref", -1))
+    none = (F.aggregate("seen", F.lit(0), lambda a, x: a + x) == 0) & (expected >= EXPECTED)
+    far = (F.col("n_words") >= MIN_WORDS) & (none | (F.col("class_distance") > CLASS_LIMIT + CLASS_NOISE / F.sqrt("n_words")) | (F.col("word_distance") > WORD_LIMIT + WORD_NOISE / F.sqrt("n_words")))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 

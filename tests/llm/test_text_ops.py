@@ -240,3 +240,21 @@ def test_licences_are_named_and_prose_is_not(spark, data, odd, nothing):
     got = {r["id"]: [(n["paragraph"], n["family"]) for n in r["notices"]] for r in license_scan.scan(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
     assert got == {1: [(2, "apache-2.0")], 2: [(1, "gpl-3.0")], 3: [(1, "mit")], 4: [(1, "cc-by-nc-4.0"), (2, "proprietary")], 5: [], 6: [], 7: [], 8: []}
     assert license_scan.scan(odd, model).count() == odd.count() and license_scan.scan(nothing, model).count() == 0
+
+
+def test_texts_without_common_words_fail_from_the_guard_length(spark):
+    rng = __import__("random").Random(4)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in "wxyz"]
+
+    def text(n, share, case=str.lower):
+        return " ".join(case(rng.choice(common)) if rng.random() < share else "".join(rng.choices("abcdefghijklm", k=7)) for _ in range(n))
+
+    rows = [(i, text(120, 0.3), "en") for i in range(60)]
+    rows += [(100 + i, text(quality.MIN_WORDS + 5 * i, 0.0), "en") for i in range(4)]
+    rows += [(200 + i, text(60, 0.3, str.title), "en") for i in range(4)]
+    rows += [(1_000 + i, text(60, 0.3), f"l{i}") for i in range(300)]  # more languages than a list would hold
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["id"]: r for r in quality.judge(docs).collect()}
+    assert len(got) == len(rows) and not any(got[100 + i]["kept"] for i in range(4))
+    assert all(got[i]["kept"] for i in [*range(60), *range(200, 204)])
+    assert all(got[1_000 + i]["word_distance"] == 0 for i in range(300))
