@@ -1,10 +1,11 @@
 """Exact de-duplication by sorting content.
 
-Texts are range-partitioned on sampled splitters, sorted so that equal texts lie side by
-side, and neighbours compared in full. The splitters look at the head of the text, a hash of
-all of it and a salt drawn from the id, so that the sample a driver holds stays small and a
-text that fills a third of the table is dealt to many tasks: each of those runs is reduced
-to one row before the runs of a text meet.
+Rows are range-partitioned by the head of the normalised text and a hash of all of it, on
+splitters that Spark samples. An external sort inside each range puts equal texts side by
+side; every text is compared in full with its neighbour, and where they differ a new run
+begins. A text that a bounded sample finds often gets a salt, so that it is dealt to many
+ranges: the first rows of its runs, one for each salt, are put side by side in a second,
+small sort and compared in the same way, which carries the survivor across splitters.
 """
 
 from __future__ import annotations
@@ -14,15 +15,41 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, table
 
-HEAD = 48
+HEAD = 32
 SALTS = 256
+#: About so many rows tell which texts are frequent; a text found so often among them is salted.
+SAMPLE, OFTEN = 131_072, 16
 
 
-def _keys(docs: DataFrame, text_col: str, id_col: str, normalise, salts: int) -> DataFrame:
-    norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select(
-        "id", "norm", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
-    )
+def _best(name: str, keep: str) -> Column:
+    return F.col(name).desc_nulls_last() if keep == "largest" else F.col(name).asc_nulls_last()
+
+
+def _runs(rows: DataFrame, by: list[str], keep: str, size: Column, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the number of the run of equal ``norm`` inside ``by``, the row's place in it, its best id and size."""
+    order = Window.partitionBy(*by).orderBy("norm", _best("id", keep), *then)
+    differs = ~F.col("norm").eqNullSafe(F.lag("norm").over(order))
+    numbered = rows.withColumn("run", F.sum(F.when(differs, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*by, "run")
+    pick = F.max if keep == "largest" else F.min
+    return numbered.withColumns({"nth": F.row_number().over(run.orderBy(_best("id", keep), *then)), "keep_id": pick("id").over(run), "size": F.sum(size).over(run)})
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, normalise, salts: int, often: int) -> DataFrame:
+    """``row, id, norm, head, code, salt`` in ranges of the last three; texts are normalised after the shuffle again."""
+    norm = normalise(F.coalesce(F.col("row")[text_col], F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("code", F.xxhash64(norm))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    seen = rows.where(F.rand(5) < share).groupBy("code").count().where(F.col("count") >= often)
+    salt = F.when(F.col("count").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col("row")[id_col], F.spark_partition_id()), F.lit(salts)))
+    # The sample bounds the list of frequent texts, so it may go to every machine.
+    salted = rows.join(F.broadcast(seen), "code", "left").select("row", F.substring(norm, 1, HEAD).alias("head"), "code", salt.cast("int").alias("salt"))
+    return salted.repartitionByRange("head", "code", "salt").select("*", F.col("row")[id_col].alias("id"), norm.alias("norm"))
+
+
+def _check(keep: str) -> None:
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep: {keep}")
 
 
 def duplicate_groups(
@@ -32,6 +59,7 @@ def duplicate_groups(
     keep: str = "smallest",
     normalise=lower_ascii,
     salts: int = SALTS,
+    often: int = OFTEN,
 ) -> DataFrame:
     """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
@@ -41,45 +69,32 @@ def duplicate_groups(
     among them alone is marked kept. Further columns of ``docs`` play no part; an empty
     table gives an empty result.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError(f"keep: {keep}")
-    best: Column = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    keyed = _keys(docs, text_col, id_col, normalise, salts)
-    by = ["head", "code", "salt", "norm"]
-    run = Window.partitionBy(*by)
-    first = materialise(
-        keyed.select("id", "sha", "salt", "norm", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("code"))
-        .repartitionByRange("head", "code", "salt")
-        .withColumn("nth", F.row_number().over(run.orderBy(best)))
-        .withColumn("size", F.count(F.lit(1)).over(run))
-        .where("nth = 1")
-        .select("sha", "salt", "id", "size")
-    )
-    pick = F.max if keep == "largest" else F.min
-    groups = first.groupBy("sha").agg(pick("id").alias("keep_id"), F.sum("size").alias("group_size"))
-    runs = first.select("sha", "salt").join(groups, "sha")
-    rows = keyed.select("id", "sha", "salt").join(runs, ["sha", "salt"])
-    same = F.col("id").eqNullSafe(F.col("keep_id"))
-    nth = F.row_number().over(Window.partitionBy("sha", "salt", "id").orderBy("sha"))
-    return rows.withColumn("nth", F.when(same, nth)).select(
-        "id", "keep_id", "group_size", (same & (F.col("nth") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
-    )
-
-
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    _check(keep)
+    place = ["head", "code", "salt", "run"]
+    dealt = _dealt(docs.select(id_col, text_col), id_col, text_col, normalise, salts, often).select("id", "norm", "head", "code", "salt")
+    sha = F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")
+    # Texts end here, but for the first rows of salted runs.
+    carried = F.when((F.col("salt") > 0) & (F.col("nth") == 1), F.col("norm")).alias("norm")
+    rows = materialise(_runs(dealt, place[:3], keep, F.lit(1)).select("id", *place, "nth", "keep_id", "size", sha, carried))
+    alone = rows.where("salt = 0").select("id", "keep_id", F.col("size").alias("group_size"), (F.col("nth") == 1).alias("kept"), "text_sha256")
+    firsts = rows.where("salt > 0 AND nth = 1").select("id", "norm", "head", "code", "salt", F.col("run").alias("own_run"), F.col("size").alias("own_size"))
+    joined = _runs(firsts, ["head", "code"], keep, F.col("own_size"), ("salt", "own_run"))
+    groups = joined.select("head", "code", "salt", F.col("own_run").alias("run"), F.col("keep_id").alias("g_keep"), F.col("size").alias("g_size"), (F.col("nth") == 1).alias("g_first"))
+    split = rows.where("salt > 0").join(groups, place)
+    return alone.union(split.select("id", "g_keep", "g_size", F.col("g_first") & (F.col("nth") == 1), "text_sha256"))
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", salts: int = SALTS, often: int = OFTEN) -> DataFrame:
     """``docs`` without all but one row of each group of equal texts; all columns stay.
 
     Rows that repeat both id and text collapse to one. Rows without an id are told apart by
     nothing but their text, and one stays where the text has no row with an id.
     """
-    groups = duplicate_groups(docs, id_col, text_col, keep).where("kept")
-    ids = groups.select(F.col("id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    sha = F.sha2(F.encode(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)
-    keyed = docs.withColumn("__sha", sha)
-    once = keyed.join(ids, keyed[id_col].eqNullSafe(ids["__keep_id"]) & (keyed["__sha"] == ids["__keep_sha"]), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").take(1):
-        once = once.dropDuplicates([id_col, "__sha"])
-    return once.drop("__sha")
+    _check(keep)
+    numbered = _runs(_dealt(docs, id_col, text_col, lower_ascii, salts, often), ["head", "code", "salt"], keep, F.lit(1)).where("nth = 1")
+    firsts = materialise(numbered.select("row", "id", "head", "code", "salt", F.when(F.col("salt") > 0, F.col("norm")).alias("norm")))
+    split = _runs(firsts.where("salt > 0"), ["head", "code"], keep, F.lit(1), ("salt",)).where("nth = 1")
+    return firsts.where("salt = 0").select("row").union(split.select("row")).select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

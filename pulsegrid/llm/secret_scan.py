@@ -1,9 +1,12 @@
 """Secret scans: fixed formats, and random strings found by two character Markov models.
 
-One model is trained on random strings (the values of fixed-format secrets), one on ordinary
-identifiers (words of the corpus). A candidate is a long run of token characters; where the
-mean log-likelihood ratio of its character pairs passes a limit set on held-out samples, it is
-a secret. All of it is built from DataFrame functions; the samples are bounded, the scan is not.
+One model is trained on labelled random strings, one on ordinary identifiers. Random strings
+are made by rule (base64, letters and digits, one case or both), as no corpus holds labels;
+ordinary ones are identifiers joined from words of the corpus and, made by rule, what people
+also write with digits: dates, times, versions, UUIDs, numbered names, filler. A candidate is
+a long run of token characters; where the mean log-likelihood ratio of its character pairs
+passes a limit set on held-out samples, it is a secret. All of it is built from DataFrame
+functions; the samples are bounded, the scan is not.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import some_rows, table
 from .spans import joined, matches, named, overlaps
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -24,10 +27,18 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Numbers alone are left to the scan for personal data.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 #: Characters with a state of their own; all others share state 0.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_/+="
 STATES = len(ALPHABET) + 1
-#: Documents that ordinary identifiers are taken from, and strings of either class, at most.
-SAMPLE_DOCS, SAMPLE_STRINGS = 2_000, 20_000
+#: Documents that identifiers are joined from, identifiers taken of them, and strings made of either class, about.
+SAMPLE_DOCS, SAMPLE_STRINGS, MADE = 2_000, 20_000, 6_000
+#: Shortest candidate.
+LEAST = 16
+#: Words of made identifiers.
+NAMES = (
+    "backup", "build", "class", "client", "config", "data", "default", "error", "example", "export", "factory", "file", "handler", "index",
+    "job", "log", "manager", "model", "module", "node", "number", "object", "order", "page", "process", "record", "release", "report",
+    "request", "response", "run", "server", "service", "session", "snapshot", "source", "system", "table", "test", "user", "value", "version",
+)
 #: Share of held-out ordinary identifiers that may pass for random.
 FALSE_ALARMS = 0.0005
 #: Weight of single characters in the chance of a pair, in pairs seen.
@@ -69,31 +80,72 @@ def mean_ratio(value: Column, ratios: tuple[float, ...]) -> Column:
     return total / F.greatest(F.length(value) - 1, F.lit(1))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> MarkovModel:
+def _pick(code: Column, values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(code, F.lit(len(values))).cast("int") + 1)
+
+
+def random_strings(spark: SparkSession, n: int) -> DataFrame:
+    """``v``: random strings of 16 to 40 characters, in four alphabets by turns."""
+    code = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 512)
+    full = F.rtrim(F.base64(F.unhex(code)), F.lit("="))
+    mixed = F.translate(full, "+/", "")
+    kinds = F.array(full, mixed, F.upper(mixed), F.lower(mixed))
+    size = LEAST + F.pmod(F.xxhash64("id"), F.lit(25)).cast("int")
+    return spark.range(n).select(F.substring(F.element_at(kinds, F.pmod("id", F.lit(4)).cast("int") + 1), F.lit(1), size).alias("v"))
+
+
+def ordinary_strings(spark: SparkSession, n: int) -> DataFrame:
+    """``v``: identifiers with digits that are no secrets, in ten forms by turns."""
+    hexes = F.sha2(F.concat(F.lit("ordinary "), F.col("id").cast("string")), 256)
+    uuid = F.regexp_replace(F.substring(hexes, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    at = F.timestamp_seconds(F.lit(946_684_800) + F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)))
+    a, b, c = (_pick(F.xxhash64("id", F.lit(k)), NAMES) for k in (1, 2, 3))
+    few = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(100)).cast("string")
+    mark = _pick(F.xxhash64("id", F.lit(5)), tuple("xaX-_=0*"))
+    forms = F.array(
+        uuid, F.upper(uuid),
+        F.concat_ws("-", F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss'Z'"), a),
+        F.concat_ws("_", a, F.date_format(at, "yyyyMMdd_HHmmss")),
+        F.concat_ws("-", a, b, F.concat(F.lit("v"), few), few, F.date_format(at, "yyyy-MM-dd")),
+        F.concat(a, F.initcap(b), F.initcap(c), few),
+        F.concat_ws("/", a, b, F.concat(F.initcap(c), F.initcap(a))),
+        F.concat_ws("_", F.upper(a), F.upper(b), F.upper(c), few),
+        F.concat(a, F.repeat(mark, 12 + few.cast("int") % 20), a),
+        F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"), few),
+    )
+    return spark.range(n).select(F.element_at(forms, F.pmod("id", F.lit(10)).cast("int") + 1).alias("v"))
+
+
+def corpus_identifiers(docs: DataFrame, text_col: str) -> DataFrame:
+    """``v``: identifiers joined from neighbouring words of the texts, one in seven places."""
+    words = docs.select(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("[A-Za-z]{2,40}"), F.lit(0)).alias("w")).where("size(w) > 2")
+    triples = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3, F.lit(7)), lambda i: F.struct(F.col("w")[i].alias("a"), F.col("w")[i + 1].alias("b"), F.col("w")[i + 2].alias("c")))).alias("x"))
+    a, b, c = F.col("x.a"), F.col("x.b"), F.col("x.c")
+    code = F.xxhash64(a, b, c)
+    few = F.pmod(F.xxhash64(b, c), F.lit(10_000)).cast("string")
+    forms = F.array(
+        F.lower(F.concat_ws("_", a, b, c)), F.concat(F.lower(a), F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b, few), F.concat_ws("/", a, b, c),
+        F.upper(F.concat_ws("_", a, b)), a, F.concat(a, few, F.lit("_"), b),
+    )
+    return triples.select(F.element_at(forms, F.pmod(code, F.lit(7)).cast("int") + 1).alias("v"))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: int = MADE) -> MarkovModel:
     """Fit both models on four fifths of the samples and set the limit on the rest.
 
-    Random samples are the values of fixed-format secrets in all documents, the
-    ``SAMPLE_STRINGS`` with the smallest hashes; ordinary ones the distinct words of letters
-    in the ``SAMPLE_DOCS`` documents with the smallest hashes of their ids. Without random
-    samples nothing passes.
+    ``MADE`` strings of either class are made; about ``SAMPLE_STRINGS`` identifiers come from
+    about ``SAMPLE_DOCS`` documents. A table without words leaves the made ones.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = base_spans(F.col("t"))
-    values = F.concat(F.transform(base["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 1)), F.transform(base["access"], lambda s: s["value"]), F.transform(base["hex"], lambda s: s["value"]))
-    random = docs.select(text.alias("t")).select(F.explode(values).alias("v")).where("length(v) >= 12").distinct()
-    chosen = docs.select(F.col(id_col).alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(SAMPLE_DOCS)
-    some = docs.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("chosen")), "left_semi").select(text.alias("t"))
-    ordinary = some.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{5,40}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("v")).distinct()
-
-    def sample(strings: DataFrame, name: str) -> DataFrame:
-        return strings.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_STRINGS).select(F.lit(name).alias("kind"), "v", (F.pmod(F.xxhash64("v", F.lit(9)), F.lit(5)) == 0).alias("held"))
-
-    samples = sample(random, "random").union(sample(ordinary, "ordinary")).cache()
-    counts = samples.where("NOT held").select("kind", F.explode(_pairs(F.col("v"))).alias("pair")).groupBy("kind", "pair").count().collect()
+    spark = docs.sparkSession
+    own = corpus_identifiers(some_rows(docs, id_col, text_col, SAMPLE_DOCS), text_col).distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE_STRINGS)
+    parts = [(random_strings(spark, made), "random"), (ordinary_strings(spark, made), "ordinary"), (own, "ordinary")]
+    samples = None
+    for strings, name in parts:
+        part = strings.select(F.lit(name).alias("kind"), "v", (F.pmod(F.xxhash64("v", F.lit(9)), F.lit(5)) == 0).alias("held"))
+        samples = part if samples is None else samples.union(part)
+    samples = samples.cache()
+    counts = samples.where("NOT held AND length(v) > 1").select("kind", F.explode(_pairs(F.col("v"))).alias("pair")).groupBy("kind", "pair").count().collect()
     seen = {(r["kind"], r["pair"]): r["count"] for r in counts}
-    if not any(k == "random" for k, _ in seen):
-        samples.unpersist()
-        return MarkovModel((0.0,) * STATES**2, math.inf)
 
     def chance(kind: str) -> list[float]:
         """Pair probabilities; a pair seldom seen leans on how frequent its second character is."""
@@ -103,14 +155,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ma
         return [(n + BACKOFF * p) / (sum(row) + BACKOFF) for row in pairs for n, p in zip(row, back, strict=True)]
 
     ratios = tuple(round(math.log(p / q), 6) for p, q in zip(chance("random"), chance("ordinary"), strict=True))
-    held = samples.where("held").select("kind", mean_ratio(F.col("v"), ratios).alias("r"))
-    tail = held.groupBy("kind").agg(F.percentile("r", F.lit(1 - FALSE_ALARMS)).alias("high"), F.percentile("r", F.lit(0.05)).alias("low")).collect()
+    held = samples.where(F.col("held") & (F.length("v") >= LEAST)).select("kind", mean_ratio(F.col("v"), ratios).alias("r"))
+    tail = held.groupBy("kind").agg(F.percentile("r", F.lit(1 - FALSE_ALARMS)).alias("high"), F.percentile("r", F.lit(0.02)).alias("low")).collect()
     samples.unpersist()
     at = {r["kind"]: r for r in tail}
-    high = at["ordinary"]["high"] if "ordinary" in at else 0.0
     # Between the tails of the two classes where they leave room, else at that of the ordinary.
-    low = at["random"]["low"] if "random" in at else high
-    return MarkovModel(ratios, float(max(high, (high + low) / 2, 0.0)))
+    high, low = at["ordinary"]["high"], at["random"]["low"]
+    return MarkovModel(ratios, float(max(high, (high + low) / 2)))
 
 
 def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,8 +173,6 @@ def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("id", "t", *[spans.alias(kind) for kind, spans in base_spans(F.col("t")).items()])
-    if not math.isfinite(model.limit):
-        return rows.withColumn("markov", F.filter("hex", lambda s: F.lit(False))).drop("t")
     known = F.concat("assign", "access", "hex")
     extra = F.filter(matches(F.col("t"), CANDIDATE), lambda s: (mean_ratio(s["value"], model.ratios) > model.limit))
     found = rows.withColumn("known", known).withColumn("extra", extra)
