@@ -45,3 +45,12 @@ def some_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     text = F.col(text_col)
     code = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text), F.substring(text, 1, 64), F.lit(17)), F.lit(1 << 30))
     return docs.where(code < int(share * (1 << 30)))
+
+
+#: Rows of a narrow table (keys and numbers) that may go to every machine, at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(narrow: DataFrame) -> DataFrame:
+    """``narrow`` with a hint to send it to every machine where its rows are few enough; it is counted first."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import lower_ascii, materialise, table
+from .common import materialise, sized, table
 from .components import connected_components
 
 RADIUS = 2
@@ -180,12 +180,14 @@ def close_links(homes: np.ndarray, queries: np.ndarray, radius: int, leaf: int =
 def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) that keep all components.
 
-    ``sample`` bounds the points the driver sees: they shape the tree, and all are dealt by it.
+    The driver sees about ``sample`` points: they shape the tree, and all are dealt by it.
     """
     spark = distinct.sparkSession
     ship(spark)
     n = distinct.count()
-    seen = distinct.orderBy(F.xxhash64("fp", F.lit(1))).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    share = min(1.0, sample / max(n, 1))
+    seen = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    seen = np.sort(seen)
     nodes = build_tree(seen, max(1, int(shard * len(seen) / max(n, 1)))) if n else []
     tree = spark.sparkContext.broadcast(nodes)
 
@@ -221,21 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
-def _shingle_codes(text: Column, shingle: int) -> Column:
-    """Hashes of the distinct word shingles of a text; of fewer words, of all of them; none of none."""
-    words = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-    def codes(w: Column) -> Column:
-        n = F.size(w)
-        runs = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)]))
-        return F.when(n >= shingle, F.array_distinct(runs)).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
-
-    return F.transform(F.array(words), codes)[0]
-
-
-def _word_key(text: Column) -> Column:
-    """A hash of the sequence of words; texts that differ in case or white space share it."""
-    return F.xxhash64(F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+def _text_key(text: Column) -> Column:
+    """A hash of the whole text; a null one counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -266,10 +256,11 @@ def prefix(codes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity:
 def _run_pairs(rows: pd.DataFrame, similarity: float, first: int, last: int | None) -> Iterator[pd.DataFrame]:
     """Pairs of rows of one token that can be alike, ``first`` to ``last`` places apart.
 
-    Rows are sorted by token and size. ``more`` tells that a row has pairs further apart.
+    Rows are sorted by token and size; without a ``part`` each is a part of its own. ``more``
+    tells that a row has pairs further apart.
     """
     rows = rows[~rows.duplicated(["token", "key"])]
-    token, key, size, pos, part = (rows[c].to_numpy(np.int64) for c in ("token", "key", "size", "pos", "part"))
+    token, key, size, pos, part = (rows[c].to_numpy(np.int64) for c in ("token", "key", "size", "pos", "part" if "part" in rows else "key"))
     left, away, out, held = np.arange(len(rows)), 1, [], 0
     while True:
         left = left[left + away < len(rows)]
@@ -294,7 +285,7 @@ def _run_pairs(rows: pd.DataFrame, similarity: float, first: int, last: int | No
 
 
 def _candidates(tokens: DataFrame, similarity: float, first: int, last: int | None) -> DataFrame:
-    """``a, b, more`` for the rows ``token, key, size, pos, part``; rows of one part aren't paired."""
+    """``a, b, more`` for the rows ``token, key, size, pos`` and maybe ``part``; rows of one part aren't paired."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -308,7 +299,7 @@ def _candidates(tokens: DataFrame, similarity: float, first: int, last: int | No
         if held is not None:
             yield from _run_pairs(held, similarity, first, last)
 
-    ordered = tokens.select("token", "key", "size", "pos", "part").repartition("token").sortWithinPartitions("token", "size", "key")
+    ordered = tokens.repartition("token").sortWithinPartitions("token", "size", "key")
     return ordered.mapInPandas(run, "a long, b long, more boolean").distinct()
 
 
@@ -333,25 +324,35 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     order = spark.sparkContext.broadcast((seen["code"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for batch in batches:
+            batch = batch[~batch["key"].duplicated() & ~batch["key"].isin(met)]
+            met.update(batch["key"].tolist())
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "size": [len(s) for s in sets], "tokens": [prefix(s, *order.value, similarity) for s in sets]})
 
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [(shingle_set(x, shingle), shingle_set(y, shingle)) for x, y in zip(batch["x"], batch["y"], strict=True)]
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype=float)
+            total = np.array([len(x) + len(y) for x, y in sets], dtype=float)
+            yield batch.loc[shared >= similarity * (total - shared) - 1e-9, ["a", "b"]]
+
     made = materialise(raw.mapInPandas(prefixes, "key long, size int, tokens array<long>"))
     tokens = made.select("key", "size", F.posexplode("tokens").alias("pos", "token"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        sets = materialise(docs.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", _shingle_codes(F.col("text"), shingle).alias("codes")))
-        both = pairs.join(sets.toDF("a", "__a"), "a").join(sets.toDF("b", "__b"), "b").withColumn("shared", F.size(F.array_intersect("__a", "__b")))
-        return materialise(both.where(F.col("shared") >= similarity * (F.size("__a") + F.size("__b") - F.col("shared"))).select("a", "b"))
+        texts = raw.join(sized(wanted), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return materialise(both.mapInPandas(alike, "a long, b long"))
 
-    near = materialise(_candidates(tokens.withColumn("part", F.col("key")), similarity, 1, NEIGHBOURS))
+    near = materialise(_candidates(tokens, similarity, 1, NEIGHBOURS))
     edges = verified(near.where("NOT more").select("a", "b"))
     if near.where("more").isEmpty():
         return edges
     parts = materialise(connected_components(edges).toDF("key", "component"))
-    named = tokens.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
+    named = tokens.join(parts, "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("part"))
     far = materialise(_candidates(named, similarity, NEIGHBOURS + 1, None).where("NOT more").select("a", "b"))
     return edges.union(verified(far))
 
@@ -363,13 +364,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     without words sharing all; a group is what links chain together. All columns stay. Rows
     without an id stay where no row of their group has one; repeated ids stay together.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), _word_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     points = materialise(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     parts = connected_components(similar_links(keyed.select("key", "text"), shingle, similarity)).toDF("key", "component")
     named = points.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     groups = named.groupBy("component").agg(F.min("least").alias("__least"), F.sum("n").alias("n")).where("n > 1 AND __least IS NOT NULL")
     kept = materialise(named.select("key", "component").join(groups, "component").select(F.col("key").alias("__key"), "__least"))
-    marked = docs.withColumn("__word_key", _word_key(F.col(text_col))).join(kept, F.col("__word_key") == F.col("__key"), "left")
+    marked = docs.withColumn("__text_key", _text_key(F.col(text_col))).join(sized(kept), F.col("__text_key") == F.col("__key"), "left")
     return marked.where(F.col("__least").isNull() | F.col(id_col).eqNullSafe(F.col("__least"))).select(*docs.columns)
 
 

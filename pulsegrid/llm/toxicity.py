@@ -1,8 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other. The log-odds of the earlier ones are features
-of the later ones; in training these come from models that didn't see the row (out-of-fold),
-in use from the models fitted on all training rows. Features are the words of a document and
+Categories are predicted one after the other. The probabilities of the earlier ones are
+features of the later ones; in training these come from models that didn't see the row
+(out-of-fold), in use from the models fitted on all training rows. Features are the words of a document and
 their first four to six letters, so that forms of a known stem count; those that tell most
 about some category are kept.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import table
+from .common import materialise, table
 
 #: Labelled rows to fit on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -49,7 +49,7 @@ def document_features(text: str | None) -> set[str]:
 
 @dataclass
 class Chain:
-    """A fitted chain; ``weights`` of a category: features, earlier log-odds, bias."""
+    """A fitted chain; ``weights`` of a category: features, earlier probabilities, bias."""
 
     names: list[str]
     vocabulary: dict[str, int] = field(default_factory=dict)
@@ -63,8 +63,8 @@ class Chain:
         earlier = np.zeros((len(hits), 0))
         for w in self.weights:
             z = _linear(w, rows, cols, earlier, len(self.vocabulary))
-            earlier = np.column_stack([earlier, z])
-        return _sigmoid(earlier)
+            earlier = np.column_stack([earlier, _sigmoid(z)])
+        return earlier
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -144,6 +144,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str
 
     counts = known.mapInPandas(count, "feature string, code int, n long").groupBy("feature", "code").agg(F.sum("n").alias("n"))
     wide = counts.groupBy("feature").agg(*[F.sum(F.when(F.expr(f"(code & {1 << k}) {op} 0"), F.col("n")).otherwise(0)).alias(f"{side}{k}") for k in range(len(names)) for side, op in (("pos", "<>"), ("neg", "="))])
+    wide = materialise(wide)
     totals = wide.where("feature = ''").first()
     chain = Chain(names)
     if totals is None:
@@ -179,9 +180,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str
             train, put = fold != f, np.cumsum(fold != f) - 1
             at = train[rows]
             w = _fit(put[rows[at]], cols[at], unseen[train], y[train], len(vocabulary)) if train.any() else np.zeros(len(vocabulary) + unseen.shape[1] + 1)
-            out[~train] = _linear(w, rows, cols, unseen, len(vocabulary))[~train]
+            out[~train] = _sigmoid(_linear(w, rows, cols, unseen, len(vocabulary)))[~train]
         chain.weights.append(_fit(rows, cols, unseen, y, len(vocabulary)))
-        chain.thresholds.append(best_threshold(_sigmoid(out), y))
+        chain.thresholds.append(best_threshold(out, y))
         unseen = np.column_stack([unseen, out])
     return chain
 
