@@ -2,11 +2,12 @@
 
 A sparse multinomial logistic regression over word n-grams names the licence family of a
 paragraph. It learns from variants of template notices with words left out, and, as the
-unknown class, from paragraphs of the corpus, with and without a stray licence word. Its
-n-grams all hold an anchor: a word of the templates that is rare in the corpus. A paragraph
-without an anchor has no features and is unknown, so only those with one are scored. What is
-predicted counts where its probability passes a held-out limit and the paragraph shares
-enough word pairs with a template of the family.
+unknown class, from paragraphs of the corpus that no template confirms, as they are and with
+a stray licence word, and from a few fixed sentences. Its n-grams all hold an anchor: a word
+of the templates outside a fixed list of stop words, however frequent it is in the corpus. A
+paragraph without an anchor has no features and is unknown, so only those with one are
+scored. What is predicted counts where its probability passes a held-out limit and the
+paragraph shares enough word pairs with a template of the family.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import some_rows, table
 
 TEMPLATES = {
     "apache-2.0": [
@@ -31,27 +32,53 @@ TEMPLATES = {
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "agpl-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "public-domain": ["This work has been released into the public domain.", "This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved.", "Copyright (c) 2020 by the authors. All rights reserved.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."],
 }
-#: Documents that unknown paragraphs are taken from, and those paragraphs, at most.
+#: Words of the templates that any text holds.
+STOP_WORDS = (
+    "the", "of", "to", "this", "and", "or", "is", "in", "an", "any", "you", "it", "on", "by", "at", "as", "be", "that", "with", "for", "are", "has", "been", "into", "under", "use", "may", "not", "can", "work",
+    "all", "have", "no", "along", "above", "name", "names", "made", "available", "prior", "later", "either", "without", "should", "shall", "following", "person", "used", "its", "nor", "appear", "except", "unless",
+)
+#: Prose with licence words that licenses nothing.
+PLAIN = (
+    "The license to drive a car is granted to any person over eighteen.", "All rights of the child must be respected by the state.", "The new version of the software was released in May.",
+    "She asked for permission to copy the documentation before the exam.", "The public library opened a branch in the general hospital.", "Free delivery is included in the price of any two copies.",
+    "His copyright claim was dismissed by the court last year.", "The city council reserved the front rows for its own authors.", "They were granted a permit to redistribute food to the camps.",
+    "Conditions for the race were met only after the rain had stopped.", "The commons were open to everyone in the parish.", "Attribution of the painting to the master is disputed.",
+    "A general without an army is free to write.", "Warranties on the kitchen expire after two years.", "The file was modified and the source code moved.", "Public domain names are sold by the registrar.",
+)
+#: Documents that unknown paragraphs are taken from, and those paragraphs, about.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1_000, 5_000
 VARIANTS = 40
-ANCHORS, NGRAMS = 96, 800
-#: Anchors stand in at most this share of the corpus's paragraphs.
-RARE = 0.02
+#: Most frequent n-grams of the variants that the regression sees.
+NGRAMS = 2_000
 CONTAINED = 0.6
 UNKNOWN = "unknown"
 
@@ -84,38 +111,49 @@ def _strings(values) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """The lines of a text."""
-    return F.split(text, r"[\r\n]+")
+    """The lines of a text; a line that goes on without a full stop into one that doesn't begin like a sentence is one with it.
+
+    Comment marks at the start of a line that goes on are left out.
+    """
+    joined = F.regexp_replace(text, r"(?<=[^\s.!?:])[ \t]*\r?\n[ \t]*(?:[#*/;-]{1,3}[ \t]*)?(?=[a-z0-9(\"'])", " ")
+    return F.split(joined, r"[\r\n]+")
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+
+
+def anchors_of(templates: dict[str, list[str]]) -> tuple[str, ...]:
+    found = {w for texts in templates.values() for t in texts for w in _words(t) if len(w) > 1 and re.search("[a-z]", w)}
+    return tuple(sorted(found - set(STOP_WORDS)))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> LicenceModel:
-    """Fit on variants of the templates and a bounded sample of the corpus."""
+    """Fit on variants of the templates and paragraphs of a bounded sample of the corpus.
+
+    Small and empty tables, and those of notices alone, leave the fixed sentences as unknown.
+    """
     spark = docs.sparkSession
     families = (UNKNOWN, *sorted(templates))
-    notices = spark.createDataFrame([(families.index(f), t) for f in sorted(templates) for t in templates[f]], "label int, text string")
-    chosen = docs.select(F.col(id_col).alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(SAMPLE_DOCS)
-    some = docs.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("chosen")), "left_semi")
-    lines = some.select(F.explode(paragraphs(F.coalesce(F.col(text_col), F.lit("")))).alias("text")).distinct()
-    lines = lines.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS).select(tokens(F.col("text")).alias("words")).where("size(words) > 0").cache()
+    anchors = anchors_of(templates)
+    anchored = _strings(anchors)
+    notices = spark.createDataFrame([(families.index(f), t) for f in sorted(templates) for t in templates[f]], "label int, text string").select("label", tokens(F.col("text")).alias("words"))
+    some = some_rows(docs, id_col, text_col, SAMPLE_DOCS)
+    lines = some.select(F.explode(paragraphs(F.coalesce(F.col(text_col), F.lit("")))).alias("text")).distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS)
+    lines = lines.select(tokens(F.col("text")).alias("words")).where("size(words) > 0")
+    plain = spark.createDataFrame([(t,) for t in PLAIN], "text string").select(tokens(F.col("text")).alias("words"))
+    unknown = lines.where(~_confirmed(F.col("words"), None, templates)).union(plain)
+    # Variant k leaves out words by a hash of place and k, a fifth at most; some are halves.
+    varied = notices.select("label", "words", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("k")).select(
+        "label", "k", F.filter("words", lambda w, i: (F.pmod(F.xxhash64(w, i, F.col("k")), F.lit(20)) >= F.col("k") % 5)
+            & ((F.col("k") % 4 != 1) | (F.size("words") < 12) | (2 * i < F.size("words")))
+            & ((F.col("k") % 4 != 2) | (F.size("words") < 12) | (2 * i >= F.size("words"))),
+        ).alias("words"),
+    )
+    stray = F.concat(F.col("words"), F.array(F.element_at(anchored, F.pmod(F.xxhash64("words"), F.lit(len(anchors))).cast("int") + 1)))
+    nothing = unknown.select(F.lit(0).alias("label"), F.pmod(F.xxhash64("words"), F.lit(VARIANTS)).cast("int").alias("k"), F.explode(F.array("words", stray)).alias("words"))
+    rows = varied.union(nothing).withColumn("grams", F.filter(ngrams(F.col("words")), lambda g: F.arrays_overlap(F.split(g, " "), anchored))).drop("words").repartition(4, "k").cache()
     try:
-        n = max(lines.count(), 1)
-        own = notices.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).where("length(w) > 1 AND w RLIKE '[a-z]'").distinct()
-        seen = lines.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count()
-        rare = own.join(F.broadcast(seen.join(F.broadcast(own), "w", "left_semi")), "w", "left").where(F.coalesce("count", F.lit(0)) <= RARE * n)
-        stop = ("the", "of", "to", "this", "and", "or", "is", "in", "an", "any", "you", "it", "on", "by", "at", "as", "be", "that", "with", "for", "are", "has", "been", "into", "under", "use", "may", "not", "can", "work")
-        anchors = tuple(r["w"] for r in rare.where(~F.col("w").isin(*stop)).orderBy(F.length("w").desc(), "w").limit(ANCHORS).collect())
-        anchored = _strings(anchors)
-        # Variant k leaves out words by a hash of place and k, a fifth at most; some are halves.
-        varied = notices.select("label", tokens(F.col("text")).alias("words"), F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("k")).select(
-            "label", "k", F.filter("words", lambda w, i: (F.pmod(F.xxhash64(w, i, F.col("k")), F.lit(20)) >= F.col("k") % 5)
-                & ((F.col("k") % 4 != 1) | (F.size("words") < 12) | (2 * i < F.size("words")))
-                & ((F.col("k") % 4 != 2) | (F.size("words") < 12) | (2 * i >= F.size("words"))),
-            ).alias("words"),
-        )
-        stray = F.concat(F.col("words"), F.array(F.element_at(anchored, F.pmod(F.xxhash64("words"), F.lit(max(len(anchors), 1))).cast("int") + 1)))
-        unknown = lines.where(~F.arrays_overlap("words", anchored))
-        nothing = unknown.select(F.lit(0).alias("label"), F.pmod(F.xxhash64("words"), F.lit(VARIANTS)).cast("int").alias("k"), F.explode(F.array("words", stray)).alias("words"))
-        rows = varied.union(nothing).withColumn("grams", F.filter(ngrams(F.col("words")), lambda g: F.arrays_overlap(F.split(g, " "), anchored))).drop("words").cache()
         top = rows.where("label > 0").select(F.explode("grams").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(NGRAMS)
         vocabulary = [r["g"] for r in top.collect()]
         vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
@@ -126,9 +164,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
             F.percentile(F.when(F.col("label") > 0, F.element_at("p", F.col("label") + 1)), F.lit(0.02)).alias("low"),
             F.percentile(F.when(F.col("label") == 0, 1 - F.col("p")[0]), F.lit(0.999)).alias("high"),
         ).first()
-        rows.unpersist()
     finally:
-        lines.unpersist()
+        rows.unpersist()
     low, high = (x if x is not None else 0.5 for x in tail)
     w = fitted.coefficientMatrix.toArray()
     weights = {g: tuple(round(float(x), 6) for x in w[:, k]) for k, g in enumerate(vocabulary) if abs(w[:, k]).max() > 1e-9}
@@ -144,15 +181,23 @@ def _predicted(words: Column, model: LicenceModel) -> Column:
     return F.transform(F.array(powers), lambda z: F.transform(z, lambda x: x / F.aggregate(z, F.lit(0.0), lambda a, y: a + y)))[0]
 
 
-def _confirmed(words: Column, family: Column, templates: dict[str, list[str]]) -> Column:
-    """True where the paragraph and a template of the family share most of the word pairs of the shorter."""
-    pairs: dict[str, list[list[str]]] = {}
-    for name, texts in templates.items():
-        found = [re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()) for t in texts]
-        pairs[name] = [sorted({" ".join(x) for x in zip(ws, ws[1:])}) for ws in found]
-    known = F.create_map(*[x for name, p in sorted(pairs.items()) for x in (F.lit(name), F.array(*[_strings(q) for q in p]))])
+def _confirmed(words: Column, family: Column | None, templates: dict[str, list[str]]) -> Column:
+    """True where the paragraph and a template share most of the word pairs of the shorter, three at least or all of the template's.
+
+    The template is one of the family, or any where that is None.
+    """
+    pairs = {name: [sorted({" ".join(x) for x in zip(ws, ws[1:])}) for ws in map(_words, texts)] for name, texts in templates.items()}
+    if family is None:
+        known = F.array(*[_strings(q) for p in pairs.values() for q in p])
+    else:
+        known = F.element_at(F.create_map(*[x for name, p in sorted(pairs.items()) for x in (F.lit(name), F.array(*[_strings(q) for q in p]))]), family)
     own = F.array_distinct(_runs(words, 2))
-    return F.exists(F.element_at(known, family), lambda t: F.size(F.array_intersect(t, own)) >= F.lit(CONTAINED) * F.least(F.size(t), F.size(own)))
+
+    def shared(t: Column) -> Column:
+        n = F.size(F.array_intersect(t, own))
+        return (n >= F.lit(CONTAINED) * F.least(F.size(t), F.size(own))) & (n >= F.least(F.lit(3), F.size(t)))
+
+    return F.exists(known, shared)
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -161,7 +206,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     A null or empty text has none. Whole texts are read, a paragraph of any length as one.
     Repeated rows and null ids each give a row; other columns play no part.
     """
-    gate = r"(?i)\b(?:" + "|".join(a.replace(".", r"\.") for a in model.anchors) + r")\b" if model.anchors else "(?!)"
+    gate = r"(?i)\b(?:" + "|".join(map(re.escape, model.anchors)) + r")\b"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     numbered = F.transform(paragraphs(F.col("t")), lambda p, i: F.struct((i + 1).alias("paragraph"), p.alias("text")))
     asked = F.when(F.col("t").rlike(gate), F.filter(numbered, lambda p: p["text"].rlike(gate)))
