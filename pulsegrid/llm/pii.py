@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -151,6 +151,12 @@ def _tree(lines: list[str]):
     return int(at), float(cut), low, _tree(lines)
 
 
+def boosted(fitted: GBTClassificationModel) -> Boosted:
+    """The fitted trees as nested tuples, without thresholds."""
+    trees = tuple(_tree([x for x in t.toDebugString.splitlines() if re.match(r"\s*(If|Else|Predict)", x)]) for t in fitted.trees)
+    return Boosted(trees, tuple(fitted.treeWeights))
+
+
 def _pick(code: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(code, F.lit(len(values))).cast("int") + 1)
 
@@ -263,8 +269,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made:
     sample = labelled_candidates(made_seeds(spark, made).union(found)).withColumn("vector", array_to_vector("features")).cache()
     try:
         fitted = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(sample.where("NOT held"))
-        trees = tuple(_tree([x for x in t.toDebugString.splitlines() if re.match(r"\s*(If|Else|Predict)", x)]) for t in fitted.trees)
-        model = Boosted(trees, tuple(fitted.treeWeights))
+        model = boosted(fitted)
         scored = sample.where("held").select("kind", "label", F.round(model.probability(F.col("features")), 4).alias("p")).groupBy("kind", "p").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
         above = Window.partitionBy("kind").orderBy(F.desc("p"))
         precise = scored.withColumn("precision", F.sum("hits").over(above) / F.sum("n").over(above)).where((F.col("precision") >= PRECISION) & (F.col("p") >= 0.5))
