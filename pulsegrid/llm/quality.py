@@ -28,19 +28,29 @@ CLASS_LIMIT, CLASS_NOISE = 0.17, 0.6
 WORD_LIMIT, WORD_NOISE = 0.20, 2.4
 #: A text without any common word fails where its language lets expect so many.
 EXPECTED = 6
-_CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
+#: Shares of character classes are told apart to so many parts of one.
+BINS = 10_000
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """How many words lie in a window of words that occurs twice or more in the text."""
+    """How many words lie in a window of words that occurs twice or more in the text.
+
+    Hash codes of the windows only tell the texts without any; the others compare words.
+    """
     n = F.size(words)
-    codes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
+
+    def each(of) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - window), of)
+
+    codes = each(lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
     # A one-element array binds a value to a name, so that it is worked out once.
-    return F.when(n < window, F.lit(0)).otherwise(F.transform(F.array(codes), lambda c: _covered(c, window))[0])
+    distinct = F.transform(F.array(codes), lambda c: F.size(F.array_distinct(c)) == F.size(c))[0]
+    texts = each(lambda i: F.array_join(F.slice(words, i + 1, F.lit(window)), " "))
+    return F.when(n < window, F.lit(0)).when(distinct, F.lit(0)).otherwise(F.transform(F.array(texts), lambda c: _covered(c, window))[0])
 
 
-def _covered(codes: Column, window: int) -> Column:
-    sorted_codes = F.array_sort(F.transform(codes, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
+def _covered(windows: Column, window: int) -> Column:
+    in_order = F.array_sort(F.transform(windows, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
 
     def places(s: Column) -> Column:
         m = F.size(s)
@@ -54,8 +64,7 @@ def _covered(codes: Column, window: int) -> Column:
         gaps = F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.array(F.lit(2**31 - 1))), lambda a, b: F.least(b - a, F.lit(window)))
         return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
 
-    bound = F.transform(F.array(sorted_codes), lambda s: F.transform(F.array(places(s)), count)[0])
-    return F.when(F.size(F.array_distinct(codes)) == F.size(codes), F.lit(0)).otherwise(bound[0])
+    return F.transform(F.array(in_order), lambda s: F.transform(F.array(places(s)), count)[0])[0]
 
 
 def _left(text: Column, drop: str) -> Column:
@@ -106,6 +115,19 @@ def common_words(docs: DataFrame, lang: Column, text_col: str = "text", count: i
     return ranked.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common"))
 
 
+def class_medians(features: DataFrame) -> DataFrame:
+    """``q_lang, m``: the lower median of each class's share, taken to 1 in ``BINS``.
+
+    Shares are counted by bin, so that it is exact however the rows are dealt, and what a
+    task holds is bounded by the bins.
+    """
+    bins = features.select("q_lang", F.posexplode(F.transform("classes", lambda x: F.round(x * BINS).cast("int"))).alias("k", "bin")).groupBy("q_lang", "k", "bin").count()
+    whole = Window.partitionBy("q_lang", "k")
+    placed = bins.withColumn("below", F.sum("count").over(whole.orderBy("bin"))).withColumn("n", F.sum("count").over(whole))
+    middle = placed.groupBy("q_lang", "k").agg(F.min(F.when(2 * F.col("below") >= F.col("n"), F.col("bin") / BINS)).alias("m"))
+    return middle.groupBy("q_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("m"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, ``class_distance``, ``word_distance`` and ``kept``: one row per row.
 
@@ -131,7 +153,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         )
     )
     passed = features.where("NOT base_failed")
-    medians = passed.groupBy("q_lang").agg(F.array(*[F.percentile_approx(F.col("classes")[k], 0.5, 10_000) for k in range(len(_CLASSES))]).alias("m"))
+    medians = class_medians(passed)
     medians = medians.select(F.col("q_lang").alias("m_lang"), F.transform("m", lambda x: x / F.aggregate("m", F.lit(1e-12), lambda a, y: a + y)).alias("class_ref"))
     pooled = passed.groupBy("q_lang").agg(F.array(*[F.sum(F.get("seen", F.lit(k))) for k in range(COMMON)]).alias("s"), F.sum("n_words").alias("n"))
     pooled = pooled.select(F.col("q_lang").alias("p_lang"), _with_rest(F.filter("s", lambda x: x.isNotNull()), F.col("n")).alias("word_ref"))
