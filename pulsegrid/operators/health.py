@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_low, corr_or_null, log_compress, logistic, row_mean, safe_divide
@@ -28,6 +29,8 @@ TRANSPARENT = ("vibration_x_rms", "vibration_y_rms", "vibration_x_kurtosis", "vi
 LOGGED = ("vibration_x_kurtosis", "vibration_y_kurtosis")
 REFERENCE = tuple(f"vibration_{c}_{f}" for f in ("rms", "peak_to_peak", "kurtosis", "crest_factor") for c in "xy")
 SKIP, N_REF, SMOOTH, EOL = 10, 50, 11, 0.05
+#: Folds of a leave-one-out study, at most: each row takes part in the fit of all folds but its own.
+MAX_FOLDS = 64
 
 
 def by_sequence(*keys: str):
@@ -108,11 +111,26 @@ def robust_scales(centred: DataFrame, by: str, features=REFERENCE) -> DataFrame:
     )
 
 
-def degradation_score(centred: DataFrame, scales: DataFrame, by: str, features=REFERENCE, smooth: int = SMOOTH, keys: tuple[str, ...] = (U,)) -> DataFrame:
-    """Adds ``score``: mean scaled deviation, then its median over the last ``smooth`` rows."""
+def trailing_median(value: str, window) -> Column:
+    """Median of the values known in a short frame: the middle of their sorted array."""
+    known = F.sort_array(F.collect_list(value).over(window))
+    middle = F.transform(F.array(known), lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2)
+    return middle[0]
+
+
+def fused_deviation(centred: DataFrame, scales: DataFrame, by: str, features=REFERENCE) -> DataFrame:
+    """Adds ``fused``: the mean scaled deviation of a row."""
     fused = centred.join(scales, by).withColumn("fused", row_mean([F.col(f"c_{f}") / F.col(f"s_{f}") for f in features]))
-    trailing = by_sequence(by, *keys).rowsBetween(-(smooth - 1), 0)
-    return fused.withColumn("score", F.percentile("fused", F.lit(0.5)).over(trailing)).drop(*[f"s_{f}" for f in features])
+    return fused.drop(*[f"s_{f}" for f in features])
+
+
+def degradation_score(centred: DataFrame, scales: DataFrame, by: str, features=REFERENCE, smooth: int = SMOOTH, keys: tuple[str, ...] = (U,)) -> DataFrame:
+    """Adds ``score``: mean scaled deviation, then its median over the last ``smooth`` rows.
+
+    Frames go by ``pos``, so rows that were left out of ``centred`` leave a gap.
+    """
+    trailing = Window.partitionBy(by, *keys).orderBy("pos").rangeBetween(-(smooth - 1), 0)
+    return fused_deviation(centred, scales, by, features).withColumn("score", trailing_median("fused", trailing))
 
 
 def end_of_life(n: Column, fraction: float) -> Column:
@@ -129,10 +147,16 @@ def anchors(scored: DataFrame, by: str, skip: int = SKIP, n_ref: int = N_REF, eo
     return healthy.join(failure, by)
 
 
+def _anchor_rows(centred: DataFrame, skip: int = SKIP, n_ref: int = N_REF, eol: float = EOL, smooth: int = SMOOTH) -> DataFrame:
+    """The rows whose scores the anchors look at, and those that these scores look back on."""
+    first_end = F.col("n_unit") - end_of_life(F.col("n_unit"), eol)
+    return centred.where((F.col("pos") < skip + n_ref) | (F.col("pos") >= first_end - (smooth - 1)))
+
+
 def _fit_centred(train: DataFrame, features=REFERENCE, check: bool = True) -> DataFrame:
-    """Parameter rows from centred rows with a ``fold``; scores are worked out once."""
+    """Parameter rows from centred rows with a ``fold``; scores are worked out where anchors need them."""
     scales = materialise(robust_scales(train, "fold", features))
-    scored = materialise(degradation_score(train, scales, "fold", features).select("fold", U, "pos", "n_unit", "score"))
+    scored = materialise(degradation_score(_anchor_rows(train), scales, "fold", features).select("fold", U, "pos", "n_unit", "score"))
     params = scales.join(anchors(scored, "fold"), "fold")
     return assert_order(params, "healthy", "failure") if check else params
 
@@ -163,12 +187,34 @@ def apply_reference(df: DataFrame, params: DataFrame, by: str | None = None, fea
     return hi.select(*df.columns, *[c for c in ("fold", "score", out) if c not in df.columns])
 
 
+def folds_of(df: DataFrame, unit: str = U, most: int = MAX_FOLDS) -> list:
+    """The folds of a leave-one-out study, in order; raises beyond ``most``."""
+    found = [r[0] for r in df.select(unit).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"over {most} folds: a study refits for each, so group the units and leave out groups")
+    return sorted(found, key=str)
+
+
 def leave_one_out(df: DataFrame, unit: str = U) -> DataFrame:
-    """Each row once for every other unit, the fold; a study has few units, each checked as held out once."""
+    """Each row once for every other unit, the fold.
+
+    For what needs the rows themselves (medians). A study has ``MAX_FOLDS`` folds at most, so
+    rows are never multiplied by the number of units of a fleet; sums take complements instead.
+    """
+    folds_of(df, unit)
     folds = df.select(F.col(unit).alias("fold")).distinct()
     return df.join(F.broadcast(folds), F.col(unit) != F.col("fold"))
 
 
+def save_params(params: DataFrame, path: str) -> None:
+    """Fitted parameters as a small Parquet table; an earlier one is replaced."""
+    params.write.mode("overwrite").parquet(path)
+
+
+def load_params(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def leave_one_out_reference(df: DataFrame, check: bool = True) -> DataFrame:
     """Fit without each unit in turn and apply to it: one plan for all folds."""
     return apply_reference(df, fit_leave_one_out(df, check=check), by=U)
@@ -249,6 +295,17 @@ class PcaIndicator:
     def __init__(self, features: list[str], stages: list, sign: float, low: float, high: float):
         self.features, self.stages, self.sign, self.low, self.high = features, stages, sign, low, high
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted stages as a pipeline, the rest as one row."""
+        PipelineModel(self.stages).write().overwrite().save(f"{path}/stages")
+        rest = spark.createDataFrame([(self.features, self.sign, self.low, self.high)], "features array<string>, sign double, low double, high double")
+        rest.write.mode("overwrite").parquet(f"{path}/rest")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PcaIndicator:
+        rest = spark.read.parquet(f"{path}/rest").first()
+        return PcaIndicator(list(rest["features"]), PipelineModel.load(f"{path}/stages").stages, rest["sign"], rest["low"], rest["high"])
+
 
 def fit_pca(df: DataFrame, top_k: int = 8, max_null_fraction: float = 0.2) -> PcaIndicator:
     """First principal component of the best-scored features, turned to fall with life."""

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_low, condition_of, phm_score, seconds_between
 from .guards import assert_no_leakage, assert_only_role
-from .health import SEQ, U, candidate_features, leave_one_out
+from .health import SEQ, U, candidate_features, folds_of
 
 SEED = 42
+TREES, DEPTH = 100, 10
+FOREST = "forest"
 
 
 def unit_lives(df: DataFrame) -> DataFrame:
@@ -28,6 +30,16 @@ def fit_naive(df: DataFrame, by: str | None = None) -> DataFrame:
     return rows.groupBy("fold", U).agg(F.max("rul_seconds").alias("life")).groupBy("fold").agg(F.avg("life").alias("mean_life"))
 
 
+def fit_naive_leave_one_out(df: DataFrame, by: str = U) -> DataFrame:
+    """The same for each value of ``by`` left out: sums of all less those of its own, in one pass."""
+    lives = df.groupBy(F.col(by).alias("fold"), F.col(U).alias("__u")).agg(F.max("rul_seconds").alias("life"))
+    own = lives.groupBy("fold").agg(F.sum("life").alias("s"), F.count("life").alias("n"))
+    whole = own.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    # The totals are one row.
+    rest = own.crossJoin(F.broadcast(whole)).withColumn("m", F.col("all_n") - F.col("n"))
+    return rest.where("m > 0").select("fold", ((F.col("all_s") - F.coalesce("s", F.lit(0.0))) / F.col("m")).alias("mean_life"))
+
+
 def elapsed(df: DataFrame, starts: DataFrame) -> DataFrame:
     """Adds ``elapsed_seconds`` since the known start of a unit, else since its first row here."""
     known = starts.select(U, F.col("start").alias("__start"))
@@ -69,15 +81,45 @@ def best_model(fold_metrics: DataFrame) -> DataFrame:
     return mean_fold_mae(fold_metrics).agg(F.min_by("model", F.struct("mean_mae", "model")).alias("model"))
 
 
-def lobo_naive(df: DataFrame) -> DataFrame:
-    """Held-out predictions of the baseline with each unit left out once: one plan.
+def lobo_naive(df: DataFrame, unit: str = U) -> DataFrame:
+    """Held-out predictions of the baseline with each value of ``unit`` left out once: one plan.
 
     A held-out unit's start is the first time stamp of its own rows.
     """
     assert_no_leakage(df, ("learning",))
-    params = fit_naive(leave_one_out(df), by="fold")
     nobody = df.select(U, F.col("event_timestamp").alias("start")).limit(0)
-    return prediction_rows(predict_naive(df, params, nobody, by=U), F.col(U), "naive")
+    return prediction_rows(predict_naive(df, fit_naive_leave_one_out(df, unit), nobody, by=unit), F.col(unit), "naive")
+
+
+def lobo_trees(df: DataFrame, unit: str = U, drop: tuple[str, ...] = (), trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Held-out predictions of the trees, fitted once without each value of ``unit``.
+
+    One fit a fold, each a Spark job over all other rows; the number of folds is bounded.
+    ``drop`` names columns that are no features (``unit`` itself never is one).
+    """
+    assert_no_leakage(df, ("learning",))
+    rows = df.drop(*drop)
+    out = None
+    for fold in folds_of(df, unit):
+        model = fit_forest(rows.where(F.col(unit) != fold).drop(*{unit} - {U}), trees=trees, depth=depth)
+        told = prediction_rows(predict_forest(rows.where(F.col(unit) == fold), model), F.col(unit), FOREST)
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def walk_forward_trees(df: DataFrame, folds: int = 4, drop: tuple[str, ...] = (), trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Held-out predictions of the trees over growing prefixes; fold i is fitted on the prefixes of all runs."""
+    assert_no_leakage(df, ("college_run",))
+    rows = walk_forward_folds(df.drop(*drop), folds)
+    out = None
+    for i in range(1, folds):
+        own = rows.where(F.col("fold") == i)
+        train, test = (own.where(F.col("part") == p).drop("fold", "part") for p in ("train", "test"))
+        if train.isEmpty() or test.isEmpty():
+            continue
+        told = prediction_rows(predict_forest(test, fit_forest(train, trees=trees, depth=depth)), F.lit(f"fold {i}"), FOREST)
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 def fold_edges(n: Column, folds: int) -> Column:
@@ -164,7 +206,7 @@ def resolve_truth(derived: DataFrame, official: DataFrame, exception: str | None
 # Trees
 
 
-def fit_forest(df: DataFrame, trees: int = 100, max_null_fraction: float = 0.2, depth: int = 10) -> PipelineModel:
+def fit_forest(df: DataFrame, trees: int = TREES, max_null_fraction: float = 0.2, depth: int = DEPTH) -> PipelineModel:
     """A seeded forest over the candidate columns; gaps filled with training medians."""
     assert_no_leakage(df)
     cols = candidate_features(df, max_null_fraction)

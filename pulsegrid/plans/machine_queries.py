@@ -13,7 +13,7 @@ from .views import r, rounded, with_views
 
 U, SEQ = health.U, health.SEQ
 REF, TRANS = health.REFERENCE, health.TRANSPARENT
-WIDTHS = (1, 5, 11, 21)
+WIDTHS = (1, 5, 11, 21, 31)
 
 
 def _learn(spark, sf_dir) -> DataFrame:
@@ -193,11 +193,10 @@ def c8_smoothing_sweep(spark, sf_dir):
     df = _learn(spark, sf_dir)
     centred = materialise(health.centred_on_own_reference(df)).withColumn("fold", F.lit("all"))
     scales = health.robust_scales(centred, "fold")
-    fused = centred.join(scales, "fold").withColumn("fused", scalar.row_mean([F.col(f"c_{f}") / F.col(f"s_{f}") for f in REF]))
-    fused = materialise(fused.select("fold", U, SEQ, "pos", "n_unit", "fused"))
+    fused = materialise(health.fused_deviation(centred, scales, "fold").select("fold", U, SEQ, "pos", "n_unit", "fused"))
     out = None
     for w in WIDTHS:
-        score = fused.withColumn("score", F.percentile("fused", F.lit(0.5)).over(health.by_sequence().rowsBetween(-(w - 1), 0)))
+        score = fused.withColumn("score", health.trailing_median("fused", health.by_sequence().rowsBetween(-(w - 1), 0)))
         hi = score.join(health.anchors(score, "fold"), "fold").withColumn("hi", scalar.logistic(F.col("score"), F.col("healthy"), F.col("failure")))
         told = health.diagnostics(hi).agg(F.avg("usable_range_p05_p95").alias("mean_range"), F.avg("spearman").alias("mean_spearman"), F.max("pct_at_one").alias("worst_pct_at_one")).withColumn("width", F.lit(w))
         out = told if out is None else out.unionByName(told)
@@ -284,14 +283,11 @@ _METRICS = ", ".join(f"{r(v)} AS {k}" for k, v in _METRIC_SQL.items()) + f", cou
 
 
 def _lobo_predictions(spark, sf_dir):
-    df = guards.assert_no_leakage(_learn(spark, sf_dir), ("learning",))
-    params = rul.fit_naive(health.leave_one_out(df, "grp"), by="fold")
-    nobody = df.select(U, F.col("event_timestamp").alias("start")).limit(0)
-    return rul.prediction_rows(rul.predict_naive(df, params, nobody, by="grp"), F.col("grp"), "naive")
+    return rul.lobo_naive(_learn(spark, sf_dir), "grp")
 
 
 def a28_naive_fit(spark, sf_dir):
-    return rounded(rul.fit_naive(health.leave_one_out(_learn(spark, sf_dir), "grp"), by="fold"))
+    return rounded(rul.fit_naive_leave_one_out(_learn(spark, sf_dir), "grp"))
 
 
 A28 = f"{with_views('learn')}, {_NAIVE} SELECT fold, {r('mean_life')} AS mean_life FROM fo"
@@ -328,7 +324,7 @@ A34G = f"{with_views('learn')}, {_NAIVE} SELECT model, split, {r(_METRIC_SQL['ma
 def _two_models(spark, sf_dir):
     """The baseline beside a model that always says the mean life: two rows to choose between."""
     naive = _lobo_predictions(spark, sf_dir)
-    mean = rul.fit_naive(health.leave_one_out(_learn(spark, sf_dir), "grp"), by="fold").withColumnRenamed("fold", "split")
+    mean = rul.fit_naive_leave_one_out(_learn(spark, sf_dir), "grp").withColumnRenamed("fold", "split")
     constant = naive.drop("predicted").join(mean, "split").withColumnRenamed("mean_life", "predicted").withColumn("model", F.lit("constant"))
     return rul.metrics(naive.unionByName(constant.select(*naive.columns)), "model", "split")
 
@@ -480,7 +476,7 @@ def c2_c3_pca_hi(spark, sf_dir):
 
 def c11_c12_forest(spark, sf_dir):
     df = views.acq(spark, sf_dir).drop("grp", "label")
-    model = rul.fit_forest(df.where("role = 'learning'"), trees=20, depth=6)
+    model = rul.fit_forest(df.where("role = 'learning'"))
     return rounded(rul.predict_forest(df.where("role = 'test_censored'"), model).select(U, SEQ, "predicted"), 1)
 
 
