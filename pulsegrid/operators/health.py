@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip_low, corr_or_null, log_compress, logistic, row_mean, safe_divide
 from ..tables import materialise
 from .guards import assert_no_leakage, assert_order
+from .quantiles import exact_medians
 
 CONTRACT = (
     "acquisition_id", "dataset_id", "bearing_run_id", "role", "source_file_path", "sequence_index", "event_timestamp", "sample_rate_hz", "n_samples",
@@ -104,8 +105,12 @@ def centred_on_own_reference(df: DataFrame, features=REFERENCE, logged=LOGGED, s
 def robust_scales(centred: DataFrame, by: str, features=REFERENCE) -> DataFrame:
     """``by, s_<feature>``: 1.4826 times the median absolute deviation; else the standard
     deviation where that is next to nothing; else 1."""
-    mid = centred.groupBy(by).agg(*[F.median(f"c_{f}").alias(f"m_{f}") for f in features])
-    spread = centred.join(mid, by).groupBy(by).agg(*[x for f in features for x in (F.median(F.abs(F.col(f"c_{f}") - F.col(f"m_{f}"))).alias(f"a_{f}"), F.stddev_pop(f"c_{f}").alias(f"d_{f}"))])
+    cols = [f"c_{f}" for f in features]
+    mid = materialise(exact_medians(centred, by, cols).toDF(by, *[f"m_{f}" for f in features]))
+    # One row for each fold.
+    off = centred.select(by, *cols).join(F.broadcast(mid), by)
+    mad = exact_medians(off.select(by, *[F.abs(F.col(f"c_{f}") - F.col(f"m_{f}")).alias(f"a_{f}") for f in features]), by, [f"a_{f}" for f in features])
+    spread = centred.groupBy(by).agg(*[F.stddev_pop(c).alias(f"d_{c[2:]}") for c in cols]).join(mad, by)
     return spread.select(
         by, *[F.when(1.4826 * F.col(f"a_{f}") > 1e-9, 1.4826 * F.col(f"a_{f}")).when(F.col(f"d_{f}") > 1e-9, F.col(f"d_{f}")).otherwise(1.0).alias(f"s_{f}") for f in features]
     )
