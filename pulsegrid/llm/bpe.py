@@ -22,11 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import table
+from .common import ship, table
 
 NO_RANK = 1 << 60
-CACHED = 400_000
+CACHED = 150_000
 CACHED_LENGTH = 80
 #: White space to str.split that isn't white space to the vocabulary's splitter.
 _ODD = re.compile("[\x1c-\x1f]")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as _ship
 from ..tables import materialise, shared_dir
 
 __all__ = ["materialise", "shared_dir"]
@@ -14,6 +15,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of rows that go to a Python worker at a time, where the session doesn't say; texts may be of any length.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, and bound what a worker is given at once.
+
+    Spark's own limits are 64 MB and 10,000 rows, of which a worker holds several copies. A
+    limit set in the session stands.
+    """
+    _ship(spark)
+    if spark.conf.get(_BATCHES, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import materialise, sized, table
+from .common import materialise, ship, sized, table
 from .components import connected_components
 
 RADIUS = 2

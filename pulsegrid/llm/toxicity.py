@@ -21,15 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import materialise, table
+from .common import materialise, ship, table
 
 #: Labelled rows to fit on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 FEATURES = 1_024
 FOLDS = 3
 PREFIXES = (4, 5, 6)
-CACHED = 400_000
+CACHED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: The flags that the labels hold, in the order of the chain.
