@@ -79,3 +79,23 @@ def gather(df: DataFrame, keys: list[str], index: str, value: str, out: str = "s
 def prefix_of_spectrum(n: int) -> int:
     """How many bins a plot of a spectrum of n bins shows."""
     return n // 4
+
+
+def spectrum_prefix(df: DataFrame, keys: list[str], samples: str, sample_rate: float) -> DataFrame:
+    """``keys, k, frequency, magnitude``: the first quarter of the bins of each signal's spectrum.
+
+    Missing samples are left out; a signal of under two gives no rows.
+    """
+    ship(df.sparkSession)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), "frequency array<double>", "magnitude array<double>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.abs(np.fft.rfft(np.asarray(s, dtype=float))) if len(s) > 1 else np.zeros(0) for s in batch["__samples"]]
+            shown = [prefix_of_spectrum(len(m)) for m in found]
+            at = [np.fft.rfftfreq(len(s), 1 / sample_rate)[:n] if len(s) > 1 else np.zeros(0) for s, n in zip(batch["__samples"], shown, strict=True)]
+            yield batch[keys].assign(frequency=at, magnitude=[m[:n] for m, n in zip(found, shown, strict=True)])
+
+    clean = F.filter(F.transform(samples, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
+    found = df.select(*keys, F.coalesce(clean, F.array().cast("array<double>")).alias("__samples")).mapInPandas(run, schema)
+    return found.select(*keys, F.posexplode(F.arrays_zip("frequency", "magnitude")).alias("k", "x")).select(*keys, "k", "x.frequency", "x.magnitude")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
+from .numbering import number_rows
 
 STATS = ("mean", "abs_mean", "rms", "std", "var", "min", "max", "peak_to_peak", "crest_factor", "shape_factor", "impulse_factor", "clearance_factor", "kurtosis", "skewness")
 
@@ -149,6 +150,7 @@ def run_windows(windows: DataFrame, run: str, file_order: str, file_start: str,
     run in file order, then window order, from 0.
     """
     start = F.col(file_start).cast("double") + F.col("row_start") / sample_rate
-    end = F.max(F.col(file_start).cast("double")).over(Window.partitionBy(run)) + file_seconds
-    seq = F.row_number().over(Window.partitionBy(run).orderBy(file_order, "w")) - 1
-    return windows.withColumn("sequence_index", seq).withColumn("event_seconds", start).withColumn("rul_seconds", end - start)
+    ends = windows.groupBy(F.col(run).alias("__run")).agg(F.max(F.col(file_start).cast("double")).alias("__end"))
+    placed = number_rows(windows, [run], [file_order], ["w"], "sequence_index").withColumn("sequence_index", F.col("sequence_index").cast("int"))
+    timed = placed.withColumn("event_seconds", start).join(ends, F.col(run).eqNullSafe(F.col("__run")))
+    return timed.withColumn("rul_seconds", F.col("__end") + file_seconds - F.col("event_seconds")).drop("__run", "__end")

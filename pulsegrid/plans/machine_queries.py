@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import jobs
 from ..functions import scalar
 from ..operators import asof, guards, health, rul, stages
+from ..sources import waveforms
 from ..tables import materialise
 from . import views
 from .views import r, rounded, with_views
@@ -480,6 +482,59 @@ def c11_c12_forest(spark, sf_dir):
     return rounded(rul.predict_forest(df.where("role = 'test_censored'"), model).select(U, SEQ, "predicted"), 1)
 
 
+def _both_lobo(spark, sf_dir) -> DataFrame:
+    """Held-out predictions of baseline and trees, each group of machines left out once."""
+    df = _learn(spark, sf_dir)
+    return materialise(rul.lobo_naive(df, "grp").unionByName(rul.lobo_trees(df, "grp", ("label",))))
+
+
+def c13_both_models(spark, sf_dir):
+    """Errors of both models by group; mean error of each model, the best one, and where the trees are worse."""
+    folds = materialise(rul.metrics(_both_lobo(spark, sf_dir), "model", "split"))
+    worse = rul.mae_pivot(folds, ["naive", rul.FOREST]).select("split", (F.col(rul.FOREST) > F.col("naive")).alias("forest_worse"))
+    # The choice is one row.
+    told = folds.join(rul.mean_fold_mae(folds), "model").join(worse, "split").crossJoin(F.broadcast(rul.best_model(folds).withColumnRenamed("model", "best")))
+    return rounded(told, 1)
+
+
+def c14_both_models(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    both = rul.walk_forward_naive(runs).unionByName(rul.walk_forward_trees(runs, drop=("label", "grp")))
+    return rounded(rul.metrics(both, "model", "split"), 1)
+
+
+def c15_both_models(spark, sf_dir):
+    """The trees, frozen on all learning rows, beside the baseline on the hidden set."""
+    df = views.acq(spark, sf_dir)
+    learning, censored = df.where("role = 'learning'"), df.where("role = 'test_censored'").withColumn(U, F.col("label"))
+    params, starts = rul.fit_naive(learning), rul.unit_lives(learning).select(U, "start")
+    model = rul.fit_forest(learning.drop("label", "grp"))
+    truth = j3_hidden_rul(spark, sf_dir).withColumnRenamed("rul_seconds", "actual").withColumn("variant", F.lit("derived"))
+    scored = rul.score_hidden_set(censored, truth, {"naive": lambda d: rul.predict_naive(d, params, starts), rul.FOREST: lambda d: rul.predict_forest(d, model)})
+    return rounded(rul.summarize_hidden(scored, "model", "variant"), 1)
+
+
+def c17_indicator_comparison(spark, sf_dir):
+    return rounded(jobs.compare_indicators(_learn(spark, sf_dir), "grp", check=False)["indicators"], 2)
+
+
+def j7_with_waveform(spark, sf_dir):
+    """Rows whose machine and sequence number are among the picked ones."""
+    df = views.acq(spark, sf_dir)
+    return waveforms.with_waveform(df, jobs.picked_rows(df)).select(U, SEQ)
+
+
+J7 = f"""{with_views('acq')}, p AS (SELECT {U}, {SEQ}, list_distinct([least(CAST(floor(f * (n - 1)) AS BIGINT), n - 1) FOR f IN [0.0::DOUBLE, 0.02::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]]) AS wanted FROM acq)
+SELECT {U}, CAST({SEQ} AS INT) AS {SEQ} FROM p WHERE list_contains(wanted, {SEQ})"""
+
+
+def p20_prefix_columns(spark, sf_dir):
+    return rounded(waveforms.columns_with(views.acq(spark, sf_dir), U, SEQ, "vibration_x_"))
+
+
+P20 = f"{with_views('acq')} SELECT {U}, CAST({SEQ} AS INT) AS {SEQ}, {', '.join(f'{r(f)} AS {f}' for f in REF if f.startswith('vibration_x_'))} FROM acq"
+
+
 QUERIES = {
     "p3_foreign_roles": (p3_foreign_roles, P3), "p1_p2_filters": (p1_p2_role_and_unit_filter, P1), "p5_null_fractions": (p5_null_fractions, P5), "w7_healthy_mask": (w7_healthy_mask, W7), "w9_p22_life_fraction": (w9_p22_life_fraction, W9),
     "a29_transparent_fit": (a29_transparent_fit, A29), "c1_transparent_hi": (c1_transparent_hi, C1), "w11_c4_own_reference": (w11_own_reference, W11), "c5_c7_a31_a32_reference_fit": (c5_c7_reference_fit, C5), "c5_pooled_reference_fit": (c5_pooled_reference_fit, C5P),
@@ -489,4 +544,6 @@ QUERIES = {
     "a36_l5_best_model": (a36_l5_best_model, A36), "a45_mae_pivot": (a45_mae_pivot, A45), "a46_worse_count": (a46_worse_count, A46), "c19_a47_track": (c19_a47_track, C19), "w18_walk_forward_folds": (w18_walk_forward_folds, W18),
     "c14_walk_forward": (c14_walk_forward, C14), "p17_fold_order": (p17_fold_order, P17), "j3_hidden_rul": (j3_hidden_rul, J3), "j4_c15_hidden_scores": (j4_c15_hidden_scores, J4), "a37_hidden_summary": (a37_hidden_summary, A37),
     "w20_l2_last_rows": (w20_l2_last_rows, W20), "w19_u6_position_picks": (w19_u6_position_picks, W19), "c20_current_state": (c20_current_state, C20), "c2_c3_pca_hi": (c2_c3_pca_hi, None), "c11_c12_forest": (c11_c12_forest, None),
+    "c13_both_models": (c13_both_models, None), "c14_both_models": (c14_both_models, None), "c15_both_models": (c15_both_models, None),
+    "c17_indicator_comparison": (c17_indicator_comparison, None), "j7_with_waveform": (j7_with_waveform, J7), "p20_prefix_columns": (p20_prefix_columns, P20),
 }

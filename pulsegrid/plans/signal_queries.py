@@ -111,6 +111,14 @@ A15W = f"""{with_views("win")}, full_w AS (SELECT *, count(*) OVER (PARTITION BY
 sig AS (SELECT unit, file_seq, w, x AS v, count(*) OVER (PARTITION BY unit, file_seq, w) AS n, row_number() OVER (PARTITION BY unit, file_seq, w ORDER BY k) - 1 AS i FROM full_w WHERE rows_ = {SIZE} AND x IS NOT NULL), {_spectral_sql("unit, file_seq, w", 3)}"""
 
 
+def l8_spectrum_prefix(spark, sf_dir):
+    return rounded(spectral.spectrum_prefix(views.load(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", RATE))
+
+
+L8 = f"""WITH sig AS (SELECT vec_id, len(embedding) AS n, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+spec AS ({_SPECTRUM.format(keys="vec_id, n", rate=RATE).replace("vec_id, n, k, n", "vec_id, n, k")}) SELECT vec_id, CAST(k AS INT) AS k, {r("f")} AS frequency, {r("mag")} AS magnitude FROM spec WHERE k < (n // 2 + 1) // 4"""
+
+
 def s26_waveforms(spark, sf_dir):
     """Windows of 64 rows as arrays of floats; gaps keep their places."""
     rows = views.samples(spark, sf_dir).withColumn("w", F.floor(F.col("row_index") / SIZE).cast("long"))
@@ -172,6 +180,6 @@ J2 = f"""{with_views("samples")} SELECT unit, file_seq, y AS first_y FROM sample
 QUERIES = {
     "w1_windows": (w1_windows, W1), "a01_a14_window_stats": (a01_a14_window_stats, A01), "w5_group_stats": (w5_group_stats, W5), "w2_w4_run_windows": (w2_w4_run_windows, W2),
     "a24_a27_temperature": (a24_a27_temperature, A24), "a15_a23_spectral_vectors": (a15_a23_spectral_vectors, A15), "a15_a23_spectral_windows": (a15_spectral_windows, A15W),
-    "s26_waveforms": (s26_waveforms, S26), "s32_dropout_profile": (s32_dropout_profile, S32), "s12_row_range": (s12_row_range, S12), "s25_strided_files": (s25_strided_files, S25),
+    "l8_spectrum_prefix": (l8_spectrum_prefix, L8), "s26_waveforms": (s26_waveforms, S26), "s32_dropout_profile": (s32_dropout_profile, S32), "s12_row_range": (s12_row_range, S12), "s25_strided_files": (s25_strided_files, S25),
     "l7_downsample": (l7_downsample, L7), "j1_nearest_within": (j1_nearest_within, J1), "j2_first_row_lookup": (j2_first_row_lookup, J2),
 }

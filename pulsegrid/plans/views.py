@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
+
 FILE_ROWS, SIZE, OVERLAP, RATE = 512, 64, 0.5, 64.0
 STEP = 32
 DAY0 = -2208988800  # 1900-01-01 in seconds
@@ -34,9 +36,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     e = load(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
-    rows = e.withColumn("row_index", (F.row_number().over(order) - 1).cast("long"))
+    # Numbered by day, so that no kind of event is sorted by one task.
+    rows = number_rows(e, ["event_type"], [F.to_date("ts")], ["ts", "event_id"])
     return rows.select(
         F.col("event_type").alias("unit"), "row_index", F.floor(F.col("row_index") / FILE_ROWS).cast("long").alias("file_seq"), (F.col("row_index") % FILE_ROWS).alias("file_row"),
         F.when(F.col("event_id") % 97 != 0, F.col("value").cast("double")).alias("x"), F.get_json_object("props", "$.k").try_cast("double").alias("y"),

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
+
 TABLES = {
     "schema_version": "version string",
     "datasets": "dataset_id string",
@@ -65,25 +68,33 @@ class Catalog:
 
     def latest_batch(self, dataset: str, role: str) -> str | None:
         """Path of the newest batch of a data set whose rows hold the role; None if none does."""
-        paths = self.table("feature_batches").where(F.col("dataset_id") == dataset).orderBy(F.desc("created_at"), F.desc("batch_id")).select("path").toLocalIterator()
-        for row in paths:
-            try:
-                if role in batch_roles(self.spark, row["path"]):
-                    return row["path"]
-            except Exception as error:  # an unreadable batch is passed over
-                if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                    raise
-        return None
+        batches = self.table("feature_batches").where(F.col("dataset_id") == dataset)
+        held = batches.drop("role").join(self.roles_of_batches(), "batch_id")
+        newest = latest_by_role(held).where(F.col("role") == role).select("batch_id")
+        found = batches.join(newest, "batch_id", "left_semi").select("path").take(1)
+        return found[0]["path"] if found else None
+
+    def roles_of_batches(self) -> DataFrame:
+        """``batch_id, role`` of all batches that can be read: one plan that opens footers alone.
+
+        Both stand in the files' places; a missing or broken file gives no row.
+        """
+        reader = self.spark.read.schema("acquisition_id string").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        try:
+            places = reader.parquet(f"{self.root}/batches").select(F.col("_metadata.file_path").alias("place"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "batch_id string, role string")
+        role = F.url_decode(F.regexp_extract("place", "/role=([^/]+)/", 1))
+        found = places.select(F.regexp_extract("place", "/batches/([^/]+)/", 1).alias("batch_id"), role.alias("role"))
+        return found.where("role NOT IN ('', '__HIVE_DEFAULT_PARTITION__')").distinct()
 
     def list_batches(self) -> list[tuple[str, str]]:
         """``path, roles`` newest first; ``unreadable`` where a batch can't be read."""
-        out = []
-        for row in self.table("feature_batches").orderBy(F.desc("created_at"), F.desc("batch_id")).select("path").toLocalIterator():
-            try:
-                out.append((row["path"], ",".join(sorted(batch_roles(self.spark, row["path"])))))
-            except Exception:
-                out.append((row["path"], "unreadable"))
-        return out
+        roles = self.roles_of_batches().groupBy("batch_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("role"))).alias("roles"))
+        listed = self.table("feature_batches").join(roles, "batch_id", "left").orderBy(F.desc("created_at"), F.desc("batch_id"))
+        return [(r["path"], r["roles"]) for r in listed.select("path", F.coalesce("roles", F.lit("unreadable")).alias("roles")).toLocalIterator()]
 
 
 def absent(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,8 +112,8 @@ def kind_of(dataset: Column) -> Column:
 
 def lineage(rows: DataFrame, batch: str) -> DataFrame:
     """Contract columns of a batch with kind, batch id and row number from 0 in unit order."""
-    number = F.row_number().over(Window.orderBy("bearing_run_id", "role", "sequence_index")) - 1
-    return rows.select(*LINEAGE, kind_of(F.col("dataset_id")).alias("kind"), F.lit(batch).alias("batch_id"), number.cast("long").alias("feature_row_index"))
+    placed = number_rows(rows, [], ["bearing_run_id", "role"], ["sequence_index"], "feature_row_index")
+    return placed.select(*LINEAGE, kind_of(F.col("dataset_id")).alias("kind"), F.lit(batch).alias("batch_id"), "feature_row_index")
 
 
 def latest_by_role(batches: DataFrame) -> DataFrame:
@@ -132,15 +143,46 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_document(tables: dict[str, DataFrame], path: str) -> None:
+    """A report of several small tables, each under its name."""
+    for name, rows in tables.items():
+        write_metrics(rows, f"{path}/{name}")
+
+
+def read_document(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The tables of a report that are there."""
+    found = {name: read_metrics(spark, f"{path}/{name}") for name in names}
+    return {name: rows for name, rows in found.items() if rows is not None}
+
+
+def write_predictions(parts: dict[str, DataFrame], path: str) -> None:
+    """Held-out predictions of several data sets as one Parquet table with their ``dataset_id``."""
+    out = None
+    for dataset, rows in sorted(parts.items()):
+        named = rows.withColumn("dataset_id", F.lit(dataset))
+        out = named if out is None else out.unionByName(named)
+    if out is None:
+        raise ValueError("there are no predictions to write")
+    out.write.mode("overwrite").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where there is none."""
+    return _optional(lambda: spark.read.parquet(path))
+
+
+def _optional(read) -> DataFrame | None:
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
     """The document, or None where there is none."""
-    try:
-        found = spark.read.option("multiLine", False).json(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return found
+    return _optional(lambda: spark.read.option("multiLine", False).json(path))
 
 
 def selected_model(metrics: DataFrame | None, default: str = "forest") -> str:

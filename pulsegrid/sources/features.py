@@ -24,7 +24,7 @@ def acquisition_features(spark: SparkSession, root: str, role: str, code_version
     """
     files = raw.list_files(spark, root)
     accs, temps = raw.file_indices(files, "acc"), raw.file_indices(files, "temp")
-    acc = raw.read_acceleration(spark, [r["path"] for r in accs.select("path").collect()]).join(F.broadcast(accs), "path")
+    acc = raw.read_acceleration(spark, root, raw.ACC_FILES).join(accs, "path")
     keys = ["bearing_label", "file_index", "path"]
     renamed = acc.withColumnRenamed("accel_horizontal", "vibration_x").withColumnRenamed("accel_vertical", "vibration_y")
     rows = windowing.group_stats(renamed, keys, ["vibration_x", "vibration_y"])
@@ -33,9 +33,8 @@ def acquisition_features(spark: SparkSession, root: str, role: str, code_version
         rows = rows.join(spec.select(*keys, *[F.col(n).alias(f"{c}_{n}") for n in spec.columns if n not in keys]), keys)
     first = acc.groupBy(*keys).agg(F.min_by(F.struct("hour", "minute", "second"), "row_index").alias("t"))
     rows = rows.join(first, keys).withColumn("event_timestamp", raw.time_of_day(F.col("t.hour"), F.col("t.minute"), F.col("t.second"))).withColumn("seconds", F.col("t.hour") * 3600 + F.col("t.minute") * 60 + F.col("t.second")).drop("t")
-    paths = [r["path"] for r in temps.select("path").collect()]
-    if paths:
-        temp = raw.read_temperature(spark, paths).join(F.broadcast(temps), "path")
+    if not temps.isEmpty():
+        temp = raw.read_temperature(spark, root, raw.TEMP_FILES).join(temps, "path")
         index = temp.groupBy("bearing_label", "file_index").agg(F.min_by(F.col("hour") * 3600 + F.col("minute") * 60 + F.col("second"), "row_index").alias("seconds"))
         rows = asof.nearest_within(rows, index, "bearing_label", "seconds", "seconds", "file_index", TOLERANCE)
         stats = windowing.temperature_stats(temp, ["bearing_label", "file_index"], {"bearing_temp": F.col("temperature_c")}, "row_index").drop("n_samples").withColumnRenamed("file_index", "nearest_index")
@@ -52,7 +51,9 @@ def acquisition_features(spark: SparkSession, root: str, role: str, code_version
 def log_features(spark: SparkSession, root: str, code_version: str = "", size: int = 25_600, overlap: float = 0.5, stride: int = 1, rate: float = LOG_RATE, file_seconds: float = FILE_SECONDS) -> DataFrame:
     """One row for each complete window of the chosen log files; windows never cross files."""
     files = raw.every_kth(raw.discover_logs(spark, root), stride).withColumn("file_start", seconds_between(F.col("event_timestamp"), F.lit("1970-01-01").cast("timestamp_ntz")))
-    rows = raw.read_logs(spark, [r["path"] for r in files.select("path").collect()]).join(F.broadcast(files.drop("event_timestamp")), "path")
+    # With a stride the other files aren't read at all: the names of the chosen ones are few.
+    chosen = raw.read_logs(spark, root, "*.csv") if stride == 1 else raw.read_logs(spark, [r["path"] for r in files.select("path").collect()])
+    rows = chosen.join(files.drop("event_timestamp"), "path")
     keys, step = ["path", "file_seq", "file_start"], windowing.step_of(size, overlap)
     stats = windowing.window_stats(rows, keys, ["vibration_x", "vibration_y"], size, overlap)
     spread = windowing.explode_windows(rows, keys, size, step).withColumn("k", F.col("row_index") - F.col("w") * step)

@@ -16,6 +16,8 @@ ACC = ("hour", "minute", "second", "microsecond", "accel_horizontal", "accel_ver
 TEMP = ("hour", "minute", "second", "col4_raw", "temperature_c")
 LOG = ("vibration_x", "vibration_y", "bearing_temp_c", "ambient_temp_c")
 UNIT_PATTERN = r"/Bearing(\d+)_(\d+)/"
+#: Name patterns of the files in a unit's folder, letter case ignored.
+ACC_FILES, TEMP_FILES = "[aA][cC][cC]_*.[cC][sS][vV]", "[tT][eE][mM][pP]_*.[cC][sS][vV]"
 
 
 def _schema(names: tuple[str, ...]) -> StructType:
@@ -61,9 +63,13 @@ def with_row_index(scanned: DataFrame, scan: str = "__scan", path: str = "path",
     return scanned.join(offsets.select(path, block, "__low", "__offset"), [path, block]).withColumn("row_index", F.col("__offset") + F.col(scan) - F.col("__low")).drop("__low", "__offset", scan, block)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, row_index, value``: lines of text files with their places."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__scan"))
+def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
+    """``path, row_index, value``: lines of text files with their places.
+
+    With a ``pattern``, of all files below ``paths`` whose names match.
+    """
+    reader = spark.read if pattern is None else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    lines = reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__scan"))
     return with_row_index(lines)
 
 
@@ -93,21 +99,21 @@ def _parse(lines: DataFrame, names: tuple[str, ...], delimiter: Column, keep_nan
     return checked.select("path", "row_index", *[value(k).alias(n) for k, n in enumerate(names)])
 
 
-def read_acceleration(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_acceleration(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """Six numbers a row; a missing or NaN value raises and names the file."""
-    return _parse(read_lines(spark, paths), ACC, F.lit(","), keep_nan=False)
+    return _parse(read_lines(spark, paths, pattern), ACC, F.lit(","), keep_nan=False)
 
 
-def read_temperature(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_temperature(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """Five numbers a row, with the delimiter each file's first line shows."""
-    lines = read_lines(spark, paths)
+    lines = read_lines(spark, paths, pattern)
     kinds = first_lines(lines).select("path", delimiter_of(F.col("first_line")).alias("__delimiter"))
     return _parse(lines.join(kinds, "path"), TEMP, F.col("__delimiter"), keep_nan=False)
 
 
-def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_logs(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """Four numbers a row, header dropped where there is one; NaN becomes null, and rows are numbered without the header."""
-    lines = read_lines(spark, paths)
+    lines = read_lines(spark, paths, pattern)
     headed = first_lines(lines).select("path", is_header(F.col("first_line")).alias("__headed"))
     body = lines.join(headed, "path").where(~F.col("__headed") | (F.col("row_index") > 0)).withColumn("row_index", F.col("row_index") - F.col("__headed").cast("int"))
     return _parse(body, LOG, F.lit(","), keep_nan=True)

@@ -1,5 +1,7 @@
 """Causal operators on streams: windows, event-time features, indicator and stages.
 
+With ``idle`` (milliseconds) a unit that sent nothing for so long ends: its state goes, and
+what waited for more rows is put out. Without it state stays for as long as the query runs.
 State is kept by unit and bounded: one window of samples, the early reference rows and the
 last few scores, or a stage and a run length. Rows of a unit must arrive in order across
 micro-batches; inside one they are sorted. Replaying a stream gives the batch result.
@@ -38,7 +40,17 @@ def _stats(values: np.ndarray) -> list[float | None]:
 STREAM_STATS = ("mean", "rms", "min", "max", "crest_factor", "kurtosis")
 
 
-def sliding_windows(samples: DataFrame, unit: str, row: str, value: str, size: int, overlap: float = 0.5) -> DataFrame:
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _keep(state: GroupState, values: tuple, idle: int | None) -> None:
+    state.update(values)
+    if idle is not None:
+        state.setTimeoutDuration(idle)
+
+
+def sliding_windows(samples: DataFrame, unit: str, row: str, value: str, size: int, overlap: float = 0.5, idle: int | None = None) -> DataFrame:
     """``unit, w, row_start`` and statistics of every complete window, as soon as it is complete.
 
     The state of a unit is the samples that a later window may still need: under ``size``.
@@ -49,6 +61,9 @@ def sliding_windows(samples: DataFrame, unit: str, row: str, value: str, size: i
     out = f"{unit} {kind}, w long, row_start long, " + ", ".join(f"{value}_{s} double" for s in STREAM_STATS)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # an incomplete tail gives no window
+            state.remove()
+            return
         first, kept = state.get if state.exists else (0, [])
         rows = _ordered(parts, row)
         buffer = np.concatenate([np.array([np.nan if v is None else v for v in kept], dtype=float), rows[value].to_numpy(dtype=float)])
@@ -56,10 +71,10 @@ def sliding_windows(samples: DataFrame, unit: str, row: str, value: str, size: i
         while len(buffer) >= size:
             found.append((key[0], first // step, first, *_stats(buffer[:size])))
             buffer, first = buffer[step:], first + step
-        state.update((first, [None if np.isnan(v) else float(v) for v in buffer]))
+        _keep(state, (first, [None if np.isnan(v) else float(v) for v in buffer]), idle)
         yield pd.DataFrame(found, columns=[unit, "w", "row_start", *(f"{value}_{s}" for s in STREAM_STATS)])
 
-    return samples.groupBy(unit).applyInPandasWithState(run, out, "first long, kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy(unit).applyInPandasWithState(run, out, "first long, kept array<double>", "append", _timeout(idle))
 
 
 def event_time_features(samples: DataFrame, unit: str, time: str, values: list[str], size: str = "1 second", step: str = "500 milliseconds", late: str = "2 seconds") -> DataFrame:
@@ -68,10 +83,12 @@ def event_time_features(samples: DataFrame, unit: str, time: str, values: list[s
     return windowing.group_stats(timed, [unit, "window"], values)
 
 
-def reference_indicator(rows: DataFrame, params: dict[str, float], features: tuple[str, ...] = REFERENCE, skip: int = SKIP, n_ref: int = N_REF, smooth: int = SMOOTH) -> DataFrame:
+def reference_indicator(rows: DataFrame, params: dict[str, float], features: tuple[str, ...] = REFERENCE, skip: int = SKIP, n_ref: int = N_REF, smooth: int = SMOOTH, idle: int | None = None) -> DataFrame:
     """``unit, sequence_index, score, hi``; the first rows of a unit come once its reference is complete.
 
-    ``params`` is a row of fitted scales and anchors.
+    ``params`` is a row of fitted scales and anchors. A unit that ends before its reference is
+    complete (``skip + n_ref`` rows) comes out when it has been idle, held against the rows it
+    has, as in a batch; without ``idle`` it never does.
     """
     ship(rows.sparkSession)
     scales = np.array([params[f"s_{f}"] for f in features])
@@ -96,6 +113,21 @@ def reference_indicator(rows: DataFrame, params: dict[str, float], features: tup
             hi = None if score is None else float(1 / (1 + np.exp(np.clip((score - (healthy + failure) / 2) / ((failure - healthy) / 6), -700, 700))))
             found.append((key[0], seq, score, hi))
 
+        def settle(block: np.ndarray) -> None:
+            nonlocal reference
+            reference = np.nanmedian(block[skip:] if len(block) > skip else block[:n_ref], axis=0)
+            for s, b in zip(early_seq, block, strict=True):
+                put(s, b)
+
+        def early_block() -> np.ndarray:
+            return np.array([np.nan if v is None else v for v in early], dtype=float).reshape(-1, width)
+
+        if state.hasTimedOut:
+            if early_seq:
+                settle(early_block())
+            state.remove()
+            yield pd.DataFrame(found, columns=[U, SEQ, "score", "hi"])
+            return
         data = _ordered(parts, SEQ)
         matrix = data[list(features)].to_numpy(dtype=float)
         matrix = np.where(logged, np.log1p(np.maximum(matrix, 0)), matrix)
@@ -107,22 +139,22 @@ def reference_indicator(rows: DataFrame, params: dict[str, float], features: tup
             early += [None if np.isnan(v) else float(v) for v in x]
             early_seq.append(seq)
             if seen == skip + n_ref:
-                block = np.array([np.nan if v is None else v for v in early], dtype=float).reshape(-1, width)
-                reference = np.nanmedian(block[skip:], axis=0)
-                for s, b in zip(early_seq, block, strict=True):
-                    put(s, b)
+                settle(early_block())
                 early, early_seq = [], []
-        state.update((seen, early, early_seq, [None if np.isnan(v) else float(v) for v in reference], recent))
+        _keep(state, (seen, early, early_seq, [None if np.isnan(v) else float(v) for v in reference], recent), idle)
         yield pd.DataFrame(found, columns=[U, SEQ, "score", "hi"])
 
-    return rows.groupBy(U).applyInPandasWithState(run, out, state_type, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(U).applyInPandasWithState(run, out, state_type, "append", _timeout(idle))
 
 
-def debounced_stages(rows: DataFrame, raw: str = "raw_stage", k: int = PERSISTENCE) -> DataFrame:
-    """``unit, sequence_index, stage``: the committed stage at every row."""
+def debounced_stages(rows: DataFrame, raw: str = "raw_stage", k: int = PERSISTENCE, idle: int | None = None) -> DataFrame:
+    """``unit, sequence_index, stage``: the committed stage at every row; a unit that was idle starts anew."""
     ship(rows.sparkSession)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         current, candidate, length = state.get if state.exists else (UNKNOWN, None, 0)
         data, found = _ordered(parts, SEQ), []
         for seq, reading in zip(data[SEQ].tolist(), data[raw].tolist(), strict=True):
@@ -137,7 +169,7 @@ def debounced_stages(rows: DataFrame, raw: str = "raw_stage", k: int = PERSISTEN
                     if length >= k:
                         current, candidate, length = reading, None, 0
             found.append((key[0], seq, current))
-        state.update((current, candidate, length))
+        _keep(state, (current, candidate, length), idle)
         yield pd.DataFrame(found, columns=[U, SEQ, "stage"])
 
-    return rows.groupBy(U).applyInPandasWithState(run, f"{U} string, {SEQ} long, stage string", "current string, candidate string, length int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(U).applyInPandasWithState(run, f"{U} string, {SEQ} long, stage string", "current string, candidate string, length int", "append", _timeout(idle))

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written so far and not yet cleared, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines see; a temporary one only where none is set (local tests)."""
@@ -19,12 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _store(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a recomputation.
+    A lost executor then costs a re-read, not a recomputation. The table is deleted when the
+    application ends, or before by ``clear_tables``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+    store, place = _store(spark, path)
+    store.deleteOnExit(place)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Delete all tables of this application; results that still read them must be stored before."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        store, place = _store(spark, path)
+        store.delete(place, True)
+        store.cancelDeleteOnExit(place)
+    return len(paths)

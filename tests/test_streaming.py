@@ -57,3 +57,15 @@ def test_debounce_equals_batch(spark, tmp_path):
     want = {r[SEQ]: r["stage"] for r in stages.debounce(df, "raw_stage", 2).collect()}
     got = _replay(spark, df, SEQ, 4, str(tmp_path / "d"), lambda s: streaming.debounced_stages(s, k=2), "r4")
     assert {r[SEQ]: r["stage"] for r in got} == want
+
+
+def test_short_units_come_out_when_idle(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(n, "mk"[n // 50], "learning", n % 50, *[float(1 + 0.05 * rng.normal() + (n % 50) / 40) for _ in health.REFERENCE]) for n in range(100)]
+    df = spark.createDataFrame(rows, f"n long, {U} string, role string, {SEQ} long, " + ", ".join(f"{f} double" for f in health.REFERENCE))
+    params = health.fit_reference(df.drop("n"), check=False)
+    want = {(r[U], r[SEQ]): r["hi"] for r in health.apply_reference(df.drop("n"), params).collect()}
+    got = {(r[U], r[SEQ]): r["hi"] for r in _replay(spark, df, "n", 2, str(tmp_path / "i"), lambda s: streaming.reference_indicator(s, params.first().asDict(), idle=1), "r5")}
+    # Units of 50 rows never complete a reference; the second may still wait when the stream stops.
+    assert {u for u, _ in got} >= {"m"} and all(v == pytest.approx(want[k]) for k, v in got.items())
+    assert all(sum(u == v for v, _ in got) == 50 for u in {u for u, _ in got})
