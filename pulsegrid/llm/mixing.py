@@ -109,8 +109,8 @@ def mix(
     ``mix_copies`` is how often the mix takes the document whole; it may be 0. Each source's
     words miss its target by no more than half its document at the threshold. A null or
     empty text has size 0. A null source is a source of its own, last in order. Rows of one
-    source that repeat an id (or have none) share a key and are taken together. Reruns give
-    the same result. Columns of ``docs`` named ``mix_...`` as above are replaced.
+    source that repeat an id (or have none) share a key and are taken together; where the
+    budget ends among them, the miss is up to half of all of them. Reruns give the same result. Columns of ``docs`` named ``mix_...`` as above are replaced.
     """
     out = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
     docs = docs.drop(*out)

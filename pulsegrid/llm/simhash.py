@@ -8,6 +8,10 @@ least. Inside a shard the same splitting goes on in memory until few points are
 are compared in full. Shards report stars rather than pairs: their number stays in
 proportion to the points however dense a group is.
 
+What is dealt grows faster than the points: at each level of the tree a ball of two bits
+crosses the sphere in about two of five cases, as distances of unrelated fingerprints differ
+by a few bits only. No choice of vantage points or radii avoids this; the README has figures.
+
 The pipeline's stage has a task of its own, texts that share most of their word shingles,
 which fingerprints a few bits apart can't find. Each set of shingles is put in one common
 order, rare ones first; two sets alike enough share one of the first few (prefix filter).
