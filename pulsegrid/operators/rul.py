@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -16,6 +18,8 @@ from .health import SEQ, U, candidate_features, folds_of
 
 SEED = 42
 TREES, DEPTH = 100, 10
+#: Fits that run side by side.
+PARALLEL = 4
 FOREST = "forest"
 
 
@@ -99,27 +103,36 @@ def lobo_trees(df: DataFrame, unit: str = U, drop: tuple[str, ...] = (), trees:
     """
     assert_no_leakage(df, ("learning",))
     rows = df.drop(*drop)
-    out = None
-    for fold in folds_of(df, unit):
+
+    def held_out(fold) -> DataFrame:
         model = fit_forest(rows.where(F.col(unit) != fold).drop(*{unit} - {U}), trees=trees, depth=depth)
-        told = prediction_rows(predict_forest(rows.where(F.col(unit) == fold), model), F.col(unit), FOREST)
-        out = told if out is None else out.unionByName(told)
-    return out
+        return prediction_rows(predict_forest(rows.where(F.col(unit) == fold), model), F.col(unit), FOREST)
+
+    return _each_fold(held_out, folds_of(df, unit))
+
+
+def _each_fold(fit: Callable[[object], DataFrame | None], folds: list) -> DataFrame:
+    """The union over the folds; a few fits run side by side, as each is many short jobs."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        parts = [p for p in pool.map(fit, folds) if p is not None]
+    if not parts:
+        raise ValueError("no fold has rows to fit and to predict")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def walk_forward_trees(df: DataFrame, folds: int = 4, drop: tuple[str, ...] = (), trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Held-out predictions of the trees over growing prefixes; fold i is fitted on the prefixes of all runs."""
     assert_no_leakage(df, ("college_run",))
     rows = walk_forward_folds(df.drop(*drop), folds)
-    out = None
-    for i in range(1, folds):
+
+    def held_out(i) -> DataFrame | None:
         own = rows.where(F.col("fold") == i)
         train, test = (own.where(F.col("part") == p).drop("fold", "part") for p in ("train", "test"))
         if train.isEmpty() or test.isEmpty():
-            continue
-        told = prediction_rows(predict_forest(test, fit_forest(train, trees=trees, depth=depth)), F.lit(f"fold {i}"), FOREST)
-        out = told if out is None else out.unionByName(told)
-    return out
+            return None
+        return prediction_rows(predict_forest(test, fit_forest(train, trees=trees, depth=depth)), F.lit(f"fold {i}"), FOREST)
+
+    return _each_fold(held_out, list(range(1, folds)))
 
 
 def fold_edges(n: Column, folds: int) -> Column:
@@ -214,7 +227,7 @@ def fit_forest(df: DataFrame, trees: int = TREES, max_null_fraction: float = 0.2
     steps = [
         Imputer(strategy="median", inputCols=cols, outputCols=filled, relativeError=0.0001),
         VectorAssembler(inputCols=filled, outputCol="__v"),
-        RandomForestRegressor(featuresCol="__v", labelCol="rul_seconds", predictionCol="predicted", numTrees=trees, maxDepth=depth, seed=SEED),
+        RandomForestRegressor(featuresCol="__v", labelCol="rul_seconds", predictionCol="predicted", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512),
     ]
     return Pipeline(stages=steps).fit(df.withColumns({c: F.col(c).cast("double") for c in cols}).where("rul_seconds IS NOT NULL"))
 
