@@ -123,6 +123,15 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
 
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words in either case; words are grouped by their first two characters, so that few are tried at a place."""
+    groups: dict[str, dict[str, list[str]]] = {}
+    for w in sorted(words):
+        groups.setdefault(re.escape(w[0]), {}).setdefault(re.escape(w[1:2]), []).append(re.escape(w[2:]))
+    firsts = [f"{a}(?:{'|'.join(f'{b}(?:{"|".join(c)})' for b, c in seconds.items())})" for a, seconds in groups.items()]
+    return r"(?i)\b(?:" + "|".join(firsts) + r")\b"
+
+
 def anchors_of(templates: dict[str, list[str]]) -> tuple[str, ...]:
     found = {w for texts in templates.values() for t in texts for w in _words(t) if len(w) > 1 and re.search("[a-z]", w)}
     return tuple(sorted(found - set(STOP_WORDS)))
@@ -206,7 +215,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     A null or empty text has none. Whole texts are read, a paragraph of any length as one.
     Repeated rows and null ids each give a row; other columns play no part.
     """
-    gate = r"(?i)\b(?:" + "|".join(map(re.escape, model.anchors)) + r")\b"
+    gate = any_word(model.anchors)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     numbered = F.transform(paragraphs(F.col("t")), lambda p, i: F.struct((i + 1).alias("paragraph"), p.alias("text")))
     asked = F.when(F.col("t").rlike(gate), F.filter(numbered, lambda p: p["text"].rlike(gate)))
