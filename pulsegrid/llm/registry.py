@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, license_scan, mixing, pii, quality, secret_scan, simhash, spelling, toxicity
+from . import bpe, chat_format, exact_dedup, license_scan, mixing, pii, quality, secret_scan, simhash, spelling, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
+    "op12_conversation_trie": trie.op12_conversation_trie,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op6_chat_formatting": chat_format.SQL,
     "op9_mixing": mixing.SQL,
+    "op12_conversation_trie": trie.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
