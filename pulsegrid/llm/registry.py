@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, license_scan, mixing, pii, quality, secret_scan, simhash, spelling, toxicity, trie
+from . import bpe, chat_format, exact_dedup, license_scan, mixing, pii, quality, secret_scan, simhash, spelling, toxicity, trie, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
+    "op11_url_filters": url_filter.op11_url_filters,
     "op12_conversation_trie": trie.op12_conversation_trie,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
