@@ -11,30 +11,50 @@ def first_rows(df: DataFrame, keys: list[str], order: str, value: str, out: str)
     return df.groupBy(*keys).agg(F.min_by(value, order).alias(out))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, unit: str, left_time: str, right_time: str, right_index: str, tolerance: float) -> DataFrame:
+#: Time buckets are so many tolerances wide, if the caller doesn't say.
+BUCKET = 64.0
+
+
+def nearest_within(left: DataFrame, right: DataFrame, unit: str, left_time: str, right_time: str, right_index: str, tolerance: float, bucket: float | None = None) -> DataFrame:
     """``left`` with ``nearest_index`` and ``gap`` of the right row of its unit nearest in time.
 
     Either direction; of equally near rows the lowest index; a gap over ``tolerance`` gives
-    nulls, one equal to it matches. Right rows at one time collapse to their lowest index.
-    Both sides are sorted together once by unit and time; no pair is ever formed. Times are
-    numbers; left rows without a time or unit match nothing.
+    nulls, one equal to it matches. Times are numbers; left rows without a time or unit match
+    nothing, right rows without a time, unit or index are matched by none.
+
+    Distinct times of both sides are sorted by unit and time bucket (``bucket`` wide), and the
+    last reading seen is carried along once forwards and once backwards, so the work grows
+    with the rows whatever the unit's size. Over borders of buckets it is carried by a table of
+    the buckets' first and last readings. No pair is ever formed.
     """
-    points = right.groupBy(F.col(unit).alias("__u"), F.col(right_time).cast("double").alias("__t")).agg(F.min(right_index).alias("__i"))
-    payload = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    both = left.select(F.col(unit).alias("__u"), F.col(left_time).cast("double").alias("__t"), payload.alias("__row"), F.lit(None).cast(points.schema["__i"].dataType).alias("__i")).unionByName(
-        points.select("__u", "__t", F.lit(None).cast(left.select(payload.alias("p")).schema["p"].dataType).alias("__row"), "__i")
-    )
-    at = F.when(F.col("__i").isNotNull(), F.struct("__t", "__i"))
-    back = Window.partitionBy("__u").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("__u").orderBy("__t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    met = both.withColumn("__b", F.last(at, ignorenulls=True).over(back)).withColumn("__f", F.first(at, ignorenulls=True).over(ahead)).where(F.col("__row").isNotNull())
+    width = float(bucket or (BUCKET * tolerance if 0 < tolerance < float("inf") else 86_400.0))
 
-    def gap(side: str):
-        return F.when(F.col("__t").isNotNull() & F.col(side).isNotNull(), F.struct(F.abs(F.col("__t") - F.col(f"{side}.__t")).alias("gap"), F.col(f"{side}.__i").alias("index")))
+    def timed(df: DataFrame, time: str) -> DataFrame:
+        rows = df.withColumns({"__u": F.col(unit), "__t": F.col(time).cast("double")})
+        return rows.where(F.col("__u").isNotNull() & F.col("__t").isNotNull() & ~F.isnan("__t")).withColumn("__b", F.floor(F.col("__t") / width))
 
-    best = F.least(gap("__b"), gap("__f"))
-    inside = F.col("__best.gap") <= tolerance
-    return met.withColumn("__best", best).select("__row.*", F.when(inside, F.col("__best.index")).alias("nearest_index"), F.when(inside, F.col("__best.gap")).alias("gap"))
+    points = timed(right, right_time).where(F.col(right_index).isNotNull()).groupBy("__u", "__b", "__t").agg(F.min(right_index).alias("__i"))
+    asked = timed(left, left_time).select("__u", "__b", "__t").distinct()
+    reading = F.struct("__t", "__i")
+    edges = points.groupBy("__u", "__b").agg(F.min(reading).alias("first"), F.max(reading).alias("last"))
+    buckets = asked.select("__u", "__b").distinct().join(edges, ["__u", "__b"], "full")
+    carried = F.array(
+        F.last("last", ignorenulls=True).over(Window.partitionBy("__u").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.last("first", ignorenulls=True).over(Window.partitionBy("__u").orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)),
+    )
+    over = buckets.withColumn("carried", carried).select("__u", "__b", F.explode("carried").alias("c")).where("c IS NOT NULL").select("__u", "__b", "c.*")
+    both = asked.withColumn("__asked", F.lit(True)).unionByName(points.union(over.select(*points.columns)), allowMissingColumns=True)
+    at = F.when(F.col("__i").isNotNull(), reading)
+    near = []
+    for order in (F.asc("__t"), F.desc("__t")):
+        # Both frames grow row by row; those of equal times are seen together.
+        found = F.last(at, ignorenulls=True).over(Window.partitionBy("__u", "__b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        near.append(F.when(found.isNotNull(), F.struct(F.abs(F.col("__t") - found["__t"]).alias("gap"), found["__i"].alias("index"))))
+    met = both.withColumns({"__before": near[0], "__after": near[1]}).where("__asked").withColumn("__best", F.least("__before", "__after")).where(F.col("__best.gap") <= tolerance)
+    named = met.select(F.col("__u").alias("__mu"), F.col("__t").alias("__mt"), F.col("__best.index").alias("nearest_index"), F.col("__best.gap").alias("gap"))
+    # Times are distinct on the right side here: no row is multiplied.
+    on = (F.col(f"`{unit}`") == F.col("__mu")) & (F.col(f"`{left_time}`").cast("double") == F.col("__mt"))
+    return left.join(named, on, "left").select(*[F.col(f"`{c}`") for c in left.columns], "nearest_index", "gap")
 
 
 def hidden_rul(test: DataFrame, full: DataFrame, label: str, seconds: float = 10.0) -> DataFrame:

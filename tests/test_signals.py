@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +87,36 @@ def test_tolerance_is_inclusive_and_ties_take_lowest(spark):
     right = spark.createDataFrame([(7, 1, 190.0), (5, 1, 10.0)], "idx int, u int, t double")
     assert asof.nearest_within(left, right, "u", "t", "t", "idx", 90.0).first()["nearest_index"] == 5
     assert asof.nearest_within(left, right, "u", "t", "t", "idx", 89.9).first()["nearest_index"] is None
+
+
+def _nearest(left, right, tolerance):
+    out = {}
+    for i, u, t in left:
+        found = [(abs(t - rt), idx) for idx, ru, rt in right if ru == u and rt is not None] if t is not None and u is not None else []
+        best = min(found, default=None)
+        out[i] = best if best is not None and best[0] <= tolerance else None
+    return out
+
+
+@pytest.mark.parametrize(("tolerance", "bucket"), [(6.0, None), (6.0, 1.5), (0.0, 2.0), (1e9, 10.0), (float("inf"), 3.0)])
+def test_nearest_over_bucket_borders_equals_brute_force(spark, tolerance, bucket):
+    rng = random.Random(int(min(tolerance, 99)))
+    # Gaps of many empty buckets, ties in time and index, nulls on both sides.
+    when = lambda: None if rng.random() < 0.05 else float(rng.choice([0, 1000, -500]) + rng.randint(0, 60))
+    left = [(i, rng.choice([1, 2, 3, None]), when()) for i in range(300)]
+    right = [(i // 2, rng.choice([1, 2, None]), when()) for i in range(80)]
+    out = asof.nearest_within(spark.createDataFrame(left, "id int, u int, t double"), spark.createDataFrame(right, "idx int, u int, t double"), "u", "t", "t", "idx", tolerance, bucket)
+    want = _nearest(left, [r for r in right if r[1] is not None], tolerance)
+    got = {r["id"]: None if r["nearest_index"] is None else (r["gap"], r["nearest_index"]) for r in out.collect()}
+    assert got == want
+
+
+def test_nearest_in_one_long_unit_takes_seconds(spark):
+    n = 1_000_000
+    left = spark.range(n).selectExpr("id", "1 AS u", "CAST(id AS DOUBLE) AS t")
+    right = spark.range(n).selectExpr("id AS idx", "1 AS u", "id + 0.25D AS t")
+    began = time.time()
+    out = asof.nearest_within(left, right, "u", "t", "t", "idx", 90.0)
+    got = out.agg(F.count("nearest_index").alias("n"), F.sum(F.col("nearest_index") - F.col("id")).alias("off"), F.max("gap").alias("gap")).first()
+    assert tuple(got) == (n, 0, 0.25)
+    assert time.time() - began < 60
