@@ -102,7 +102,7 @@ def compare_indicators(df: DataFrame, unit: str = health.U, check: bool = True)
     overall = health.pinning_report(by_unit)
     chosen = health.select_indicator(overall)
     held = health.materialise(reference.drop("fold"))
-    limits = stages.fit_thresholds(health.leave_one_out(held, unit), by="fold", check=check)
+    limits = stages.fit_thresholds_without(held, unit, check=check)
     staged = stages.summarize(stages.assign_stages(held, limits, by=unit))
     # The choice is one row.
     return {"indicators_by_unit": by_unit, "indicators": overall.crossJoin(F.broadcast(chosen)), "stages": staged, "thresholds": limits}

@@ -18,6 +18,7 @@ from ..functions.scalar import clip_low, corr_or_null, log_compress, logistic, r
 from ..tables import materialise
 from .guards import assert_no_leakage, assert_order
 from .quantiles import exact_medians
+from .ranks import SortedCells, moments_without, scores_by_fold
 
 CONTRACT = (
     "acquisition_id", "dataset_id", "bearing_run_id", "role", "source_file_path", "sequence_index", "event_timestamp", "sample_rate_hz", "n_samples",
@@ -30,8 +31,10 @@ TRANSPARENT = ("vibration_x_rms", "vibration_y_rms", "vibration_x_kurtosis", "vi
 LOGGED = ("vibration_x_kurtosis", "vibration_y_kurtosis")
 REFERENCE = tuple(f"vibration_{c}_{f}" for f in ("rms", "peak_to_peak", "kurtosis", "crest_factor") for c in "xy")
 SKIP, N_REF, SMOOTH, EOL = 10, 50, 11, 0.05
-#: Folds of a leave-one-out study, at most: each row takes part in the fit of all folds but its own.
+#: Folds of a study that refits a model for each, at most.
 MAX_FOLDS = 64
+#: Folds whose scales go to every machine (72 bytes each), at most.
+MAX_SCALES = 100_000
 
 
 def by_sequence(*keys: str):
@@ -175,13 +178,56 @@ def fit_reference(df: DataFrame, features=REFERENCE, check: bool = True) -> Data
     return _fit_centred(materialise(centred_on_own_reference(df, features)).withColumn("fold", F.lit("all")), features, check)
 
 
+def scales_without(centred: DataFrame, unit: str, features=REFERENCE) -> DataFrame:
+    """``fold, s_<feature>``: ``robust_scales`` of all rows but those of each unit in turn, from one sort.
+
+    A unit is a fold if there is another one; rows without a unit take part in no fit.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f"c_{f}").alias("v")) for f in features]))
+    long = materialise(centred.select(F.col(unit).alias("unit"), pairs.alias("x")).select("unit", "x.*"))
+    units = materialise(long.select("unit").where("unit IS NOT NULL").distinct())
+    cells = SortedCells(long)
+    middle = materialise(cells.quantiles_without(units).withColumnRenamed("value", "m"))
+    away = cells.quantiles_without(units, around=middle)
+    told = away.join(moments_without(long), ["name", "unit"], "full").groupBy(F.col("unit").alias("fold")).agg(
+        *[F.max(F.when(F.col("name") == f, F.struct("value", "sd"))).alias(f"x_{f}") for f in features]
+    )
+    scaled = {f: 1.4826 * F.col(f"x_{f}.value") for f in features}
+    wide = units.withColumnRenamed("unit", "fold").join(told, "fold", "left")
+    out = wide.select("fold", *[F.when(x > 1e-9, x).when(F.col(f"x_{f}.sd") > 1e-9, F.col(f"x_{f}.sd")).otherwise(1.0).alias(f"s_{f}") for f, x in scaled.items()])
+    return out if units.count() > 1 else out.limit(0)
+
+
+def anchors_without(centred: DataFrame, scales: DataFrame, unit: str, features=REFERENCE, skip: int = SKIP, n_ref: int = N_REF, eol: float = EOL, smooth: int = SMOOTH) -> DataFrame:
+    """``fold, healthy, failure`` of every fold, each under its own scales.
+
+    Scores depend on the fold, so early rows and those of the end of life are scored under
+    all scales but their own; a machine's rows of these two kinds must fit a task.
+    """
+    found = scales.limit(MAX_SCALES + 1).toArrow().to_pandas()
+    if len(found) > MAX_SCALES:
+        raise ValueError(f"over {MAX_SCALES} folds: group the units and leave out groups")
+    cols = [f"c_{f}" for f in features]
+    rows = _anchor_rows(centred.where(F.col(unit).isNotNull()), skip, n_ref, eol, smooth).select(F.col(unit).alias("__g"), F.col(U).alias("__u"), "pos", "n_unit", *cols)
+    run = scores_by_fold(found["fold"].tolist(), found[[f"s_{f}" for f in features]].to_numpy(dtype=float), cols, skip, n_ref, smooth, lambda n: max(1, int(n * eol)))
+    kind = scales.schema["fold"].dataType.simpleString()
+    scored = materialise(rows.groupBy("__g", "__u").applyInPandas(run, f"fold {kind}, end double, early array<double>"))
+    failure = scored.groupBy("fold").agg(F.median("end").alias("failure"))
+    healthy = scored.select("fold", F.explode("early").alias("score")).groupBy("fold").agg(F.median("score").alias("healthy"))
+    return healthy.join(failure, "fold")
+
+
 def fit_leave_one_out(df: DataFrame, unit: str = U, features=REFERENCE, check: bool = True) -> DataFrame:
-    """A parameter row for each value of ``unit``, fitted on all rows of the others: one plan.
+    """A parameter row for each value of ``unit``, fitted on all rows of the others.
 
-    A unit's own reference doesn't depend on the fold, so rows are centred once.
+    Rows are centred once (a unit's own reference doesn't depend on the fold) and sorted once;
+    what a fold leaves out is subtracted from counts, so rows are not multiplied by folds.
     """
     assert_no_leakage(df)
-    return _fit_centred(leave_one_out(materialise(centred_on_own_reference(df, features)), unit), features, check)
+    centred = materialise(centred_on_own_reference(df, features))
+    scales = materialise(scales_without(centred, unit, features))
+    params = scales.join(anchors_without(centred, scales, unit, features), "fold")
+    return assert_order(params, "healthy", "failure") if check else params
 
 
 def apply_reference(df: DataFrame, params: DataFrame, by: str | None = None, features=REFERENCE, out: str = "hi") -> DataFrame:
@@ -201,10 +247,10 @@ def folds_of(df: DataFrame, unit: str = U, most: int = MAX_FOLDS) -> list:
 
 
 def leave_one_out(df: DataFrame, unit: str = U) -> DataFrame:
-    """Each row once for every other unit, the fold.
+    """Each row once for every other unit, the fold: the plain form that tests compare with.
 
-    For what needs the rows themselves (medians). A study has ``MAX_FOLDS`` folds at most, so
-    rows are never multiplied by the number of units of a fleet; sums take complements instead.
+    A study has ``MAX_FOLDS`` folds at most here. Fits take complements instead: sums and
+    counts by subtraction (``ranks``), so rows are not multiplied.
     """
     folds_of(df, unit)
     folds = df.select(F.col(unit).alias("fold")).distinct()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialise
 from .guards import assert_no_leakage, assert_order
 from .health import EOL, N_REF, SEQ, SKIP, U, by_sequence, end_of_life
+from .ranks import SortedCells
 
 HEALTHY, DEGRADING, CRITICAL, UNKNOWN = "HEALTHY", "DEGRADING", "CRITICAL", "UNKNOWN"
 PERSISTENCE, HEALTHY_QUANTILE = 5, 0.05
@@ -26,6 +28,26 @@ def fit_thresholds(df: DataFrame, hi: str = "hi", by: str | None = None, skip: i
     return assert_order(params, "hi_critical", "hi_warn") if check else params
 
 
+def fit_thresholds_without(df: DataFrame, unit: str, hi: str = "hi", skip: int = SKIP, n_ref: int = N_REF, quantile: float = HEALTHY_QUANTILE, eol: float = EOL, check: bool = True) -> DataFrame:
+    """``fit_thresholds`` on all rows but those of each unit in turn, by subtraction.
+
+    Only the early values and one value for each machine's end of life are sorted, once.
+    """
+    assert_no_leakage(df)
+    rows = df.where(F.col(unit).isNotNull()).withColumn("__p", F.row_number().over(by_sequence()) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(U)))
+    early = F.when(F.col("__n") <= skip, F.col("__p") < n_ref).otherwise(F.col("__p").between(skip, skip + n_ref - 1))
+    last = rows.where(F.col("__p") >= F.col("__n") - end_of_life(F.col("__n"), eol)).groupBy(F.col(unit).alias("unit"), U).agg(F.median(hi).alias("v"))
+    last = materialise(last)
+    units = materialise(last.select("unit").distinct())
+    warn = SortedCells(rows.where(early).select(F.lit("early").alias("name"), F.col(unit).alias("unit"), F.col(hi).alias("v"))).quantiles_without(units, quantile)
+    critical = SortedCells(last.select(F.lit("end").alias("name"), "unit", "v")).quantiles_without(units)
+    machines = last.groupBy("unit").count()
+    left = machines.select("unit", (F.sum("count").over(Window.partitionBy()) - F.col("count")).alias("n_units"))
+    params = warn.select(F.col("unit").alias("fold"), F.col("value").alias("hi_warn")).join(critical.select(F.col("unit").alias("fold"), F.col("value").alias("hi_critical")), "fold")
+    params = params.join(left.withColumnRenamed("unit", "fold"), "fold")
+    return assert_order(params, "hi_critical", "hi_warn") if check else params
+
+
 def raw_stage(hi: Column, warn: Column, critical: Column) -> Column:
     """Band of a reading; null for a missing one."""
     known = hi.isNotNull() & ~F.isnan(hi)
