@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import some_rows, table
-from .spans import joined, matches, named, overlaps
+from .spans import joined, matches, named, once, overlaps, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each says the same as the plain pattern of its kind, without trying again inside a run.
@@ -285,14 +285,15 @@ def scan(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: str
     each give a row; other columns play no part.
     """
     found = _with_spans(docs, id_col, text_col)
-    base = F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS)])
     if not model.thresholds:
-        return found.withColumn("added", F.filter(base, lambda b: F.lit(False))).drop("proposed")
+        none = F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS)])
+        return found.withColumn("added", F.filter(none, lambda b: F.lit(False))).drop("proposed")
     cut = F.create_map(*[F.lit(x) for k in KINDS for x in (k, model.thresholds.get(k, 2.0))])
     passed = F.filter("proposed", lambda c: model.probability(c["features"]) >= cut[c["kind"]])
-    fresh = F.filter("passed", lambda c: ~overlaps(c, F.col("base")))
+    taken = lambda c: F.coalesce(*[F.when(overlaps(c, F.col(k)), F.lit(True)) for k in KINDS], F.lit(False))
+    fresh = F.filter("passed", lambda c: ~taken(c))
     added = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return found.withColumn("base", base).withColumn("passed", passed).withColumn("added", added).drop("proposed", "passed", "base")
+    return found.withColumn("passed", passed).withColumn("added", added).drop("proposed", "passed")
 
 
 def redact(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +309,11 @@ def redact(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: st
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(ordered, zero, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def put_piece(acc: Column, piece: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+        return F.aggregate(piece, start, put, lambda own: F.struct(own["at"].alias("at"), F.concat(acc["out"], own["out"]).alias("out")))
+
+    done = F.aggregate(once(ordered, pieces), zero, put_piece, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return found.select("id", done.alias("text"))
 
 

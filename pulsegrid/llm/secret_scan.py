@@ -173,10 +173,9 @@ def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("id", "t", *[spans.alias(kind) for kind, spans in base_spans(F.col("t")).items()])
-    known = F.concat("assign", "access", "hex")
     extra = F.filter(matches(F.col("t"), CANDIDATE), lambda s: (mean_ratio(s["value"], model.ratios) > model.limit))
-    found = rows.withColumn("known", known).withColumn("extra", extra)
-    return found.withColumn("markov", F.filter("extra", lambda s: ~overlaps(s, F.col("known")))).drop("t", "known", "extra")
+    taken = lambda s: F.coalesce(*[F.when(overlaps(s, F.col(k)), F.lit(True)) for k in ("assign", "access", "hex")], F.lit(False))
+    return rows.withColumn("extra", extra).withColumn("markov", F.filter("extra", lambda s: ~taken(s))).drop("t", "extra")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

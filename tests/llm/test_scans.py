@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.ml.classification import GBTClassifier
@@ -10,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from test_text_ops import _pii_base, _secret_base
 
-from pulsegrid.llm import pii, secret_scan
+from pulsegrid.llm import pii, secret_scan, spans
 
 SCHEMA = "doc_id long, text string"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -139,3 +140,43 @@ def test_secret_query_equals_brute_force(spark, data):
         spans = sorted((a, kinds.index(k), b) for k in kinds for a, b in base[k])
         assert x["spans"] == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
         assert x["base_sha256"] == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans if k < 3).encode()).hexdigest()
+
+
+def test_texts_with_very_many_matches_take_seconds(spark):
+    """Numbers, assignments and addresses by the hundred thousand in one text, against a plain search."""
+    began = time.time()
+    numbers = ",".join(str(k) for k in range(100_000))
+    df = spark.createDataFrame([(numbers,)], "t string")
+    got = df.select(spans.matches(F.col("t"), "[0-9]+").alias("m")).select(F.size("m"), F.sha2(spans.joined(spans.named(F.col("m"), "n", 0)), 256)).first()
+    want = ",".join(f"n:{m.start()}:{m.end()}" for m in re.finditer("[0-9]+", numbers))
+    assert tuple(got) == (100_000, hashlib.sha256(want.encode()).hexdigest())
+    few = spark.createDataFrame([("",), ("a1b22",), ("7" * 3 + "é" * 300 + "8",), (" ".join("9" * 257),), (" ".join("9" * 256),)], "t string")
+    for r in few.select("t", spans.matches(F.col("t"), "[0-9]+", F.lit(True)).alias("m")).collect():
+        assert [(s["start"], s["end"]) for s in r["m"]] == [m.span() for m in re.finditer("[0-9]+", r["t"])]
+    assert time.time() - began < 60
+
+
+def test_overlap_search_equals_all_pairs(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        at, base = 0, []
+        for _ in range(rng.randint(0, 9)):
+            at += rng.randint(0, 4)
+            base.append((at, at + rng.randint(1, 5)))
+            at = base[-1][1]
+        a = rng.randint(0, 40)
+        rows.append((base, (a, a + rng.randint(1, 6))))
+    kind = "struct<start:int,end:int>"
+    got = spark.createDataFrame(rows, f"base array<{kind}>, c {kind}").select("base", "c", spans.overlaps(F.col("c"), F.col("base")).alias("o")).collect()
+    assert all(r["o"] == any(b["start"] < r["c"]["end"] and r["c"]["start"] < b["end"] for b in r["base"]) for r in got)
+    assert len({r["o"] for r in got}) == 2
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "\n".join(f'token = "k{k:06d}Xq9"' for k in range(20_000))
+    began = time.time()
+    model = secret_scan.MarkovModel(tuple([1.0] * secret_scan.STATES**2), 0.5)
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert len(row["assign"]) == 20_000
+    assert time.time() - began < 60
