@@ -184,8 +184,8 @@ def scales_without(centred: DataFrame, unit: str, features=REFERENCE) -> DataFra
     A unit is a fold if there is another one; rows without a unit take part in no fit.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f"c_{f}").alias("v")) for f in features]))
-    long = materialise(centred.select(F.col(unit).alias("unit"), pairs.alias("x")).select("unit", "x.*"))
-    units = materialise(long.select("unit").where("unit IS NOT NULL").distinct())
+    long = centred.select(F.col(unit).alias("unit"), pairs.alias("x")).select("unit", "x.*")
+    units = materialise(centred.select(F.col(unit).alias("unit")).where("unit IS NOT NULL").distinct())
     cells = SortedCells(long)
     middle = materialise(cells.quantiles_without(units).withColumnRenamed("value", "m"))
     away = cells.quantiles_without(units, around=middle)
@@ -224,7 +224,10 @@ def fit_leave_one_out(df: DataFrame, unit: str = U, features=REFERENCE, check: b
     what a fold leaves out is subtracted from counts, so rows are not multiplied by folds.
     """
     assert_no_leakage(df)
-    centred = materialise(centred_on_own_reference(df, features))
+    return _fit_without(materialise(centred_on_own_reference(df, features)), unit, features, check)
+
+
+def _fit_without(centred: DataFrame, unit: str, features=REFERENCE, check: bool = True) -> DataFrame:
     scales = materialise(scales_without(centred, unit, features))
     params = scales.join(anchors_without(centred, scales, unit, features), "fold")
     return assert_order(params, "healthy", "failure") if check else params
@@ -233,9 +236,13 @@ def fit_leave_one_out(df: DataFrame, unit: str = U, features=REFERENCE, check: b
 def apply_reference(df: DataFrame, params: DataFrame, by: str | None = None, features=REFERENCE, out: str = "hi") -> DataFrame:
     """Adds the indicator, strictly between 0 and 1; every unit is held against its own early rows."""
     rows = df.withColumn("fold", F.lit("all")) if by is None else df.withColumn("fold", F.col(by))
-    scored = degradation_score(centred_on_own_reference(rows, features), params, "fold", features)
+    return _apply_centred(centred_on_own_reference(rows, features), params, df.columns, features, out)
+
+
+def _apply_centred(centred: DataFrame, params: DataFrame, columns: list[str], features=REFERENCE, out: str = "hi") -> DataFrame:
+    scored = degradation_score(centred, params, "fold", features)
     hi = scored.withColumn(out, logistic(F.col("score"), F.col("healthy"), F.col("failure")))
-    return hi.select(*df.columns, *[c for c in ("fold", "score", out) if c not in df.columns])
+    return hi.select(*columns, *[c for c in ("fold", "score", out) if c not in columns])
 
 
 def folds_of(df: DataFrame, unit: str = U, most: int = MAX_FOLDS) -> list:
@@ -266,9 +273,11 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def leave_one_out_reference(df: DataFrame, check: bool = True) -> DataFrame:
-    """Fit without each unit in turn and apply to it: one plan for all folds."""
-    return apply_reference(df, fit_leave_one_out(df, check=check), by=U)
+def leave_one_out_reference(df: DataFrame, unit: str = U, check: bool = True) -> DataFrame:
+    """Fit without each unit in turn and apply to it; rows are centred once for both."""
+    assert_no_leakage(df)
+    centred = materialise(centred_on_own_reference(df.withColumn("fold", F.col(unit))))
+    return _apply_centred(centred, _fit_without(centred, unit, check=check), df.columns)
 
 
 # Diagnostics

@@ -46,11 +46,15 @@ class SortedCells:
 
     def __init__(self, long: DataFrame) -> None:
         ship(long.sparkSession)
-        blocks = materialise(long.where("v IS NOT NULL AND unit IS NOT NULL").groupBy("name", "unit", "v").agg(F.count(F.lit(1)).alias("c")))
+        # Equal values of a unit are one row.
+        blocks = long.where("v IS NOT NULL AND unit IS NOT NULL").groupBy("name", "unit", "v").agg(F.count(F.lit(1)).alias("c"))
+        order = ("name", "v", "unit")
+        # Numbers grow along the sort, range by range, so cells cut from them follow one another.
+        self.rows = materialise(blocks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cell", F.monotonically_increasing_id()))
         # One row for each name.
-        self.sizes = {r["name"]: max(CELL_ROWS, -(-r["n"] // CELLS)) for r in blocks.groupBy("name").agg(F.sum("c").alias("n")).collect()}
+        self.sizes = {r["name"]: max(CELL_ROWS, -(-r["n"] // CELLS)) for r in self.rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
         size = F.coalesce(*[F.when(F.col("name") == n, F.lit(s)) for n, s in self.sizes.items()], F.lit(CELL_ROWS))
-        self.rows = materialise(running_sum(blocks, ["name"], ["v", "unit"], "c", "s").withColumn("cell", F.floor(F.col("s") / size)).drop("s"))
+        self.rows = self.rows.withColumn("cell", F.floor(F.col("cell") / size))
         cells = self.rows.groupBy("name", "cell").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).toArrow().to_pandas()
         found = {name: g.sort_values("cell") for name, g in cells.groupby("name")}
         self.cells = long.sparkSession.sparkContext.broadcast({name: tuple(g[c].to_numpy() for c in ("cell", "n", "lo", "hi")) for name, g in found.items()})

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,36 @@ def test_paths_take_longest_end_and_decline_ties(spark):
     stored = spark.createDataFrame([(1, "C:\\old\\x\\y\\f.csv"), (2, "/q/f.csv"), (3, "/q/g.csv"), (4, "/q/none"), (5, "")], "id int, path string")
     got = {r["id"]: r["resolved"] for r in paths.resolve(stored, files).collect()}
     assert got == {1: "/a/x/y/f.csv", 2: "/q/f.csv", 3: "/b/g.csv", 4: "/q/none", 5: ""}
+
+
+def _resolved(path, files, depth=4):
+    """The plain rule: every file is looked at."""
+    cut = lambda p: [s for s in p.replace("\\", "/").split("/") if s]
+    s = cut(path)
+    for k in range(min(depth, len(s)), 0, -1):
+        ends = [f for f in files if cut(f)[-k:] == s[-k:]]
+        if ends:
+            common = {f: len(set(s) & set(cut(f))) for f in ends}
+            best = [f for f in ends if common[f] == max(common.values())]
+            return best[0] if len(best) == 1 else path
+    return path
+
+
+def test_paths_equal_the_plain_rule(spark):
+    rng = random.Random(9)
+    some = lambda n: "/".join(rng.choice("abcd") for _ in range(n))
+    files = sorted({f"/{some(rng.randint(0, 4))}/{rng.choice('fgh')}.csv" for _ in range(60)})
+    stored = [f"{some(rng.randint(0, 5))}/{rng.choice('fghi')}.csv" for _ in range(200)] + [None, "", "/", "f.csv", "C:\\a\\b\\f.csv"]
+    df = spark.createDataFrame(list(enumerate(stored)), "id int, path string")
+    got = {r["id"]: r["resolved"] for r in paths.resolve(df, spark.createDataFrame([(f,) for f in files], "file string")).collect()}
+    assert got == {i: None if p is None else _resolved(p, files) for i, p in enumerate(stored)}
+
+
+def test_many_files_of_one_name_form_no_pairs(spark):
+    n = 10_000
+    files = spark.range(n).select(F.concat(F.lit("/lake/"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd"), F.lit("/unit"), F.col("id"), F.lit("/x/signal.csv")).alias("file"))
+    stored = spark.range(n).select("id", F.concat(F.lit("D:\\old\\unit"), F.col("id"), F.lit("\\y\\signal.csv")).alias("path"))
+    out = paths.resolve(stored, files)
+    assert out.where(F.col("resolved").contains(F.concat(F.lit("/unit"), F.col("id"), F.lit("/")))).count() == n
+    vague = spark.range(n).select("id", F.concat(F.lit("/even/"), F.col("id"), F.lit("/signal.csv")).alias("path"))
+    assert paths.resolve(vague, files).where("resolved <> path").count() == 0
