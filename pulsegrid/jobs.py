@@ -22,20 +22,13 @@ def build_acquisitions(spark: SparkSession, catalog: store.Catalog, folders: dic
     All units of a role are one plan. A role without acquisitions gives no batch.
     """
     catalog.ensure_dataset(dataset)
-    out = {}
-    for role, root in sorted(folders.items()):
-        rows = features.acquisition_features(spark, root, role, code_version)
-        runs = rows.select("bearing_run_id", F.lit(dataset).alias("dataset_id"), "role").distinct()
-        if rows.take(1):
-            catalog.insert_absent("bearing_runs", runs, ["bearing_run_id", "role"])
-            out[role] = catalog.write_batch(rows, dataset, code_version)
-    return out
+    batches = {role: catalog.write_batch(features.acquisition_features(spark, root, role, code_version), dataset, code_version, empty_ok=True) for role, root in sorted(folders.items())}
+    return {role: batch for role, batch in batches.items() if batch is not None}
 
 
-def build_logs(spark: SparkSession, catalog: store.Catalog, root: str, dataset: str = "college", run: str = "college:run", code_version: str = "", stride: int = 1, **options) -> str:
+def build_logs(spark: SparkSession, catalog: store.Catalog, root: str, dataset: str = "college", code_version: str = "", stride: int = 1, **options) -> str:
     """One batch of the windows of every ``stride``-th log file; its id."""
     catalog.ensure_dataset(dataset)
-    catalog.ensure_run(run, dataset, "college_run")
     return catalog.write_batch(features.log_features(spark, root, code_version, stride=stride, **options), dataset, code_version)
 
 
@@ -92,7 +85,7 @@ def compare_indicators(df: DataFrame, unit: str = health.U, check: bool = True)
     transparent = health.apply_transparent(df, health.fit_transparent(df))
     own = [c for c in df.columns if c in (*health.CONTRACT, *health.REFERENCE)]
     component = health.apply_pca(df.select(*own), health.fit_pca(df.select(*own)))
-    reference = health.apply_reference(df, health.fit_leave_one_out(df, unit, check=check), by=unit)
+    reference = health.leave_one_out_reference(df, unit, check)
     named = {"transparent": transparent, "component": component, "reference": reference}
     by_unit = None
     for name, rows in named.items():

@@ -76,6 +76,12 @@ def gather(df: DataFrame, keys: list[str], index: str, value: str, out: str = "s
     return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p["v"]).alias(out))
 
 
+def gather_all(df: DataFrame, keys: list[str], index: str, values: list[str]) -> DataFrame:
+    """``keys`` and an array of each value column, in order of ``index``; rows are shuffled once for all."""
+    samples = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), *[F.col(v).cast("double").alias(v) for v in values])))
+    return df.groupBy(*keys).agg(samples.alias("__s")).select(*keys, *[F.col(f"__s.{v}").alias(v) for v in values])
+
+
 def prefix_of_spectrum(n: int) -> int:
     """How many bins a plot of a spectrum of n bins shows."""
     return n // 4

@@ -143,6 +143,74 @@ def temperature_stats(df: DataFrame, keys: list[str], values: dict[str, Column],
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _windows_of_panes(panes: DataFrame, keys: list[str], size: int, step: int, columns: list[str]) -> DataFrame:
+    """``keys, w`` and each pane column gathered into an array, for every complete window.
+
+    ``panes`` has ``keys, pane, rows`` and the columns, a row for each pane.
+    """
+    pane = gcd(size, step)
+    frame = Window.partitionBy(*keys).orderBy("pane").rangeBetween(0, size // pane - 1)
+    whole = panes.withColumn("__rows", F.sum("rows").over(frame)).withColumns({f"__{c}": F.collect_list(c).over(frame) for c in columns})
+    complete = whole.where((F.col("__rows") == size) & (F.pmod(F.col("pane"), F.lit(step // pane)) == 0))
+    return complete.select(*keys, F.floor(F.col("pane") * pane / step).cast("long").alias("w"), *[F.col(f"__{c}").alias(c) for c in columns])
+
+
+def _by_pane(df: DataFrame, keys: list[str], size: int, step: int, row: str):
+    return df.groupBy(*keys, F.floor(F.col(row) / gcd(size, step)).cast("long").alias("pane"))
+
+
+def window_arrays(df: DataFrame, keys: list[str], values: list[str], size: int, overlap: float = 0.5, row: str = "row_index") -> DataFrame:
+    """``keys, w`` and the samples of each value column, an array in row order, for every complete window.
+
+    Samples are gathered by pane, so each is shuffled once however far windows overlap. A null
+    sample stays in its place as NaN.
+    """
+    step = step_of(size, overlap)
+    sample = F.struct(F.col(row).alias("i"), *[F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values])
+    panes = _by_pane(df, keys, size, step, row).agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_list(sample)).alias("__s"))
+    panes = panes.select(*keys, "pane", "rows", *[F.col(f"__s.{v}").alias(v) for v in values])
+    return _windows_of_panes(panes, keys, size, step, values).withColumns({v: F.flatten(v) for v in values})
+
+
+def _pane_trend(v: Column, at: Column) -> Column:
+    return F.struct(
+        F.regr_count(v, at).alias("n"), F.regr_avgx(v, at).alias("x"), F.regr_avgy(v, at).alias("y"), F.regr_sxx(v, at).alias("xx"), F.regr_sxy(v, at).alias("xy"), F.regr_syy(v, at).alias("yy"), F.min(v).alias("lo"), F.max(v).alias("hi")
+    )
+
+
+def _joined_trend(name: str, panes: Column) -> dict[str, Column]:
+    """Statistics of a window from its panes: sums about the panes' means, moved to the window's."""
+
+    def total(f) -> Column:
+        return F.aggregate(panes, F.lit(0.0), lambda acc, p: acc + F.coalesce(f(p).cast("double"), F.lit(0.0)))
+
+    n = total(lambda p: p["n"])
+    x, y = safe_divide(total(lambda p: p["n"] * p["x"]), n), safe_divide(total(lambda p: p["n"] * p["y"]), n)
+    xx = total(lambda p: p["xx"] + p["n"] * (p["x"] - F.col("__x")) * (p["x"] - F.col("__x")))
+    xy = total(lambda p: p["xy"] + p["n"] * (p["x"] - F.col("__x")) * (p["y"] - F.col("__y")))
+    yy = total(lambda p: p["yy"] + p["n"] * (p["y"] - F.col("__y")) * (p["y"] - F.col("__y")))
+    ends = (F.array_min(F.transform(panes, lambda p: p["lo"])), F.array_max(F.transform(panes, lambda p: p["hi"])))
+    return {"n": n, "x": x, "y": y, "xx": xx, "xy": xy, "yy": yy, "lo": ends[0], "hi": ends[1]}
+
+
+def windowed_temperatures(df: DataFrame, keys: list[str], values: dict[str, Column], size: int, overlap: float = 0.5, row: str = "row_index") -> DataFrame:
+    """``temperature_stats`` of every complete window, from mergeable sums of its panes."""
+    step, at = step_of(size, overlap), F.col(row).cast("double")
+    named = {f"__t{k}": v for k, v in enumerate(values.values())}
+    panes = _by_pane(df, keys, size, step, row).agg(F.count(F.lit(1)).alias("rows"), *[_pane_trend(v, at).alias(c) for c, v in named.items()])
+    out = _windows_of_panes(panes, keys, size, step, list(named)).withColumn("n_samples", F.lit(size).cast("long"))
+    for k, (c, name) in enumerate(zip(named, values, strict=True)):
+        told = _joined_trend(name, F.col(c))
+        for part in (("n", "x", "y", "lo", "hi"), ("xx", "xy", "yy")):
+            out = out.withColumns({f"__{p}": told[p] for p in part})
+        out = out.withColumns({
+            f"{name}_mean": F.col("__y"), f"{name}_min": F.col("__lo"), f"{name}_max": F.col("__hi"), f"{name}_std": F.sqrt(safe_divide(F.col("__yy"), F.col("__n"))),
+            f"{name}_slope": F.when(F.col("__n") > 1, safe_divide(F.col("__xy"), F.col("__xx"))),
+        } | ({"temp_available": F.col("__n") > 0} if k == 0 else {}))
+        out = out.drop(c, *[f"__{p}" for p in told])
+    return out
+
+
 def run_windows(windows: DataFrame, run: str, file_order: str, file_start: str, sample_rate: float, file_seconds: float) -> DataFrame:
     """Window rows with ``sequence_index, event_timestamp, rul_seconds`` of their run.
 

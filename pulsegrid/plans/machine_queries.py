@@ -24,7 +24,7 @@ def _learn(spark, sf_dir) -> DataFrame:
 
 def _lobo_hi(spark, sf_dir) -> DataFrame:
     """The reference indicator with each group of machines left out of its own fit."""
-    return materialise(health.apply_reference(_learn(spark, sf_dir), _lobo_params(spark, sf_dir), by="grp"))
+    return materialise(health.leave_one_out_reference(_learn(spark, sf_dir), "grp", check=False))
 
 
 def _lobo_params(spark, sf_dir) -> DataFrame:

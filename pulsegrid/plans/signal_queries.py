@@ -67,9 +67,8 @@ SELECT unit, file_seq, w, row_number() OVER (PARTITION BY unit ORDER BY file_seq
 
 def a24_a27_temperature(spark, sf_dir):
     """x as the bearing's temperature, y as the surroundings'."""
-    rows = windowing.explode_windows(views.samples(spark, sf_dir), KEYS, SIZE, STEP, row="file_row")
     values = {"bearing_temp": F.col("x"), "ambient_temp": F.col("y"), "bearing_minus_ambient_temp": F.col("x") - F.col("y")}
-    return rounded(windowing.temperature_stats(rows.withColumn("k", F.col("file_row") - F.col("w") * STEP), [*KEYS, "w"], values, "k"))
+    return rounded(windowing.windowed_temperatures(views.samples(spark, sf_dir), KEYS, values, SIZE, views.OVERLAP, "file_row"))
 
 
 def _temp_sql(name: str, v: str) -> str:
@@ -103,8 +102,8 @@ A15 = f"""WITH sig AS (SELECT vec_id, len(embedding) AS n, unnest(range(0, len(e
 
 
 def a15_spectral_windows(spark, sf_dir):
-    rows = windowing.explode_windows(views.samples(spark, sf_dir), KEYS, SIZE, STEP, row="file_row")
-    return rounded(spectral.spectral_features(spectral.gather(rows, [*KEYS, "w"], "file_row", "x"), [*KEYS, "w"], "samples", RATE, BANDS), 3)
+    rows = windowing.window_arrays(views.samples(spark, sf_dir), KEYS, ["x"], SIZE, views.OVERLAP, "file_row")
+    return rounded(spectral.spectral_features(rows, [*KEYS, "w"], "x", RATE, BANDS), 3)
 
 
 A15W = f"""{with_views("win")}, full_w AS (SELECT *, count(*) OVER (PARTITION BY unit, file_seq, w) AS rows_ FROM win),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.numbering import number_rows
 
@@ -20,50 +23,128 @@ TABLES = {
 LINEAGE = ("acquisition_id", "bearing_run_id", "role", "sequence_index", "event_timestamp", "sample_rate_hz", "n_samples", "row_start", "row_end", "source_file_path", "source_sha256", "schema_version", "temp_available")
 
 
+#: Tables in which a key stands once, whoever writes it.
+UNIQUE = {"schema_version": ["version"], "datasets": ["dataset_id"], "bearing_runs": ["bearing_run_id", "role"]}
+#: Tries to commit beside other writers before giving up.
+TRIES = 20
+
+
 class Catalog:
-    """Parquet tables under one folder."""
+    """Parquet tables under one folder, changed by commits.
+
+    A commit writes folders of new rows and then one numbered file that names them all. Readers
+    look at the folders that commits name, so they see all of a commit or nothing, and what a
+    failed writer left behind is never read. A number is taken once: of two writers the second
+    finds it taken, looks again at what is there, and tries the next. That keeps keys unique.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/catalog/{name}"
+    def _jvm_path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _commits(self) -> list[tuple[int, dict[str, str]]]:
+        """Number and folders of each commit: a short line for each, however many rows it has."""
+        log = self._jvm_path(f"{self.root}/catalog/commits")
+        store = log.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(log) or not len(store.listStatus(log)):
+            return []
+        lines = self.spark.read.option("pathGlobFilter", "*.json").text(f"{self.root}/catalog/commits").select("value", F.col("_metadata.file_name").alias("name")).collect()
+        return sorted((int(r["name"].removesuffix(".json")), json.loads(r["value"])) for r in lines)
+
+    def _take(self, number: int, folders: dict[str, str]) -> bool:
+        """Make commit ``number`` appear at once and whole; False if another writer has it.
+
+        The file is written aside and renamed without overwriting, which file systems of
+        clusters do in one step.
+        """
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        to, aside = self._jvm_path(f"{self.root}/catalog/commits/{number:012d}.json"), self._jvm_path(f"{self.root}/catalog/aside/{uuid.uuid4().hex}")
+        store = to.getFileSystem(conf)
+        store.mkdirs(to.getParent())
+        out = store.create(aside, False)
+        out.write(json.dumps(folders).encode())
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(aside, to, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            store.delete(aside, False)
+            return False
+        return True
+
+    def commit(self, rows: dict[str, DataFrame]) -> None:
+        """Append rows to several tables at once; keys that a table of ``UNIQUE`` holds already are left out."""
+        written: dict[str, str] = {}
+        for name, part in rows.items():
+            if name not in UNIQUE:
+                written[name] = self._write(name, part)
+        for _ in range(TRIES):
+            before = self._commits()
+            new = {}
+            for name, part in rows.items():
+                if name in UNIQUE:
+                    missing = absent(part, self._read(name, before), UNIQUE[name])
+                    if not missing.isEmpty():
+                        new[name] = self._write(name, missing)
+            if not written and not new:
+                return
+            if self._take(before[-1][0] + 1 if before else 1, written | new):
+                return
+        raise RuntimeError(f"another writer was faster {TRIES} times")
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        folder = f"catalog/{name}/{uuid.uuid4().hex}"
+        kinds = T.StructType.fromDDL(TABLES[name])
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _read(self, name: str, commits: list[tuple[int, dict[str, str]]]) -> DataFrame:
+        folders = [f"{self.root}/{folders[name]}" for _, folders in commits if name in folders]
+        return self.spark.read.schema(TABLES[name]).parquet(*folders) if folders else self.spark.createDataFrame([], TABLES[name])
 
     def create(self, version: str = "v1") -> Catalog:
-        for name, schema in TABLES.items():
-            self.spark.createDataFrame([], schema).write.mode("append").parquet(self.path(name))
-        self.insert_absent("schema_version", self.spark.createDataFrame([(version,)], TABLES["schema_version"]), ["version"])
+        self.commit({"schema_version": self.spark.createDataFrame([(version,)], TABLES["schema_version"])})
         return self
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+        return self._read(name, self._commits())
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*self.table(name).columns).write.mode("append").parquet(self.path(name))
-
-    def insert_absent(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+    def insert_absent(self, name: str, rows: DataFrame) -> None:
         """Rows whose keys the table doesn't hold yet; those it holds are never changed."""
-        self.append(name, absent(rows, self.table(name), keys))
+        self.commit({name: rows})
 
     def ensure_dataset(self, dataset: str) -> None:
-        self.insert_absent("datasets", self.spark.createDataFrame([(dataset,)], TABLES["datasets"]), ["dataset_id"])
+        self.insert_absent("datasets", self.spark.createDataFrame([(dataset,)], TABLES["datasets"]))
 
     def ensure_run(self, run: str, dataset: str, role: str) -> None:
-        self.insert_absent("bearing_runs", self.spark.createDataFrame([(run, dataset, role)], TABLES["bearing_runs"]), ["bearing_run_id", "role"])
+        self.insert_absent("bearing_runs", self.spark.createDataFrame([(run, dataset, role)], TABLES["bearing_runs"]))
 
-    def write_batch(self, rows: DataFrame, dataset: str, code_version: str = "") -> str:
-        """Write an immutable batch and its lineage; an empty batch raises. Returns its id."""
-        if not rows.take(1):
-            raise ValueError("an empty batch is not written")
+    def write_batch(self, rows: DataFrame, dataset: str, code_version: str = "", empty_ok: bool = False) -> str | None:
+        """Write an immutable batch, its lineage and its runs; returns its id.
+
+        The plan of ``rows`` runs once: everything else is taken from what was written, and one
+        commit shows it all. An empty batch raises, or gives None with ``empty_ok``.
+        """
         batch = uuid.uuid4().hex
         path = f"{self.root}/batches/{batch}"
         rows.write.partitionBy("dataset_id", "role").parquet(path)
-        kept = self.spark.read.parquet(path)
+        kept = self.spark.read.schema(rows.schema).parquet(path)
+        if kept.isEmpty():
+            place = self._jvm_path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            if empty_ok:
+                return None
+            raise ValueError("an empty batch is not written")
         digest = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(F.sha2("content", 256).alias("h"))
         whole = digest.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("sha256"))
         n = kept.agg(F.count(F.lit(1)).alias("n_rows"))
-        self.append("feature_batches", n.crossJoin(whole).select(F.lit(batch).alias("batch_id"), F.lit(dataset).alias("dataset_id"), F.lit(path).alias("path"), "n_rows", "sha256", F.lit(code_version).alias("code_version"), F.current_timestamp().alias("created_at")))
-        self.append("acquisitions", lineage(kept, batch))
+        named = {"batch_id": F.lit(batch), "dataset_id": F.lit(dataset), "path": F.lit(path), "code_version": F.lit(code_version), "created_at": F.current_timestamp()}
+        runs = kept.select("bearing_run_id", F.lit(dataset).alias("dataset_id"), "role").distinct()
+        self.commit({"feature_batches": n.crossJoin(whole).withColumns(named), "acquisitions": lineage(kept, batch), "bearing_runs": runs})
         return batch
 
     def latest_batch(self, dataset: str, role: str) -> str | None:

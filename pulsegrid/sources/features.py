@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import seconds_between
 from ..operators import asof, spectral, windowing
+from ..tables import materialise, sized
 from . import raw
 
 SCHEMA_VERSION = "v1"
@@ -24,17 +25,19 @@ def acquisition_features(spark: SparkSession, root: str, role: str, code_version
     """
     files = raw.list_files(spark, root)
     accs, temps = raw.file_indices(files, "acc"), raw.file_indices(files, "temp")
-    acc = raw.read_acceleration(spark, root, raw.ACC_FILES).join(accs, "path")
+    # Parsed rows are written by the reader; statistics, spectra and first rows read what they need.
+    acc = raw.read_acceleration(spark, root, raw.ACC_FILES).join(sized(materialise(accs)), "path")
     keys = ["bearing_label", "file_index", "path"]
     renamed = acc.withColumnRenamed("accel_horizontal", "vibration_x").withColumnRenamed("accel_vertical", "vibration_y")
     rows = windowing.group_stats(renamed, keys, ["vibration_x", "vibration_y"])
+    signals = materialise(spectral.gather_all(renamed, keys, "row_index", ["vibration_x", "vibration_y"]))
     for c in ("vibration_x", "vibration_y"):
-        spec = spectral.spectral_features(spectral.gather(renamed, keys, "row_index", c), keys, "samples", ACC_RATE)
+        spec = spectral.spectral_features(signals, keys, c, ACC_RATE)
         rows = rows.join(spec.select(*keys, *[F.col(n).alias(f"{c}_{n}") for n in spec.columns if n not in keys]), keys)
     first = acc.groupBy(*keys).agg(F.min_by(F.struct("hour", "minute", "second"), "row_index").alias("t"))
     rows = rows.join(first, keys).withColumn("event_timestamp", raw.time_of_day(F.col("t.hour"), F.col("t.minute"), F.col("t.second"))).withColumn("seconds", F.col("t.hour") * 3600 + F.col("t.minute") * 60 + F.col("t.second")).drop("t")
     if not temps.isEmpty():
-        temp = raw.read_temperature(spark, root, raw.TEMP_FILES).join(temps, "path")
+        temp = materialise(raw.read_temperature(spark, root, raw.TEMP_FILES).join(sized(materialise(temps)), "path"))
         index = temp.groupBy("bearing_label", "file_index").agg(F.min_by(F.col("hour") * 3600 + F.col("minute") * 60 + F.col("second"), "row_index").alias("seconds"))
         rows = asof.nearest_within(rows, index, "bearing_label", "seconds", "seconds", "file_index", TOLERANCE)
         stats = windowing.temperature_stats(temp, ["bearing_label", "file_index"], {"bearing_temp": F.col("temperature_c")}, "row_index").drop("n_samples").withColumnRenamed("file_index", "nearest_index")
@@ -52,17 +55,17 @@ def log_features(spark: SparkSession, root: str, code_version: str = "", size: i
     """One row for each complete window of the chosen log files; windows never cross files."""
     files = raw.every_kth(raw.discover_logs(spark, root), stride).withColumn("file_start", seconds_between(F.col("event_timestamp"), F.lit("1970-01-01").cast("timestamp_ntz")))
     # With a stride the other files aren't read at all: the names of the chosen ones are few.
-    chosen = raw.read_logs(spark, root, "*.csv") if stride == 1 else raw.read_logs(spark, [r["path"] for r in files.select("path").collect()])
-    rows = chosen.join(files.drop("event_timestamp"), "path")
-    keys, step = ["path", "file_seq", "file_start"], windowing.step_of(size, overlap)
+    chosen = raw.read_logs(spark, root, raw.LOG_FILES) if stride == 1 else raw.read_logs(spark, [r["path"] for r in files.select("path").collect()])
+    rows = materialise(chosen.join(sized(materialise(files.drop("event_timestamp"))), "path"))
+    keys = ["path", "file_seq", "file_start"]
     stats = windowing.window_stats(rows, keys, ["vibration_x", "vibration_y"], size, overlap)
-    spread = windowing.explode_windows(rows, keys, size, step).withColumn("k", F.col("row_index") - F.col("w") * step)
+    signals = materialise(windowing.window_arrays(rows, keys, ["vibration_x", "vibration_y"], size, overlap))
     on = [*keys, "w"]
     for c in ("vibration_x", "vibration_y"):
-        spec = spectral.spectral_features(spectral.gather(spread, on, "k", c), on, "samples", rate)
+        spec = spectral.spectral_features(signals, on, c, rate)
         stats = stats.join(spec.select(*on, *[F.col(n).alias(f"{c}_{n}") for n in spec.columns if n not in on]), on)
     b, a = F.col("bearing_temp_c"), F.col("ambient_temp_c")
-    temps = windowing.temperature_stats(spread, on, {"bearing_temp": b, "ambient_temp": a, "bearing_minus_ambient_temp": b - a}, "k").drop("n_samples")
+    temps = windowing.windowed_temperatures(rows, keys, {"bearing_temp": b, "ambient_temp": a, "bearing_minus_ambient_temp": b - a}, size, overlap).drop("n_samples")
     timed = windowing.run_windows(stats.join(temps, on).withColumn("run", F.lit("college:run")), "run", "file_seq", "file_start", rate, file_seconds)
     timed = timed.withColumn("event_timestamp", F.timestamp_micros((F.col("event_seconds") * 1e6).cast("long")))
     hashes = raw.file_hashes(spark, root, "*.csv").withColumnRenamed("sha256", "source_sha256")

@@ -40,7 +40,7 @@ def test_batches_of_all_roles_and_logs(spark, files, tmp_path):  # noqa: F811
     assert rows.count() == 9 and store.latest_batch("college", "college_run").endswith(logs)
     (tmp_path / "store" / "batches" / "gone").mkdir()
     missing = store.table("feature_batches").limit(1).withColumn("batch_id", F.lit("lost")).withColumn("path", F.lit("/nowhere/lost"))
-    store.append("feature_batches", missing)
+    store.commit({"feature_batches": missing})
     listed = dict(store.list_batches())
     assert listed["/nowhere/lost"] == "unreadable" and sorted(listed.values()) == ["college_run", "learning", "learning", "test_censored", "unreadable"]
 

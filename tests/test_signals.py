@@ -120,3 +120,23 @@ def test_nearest_in_one_long_unit_takes_seconds(spark):
     got = out.agg(F.count("nearest_index").alias("n"), F.sum(F.col("nearest_index") - F.col("id")).alias("off"), F.max("gap").alias("gap")).first()
     assert tuple(got) == (n, 0, 0.25)
     assert time.time() - began < 60
+
+
+def test_windowed_temperatures_and_arrays_equal_exploded_windows(spark):
+    rng = random.Random(3)
+    rows = [(u, i, None if rng.random() < 0.2 or 40 <= i < 80 else 20 + i / 7 + rng.random(), float(i % 3)) for u in "ab" for i in range(230 if u == "a" else 15)]
+    df = spark.createDataFrame(rows, "u string, row_index long, t double, s double").repartition(4)
+    values = {"t": F.col("t"), "diff": F.col("t") - F.col("s")}
+    for size, overlap in ((20, 0.5), (30, 0.7), (25, 0.0)):
+        step = windowing.step_of(size, overlap)
+        spread = windowing.explode_windows(df, ["u"], size, step)
+        want = {(r["u"], r["w"]): r.asDict() for r in windowing.temperature_stats(spread, ["u", "w"], values, "row_index").collect()}
+        got = {(r["u"], r["w"]): r.asDict() for r in windowing.windowed_temperatures(df, ["u"], values, size, overlap).collect()}
+        assert got.keys() == want.keys() and len(got) > 5
+        for key, row in got.items():
+            assert row == {k: v if v is None or isinstance(v, (str, bool)) else pytest.approx(v, abs=1e-9) for k, v in want[key].items()}
+        arrays = {(r["u"], r["w"]): r["t"] for r in windowing.window_arrays(df, ["u"], ["t", "s"], size, overlap).collect()}
+        plain = {(u, i): t for u, i, t, _ in rows}
+        for (u, w), xs in arrays.items():
+            assert [None if math.isnan(x) else x for x in xs] == [plain[u, w * step + k] for k in range(size)]
+        assert arrays.keys() == want.keys()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,12 @@ def test_headers_gaps_and_bad_rows(spark, files, tmp_path):
 def test_log_names(spark, files, tmp_path):
     logs = raw.discover_logs(spark, str(files / "logs")).collect()
     assert [(r["file_seq"], r["event_timestamp"].hour) for r in logs] == [(0, 17), (1, 18)]
+    (tmp_path / "notes.csv").write_text("1,2,3,4\n")
+    (tmp_path / "old_LogFile_2022-06-21-17-00-31.csv").write_text("1,2,3,4\n")
+    with pytest.raises(FileNotFoundError):
+        raw.discover_logs(spark, str(tmp_path))
+    with pytest.raises(Exception, match="not a log file name"):
+        spark.createDataFrame([("old_LogFile_2022-06-21-17-00-31.csv",)], "p string").select(raw.log_time(F.col("p"))).collect()
     (tmp_path / "LogFile_bad.csv").write_text("1,2,3,4\n")
     with pytest.raises(Exception, match="not a log file name"):
         raw.discover_logs(spark, str(tmp_path))
@@ -99,6 +106,65 @@ def test_log_features_and_catalogue(spark, files, tmp_path):
         cat.write_batch(rows.limit(0), "college")
 
 
+def test_a_failed_writer_shows_nothing(spark, files, tmp_path, monkeypatch):
+    cat = catalog.Catalog(spark, str(tmp_path / "store")).create()
+    rows = features.log_features(spark, str(files / "logs"), size=100, file_seconds=78.125)
+    write = catalog.Catalog._write
+
+    def fails(self, name, part):
+        if name == "acquisitions":
+            raise OSError("disk full")
+        return write(self, name, part)
+
+    monkeypatch.setattr(catalog.Catalog, "_write", fails)
+    with pytest.raises(OSError, match="disk full"):
+        cat.write_batch(rows, "college")
+    monkeypatch.undo()
+    assert [cat.table(t).count() for t in ("feature_batches", "acquisitions", "bearing_runs")] == [0, 0, 0]
+    assert cat.list_batches() == [] and cat.latest_batch("college", "college_run") is None
+    cat.write_batch(rows, "college")
+    assert [cat.table(t).count() for t in ("feature_batches", "acquisitions", "bearing_runs")] == [1, 18, 1]
+
+
+def test_keys_stay_unique_under_writers_at_once(spark, tmp_path):
+    first = catalog.Catalog(spark, str(tmp_path / "store")).create()
+
+    class Late(catalog.Catalog):
+        """Looks at the catalogue, and then another writer commits."""
+
+        late = True
+
+        def _commits(self):
+            seen = super()._commits()
+            if self.late:
+                self.late = False
+                first.ensure_run("a", "set", "learning")
+            return seen
+
+    Late(spark, str(tmp_path / "store")).insert_absent("bearing_runs", spark.createDataFrame([("a", "other", "learning"), ("b", "set", "learning")], catalog.TABLES["bearing_runs"]))
+    runs = sorted(tuple(r) for r in first.table("bearing_runs").collect())
+    assert runs == [("a", "set", "learning"), ("b", "set", "learning")]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: catalog.Catalog(spark, str(tmp_path / "store")).ensure_dataset(f"d{k % 2}"), range(8)))
+    assert sorted(r["dataset_id"] for r in first.table("datasets").collect()) == ["d0", "d1"]
+    assert len(first._commits()) == 5
+
+
+def test_raw_rows_are_scanned_once_and_not_shuffled(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{k},0,0,0,1.5,2.5\n" for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = raw.read_acceleration(spark, str(tmp_path), "*.csv")
+        got = rows.groupBy("path").agg(F.count_if(F.col("row_index") == F.col("hour")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
+        assert [(r["right"], r["n"]) for r in got] == [(3000, 3000)] * 2
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "csv" not in plan and "Scan text" not in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_metric_documents(spark, tmp_path):
     assert catalog.selected_model(catalog.read_metrics(spark, str(tmp_path / "none"))) == "forest"
     catalog.write_metrics(spark.createDataFrame([("a", 2.0), ("b", 1.0)], "model string, mean_mae double"), str(tmp_path / "m"))
