@@ -92,7 +92,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.withColumn("q_text", text).withColumn("q_words", words_of(F.col("q_text")))
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(WORD))
     rows = rows.withColumn("q_lines", lines).select(
-        *docs.columns,
+        *[F.col(f"`{c}`") for c in docs.columns],
         "q_words",
         F.size("q_words").cast("long").alias("n_words"),
         _left(F.col("q_text"), SPACE).alias("word_chars"),

@@ -39,6 +39,10 @@ LEAF = 384
 ORDER_DOCS, ORDER_CODES = 8_192, 200_000
 #: Rows of one token that each row is compared with before groups are joined.
 NEIGHBOURS = 16
+#: Rows of a token that a task looks at together, about; more are dealt out by salt, by so many salts at most.
+TOKEN_ROWS, SALTS_MOST = 20_000, 64
+#: Places apart at which rows of frequent tokens are compared at first.
+FEW = 4
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -256,54 +260,108 @@ def prefix(codes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity:
     return codes[np.lexsort((codes, rank))][: len(codes) - int(np.ceil(similarity * len(codes) - 1e-9)) + 1]
 
 
-def _run_pairs(rows: pd.DataFrame, similarity: float, first: int, last: int | None) -> Iterator[pd.DataFrame]:
-    """Pairs of rows of one token that can be alike, ``first`` to ``last`` places apart.
+def _can_be_alike(size, pos, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j of a token may share enough, by their sizes and the token's places in their prefixes."""
+    most = np.minimum(size[i] - pos[i], size[j] - pos[j])
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    return (low >= similarity * high - 1e-9) & (most * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-9)
 
-    Rows are sorted by token and size; without a ``part`` each is a part of its own. ``more``
-    tells that a row has pairs further apart.
-    """
-    rows = rows[~rows.duplicated(["token", "key"])]
-    token, key, size, pos, part = (rows[c].to_numpy(np.int64) for c in ("token", "key", "size", "pos", "part" if "part" in rows else "key"))
-    left, away, out, held = np.arange(len(rows)), 1, [], 0
-    while True:
-        left = left[left + away < len(rows)]
-        b = left + away
-        left = left[(token[left] == token[b]) & (size[left] >= similarity * size[b] - 1e-9)]
-        if not len(left) or (last is not None and away > last):
-            break
-        if away >= first:
-            b = left + away
-            most = np.minimum(size[left] - pos[left], size[b] - pos[b])
-            good = (most * (1 + similarity) >= similarity * (size[left] + size[b]) - 1e-9) & (part[left] != part[b])
-            out.append(pd.DataFrame({"a": key[left[good]], "b": key[b[good]], "more": False}))
-            held += int(good.sum())
-            if held > 200_000:
-                yield pd.concat(out)
-                out, held = [], 0
-        away += 1
-    if len(left):
-        out.append(pd.DataFrame({"a": key[left[:1]], "b": key[left[:1]], "more": True}))
-    if out:
-        yield pd.concat(out)
-
-
-def _candidates(tokens: DataFrame, similarity: float, first: int, last: int | None) -> DataFrame:
-    """``a, b, more`` for the rows ``token, key, size, pos`` and maybe ``part``; rows of one part aren't paired."""
+
+def _columns(rows: pd.DataFrame, *names: str) -> list[np.ndarray]:
+    return [rows[c].to_numpy(np.int64) for c in names]
+
+
+def _neighbour_pairs(rows: pd.DataFrame, similarity: float, last: int, few: int) -> Iterator[pd.DataFrame]:
+    """Pairs of rows of one token, sorted by size, up to ``last`` places apart."""
+    token, key, size, pos, salt = _columns(rows, "token", "key", "size", "pos", "salt")
+    for away in range(1, last + 1):
+        i = np.arange(len(rows) - away) if len(rows) > away else np.zeros(0, np.int64)
+        i = i[(token[i] == token[i + away]) & (salt[i] == salt[i + away]) & ((salt[i] == 0) | (away <= few))]
+        i = i[(key[i] != key[i + away]) & _can_be_alike(size, pos, i, i + away, similarity)]
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(key[i], key[i + away]), "b": np.maximum(key[i], key[i + away])})
+
+
+def _part_pairs(rows: pd.DataFrame, similarity: float, salts: int) -> Iterator[pd.DataFrame]:
+    """Pairs of rows of one token and different parts, sorted by part: what one part holds costs nothing."""
+    token, key, size, pos, part, salt, other = _columns(rows, "token", "key", "size", "pos", "part", "salt", "other")
+    change = (token[1:] != token[:-1]) | (other[1:] != other[:-1])
+    n = len(rows)
+
+    def ends(breaks: np.ndarray) -> np.ndarray:
+        """For each row where its stretch ends."""
+        at = np.append(np.flatnonzero(breaks) + 1, n)
+        return at[np.searchsorted(at, np.arange(n), side="right")]
+
+    part_end, end = ends(change | (part[1:] != part[:-1])), ends(change)
+    many = end - part_end
+    upto = np.cumsum(many)
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 200_000, side="right")))
+        count = many[start:stop]
+        i = np.repeat(np.arange(start, stop), count)
+        j = part_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        # Blocks of two salts hold pairs across them; those inside a salt are in its own block.
+        good = _can_be_alike(size, pos, i, j, similarity) & ((salt[i] != salt[j]) | (other[i] == salt[i] * salts + salt[i]))
+        if good.any():
+            i, j = i[good], j[good]
+            yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
+        start = stop
+
+
+def _by_token(ordered: DataFrame, by: list[str], pairs) -> DataFrame:
+    """``a, b`` from ``pairs`` of the rows of each group, which come one after another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
+        last = None
         for batch in batches:
             if not len(batch):
                 continue
-            rows = batch if held is None else pd.concat([held, batch])
-            open_ = (rows["token"] == rows["token"].iloc[-1]).to_numpy()
-            yield from _run_pairs(rows[~open_], similarity, first, last)
-            held = rows[open_]
-        if held is not None:
-            yield from _run_pairs(held, similarity, first, last)
+            final = tuple(batch[c].iloc[-1] for c in by)
+            open_ = np.logical_and.reduce([(batch[c] == v).to_numpy() for c, v in zip(by, final, strict=True)])
+            if open_.all() and (last is None or last == final):
+                held.append(batch)
+            else:
+                yield from pairs(pd.concat([*held, batch[~open_]]))
+                held = [batch[open_]]
+            last = final
+        if held:
+            yield from pairs(pd.concat(held))
+
+    return ordered.mapInPandas(run, "a long, b long").distinct()
+
+
+def _near_candidates(tokens: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: rows of one token that stand within ``NEIGHBOURS`` places by size.
 
-    ordered = tokens.repartition("token").sortWithinPartitions("token", "size", "key")
-    return ordered.mapInPandas(run, "a long, b long, more boolean").distinct()
+    The rows of a frequent token are dealt out by salt, twice and differently, so that what
+    is alike grows together across salts.
+    """
+    frequent = tokens.groupBy("token").count().where(F.col("count") > TOKEN_ROWS).select("token", F.ceil(F.col("count") / TOKEN_ROWS).cast("int").alias("salts"))
+    rows = tokens.join(sized(materialise(frequent)), "token", "left")
+    deals = F.transform(F.array(F.lit(1), F.lit(2)), lambda r: r * (1 << 20) + F.pmod(F.xxhash64("key", r), F.col("salts")).cast("int"))
+    salted = rows.withColumn("salt", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(deals)))
+    ordered = salted.select("token", "key", "size", "pos", "salt").repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "key")
+    last, few = NEIGHBOURS, FEW
+    return _by_token(ordered, ["token", "salt"], lambda rows: _neighbour_pairs(rows, similarity, last, few))
+
+
+def _far_candidates(named: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: rows of one token that lie in different parts (``part``).
+
+    Tokens within one part are passed over. The rows of a frequent token are dealt to blocks,
+    one for each two salts, so that a task holds a few of them and every two rows meet once.
+    """
+    several = named.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    salts = F.least(F.ceil(F.col("n") / TOKEN_ROWS), F.lit(SALTS_MOST)).cast("int")
+    rows = named.join(sized(materialise(several.select("token", salts.alias("salts")))), "token").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+    block = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.least(F.col("salt"), t) * SALTS_MOST + F.greatest(F.col("salt"), t))
+    dealt = rows.select("token", "key", "size", "pos", "part", "salt", F.explode(block).alias("other"))
+    ordered = dealt.repartition("token", "other").sortWithinPartitions("token", "other", "part", "size", "key")
+    most = SALTS_MOST
+    return _by_token(ordered, ["token", "other"], lambda rows: _part_pairs(rows, similarity, most))
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -350,13 +408,11 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialise(both.mapInPandas(alike, "a long, b long"))
 
-    near = materialise(_candidates(tokens, similarity, 1, NEIGHBOURS))
-    edges = verified(near.where("NOT more").select("a", "b"))
-    if near.where("more").isEmpty():
-        return edges
+    near = materialise(_near_candidates(tokens, similarity))
+    edges = verified(near)
     parts = materialise(connected_components(edges).toDF("key", "component"))
-    named = tokens.join(parts, "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("part"))
-    far = materialise(_candidates(named, similarity, NEIGHBOURS + 1, None).where("NOT more").select("a", "b"))
+    named = materialise(tokens.join(parts, "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("part")))
+    far = materialise(_far_candidates(named, similarity).join(near, ["a", "b"], "left_anti"))
     return edges.union(verified(far))
 
 
@@ -374,7 +430,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = named.groupBy("component").agg(F.min("least").alias("__least"), F.sum("n").alias("n")).where("n > 1 AND __least IS NOT NULL")
     kept = materialise(named.select("key", "component").join(groups, "component").select(F.col("key").alias("__key"), "__least"))
     marked = docs.withColumn("__text_key", _text_key(F.col(text_col))).join(sized(kept), F.col("__text_key") == F.col("__key"), "left")
-    return marked.where(F.col("__least").isNull() | F.col(id_col).eqNullSafe(F.col("__least"))).select(*docs.columns)
+    return marked.where(F.col("__least").isNull() | F.col(id_col).eqNullSafe(F.col("__least"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

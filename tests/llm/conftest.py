@@ -24,7 +24,7 @@ def odd(spark):
         (9, "some plain words here and there", "en", None, 6),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("id", "norm", "sha", "salt", "size", "kept", "t", "fp", "component", "label_id", "held", "key", "range", "features"):
+    for name in ("id", "norm", "sha", "salt", "size", "kept", "t", "fp", "component", "label_id", "held", "key", "range", "features", "meta.url"):
         df = df.withColumn(name, __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string"))
     return df
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import xxhash
 from helpers import assert_same
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import exact_dedup, simhash
 from pulsegrid.llm.components import connected_components
@@ -168,3 +171,49 @@ def test_stage_keeps_one_row_of_chains_and_bridges(spark):
     assert not _alike(texts[1], texts[9]) and want == [0, 1, 5, 7, 8]
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
+def _template_docs(spark, n, alike):
+    """Texts of one token order: copies of a template with a few words changed, or texts that share a passage alone."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.concat(F.lit("w"), k)), " ")
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 if alike else 30)), lambda k: F.concat(F.lit("o"), F.col("id"), F.lit("x"), k)), " ")
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words, own).alias("text"))
+
+
+def test_many_near_copies_of_one_template_finish(spark):
+    n = 30_000
+    began = time.time()
+    kept = simhash.drop_near_duplicates(_template_docs(spark, n, True)).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+    assert time.time() - began < 240
+
+
+def test_frequent_tokens_in_blocks_give_the_same_groups(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 9, 30])):
+            words[rng.randrange(60)] = f"r{rng.randrange(10**6)}"
+        texts.append(" ".join(words[: rng.randint(30, 60)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    parent = list(range(150))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert want == [i for i in range(150) if find(i) == i]
+    for rows, most, places in ((7, 64, 1), (3, 4, 2), (40, 2, 16)):
+        monkeypatch.setattr(simhash, "TOKEN_ROWS", rows)
+        monkeypatch.setattr(simhash, "SALTS_MOST", most)
+        monkeypatch.setattr(simhash, "NEIGHBOURS", places)
+        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
