@@ -86,10 +86,10 @@ def test_leave_one_out_fit_equals_refits(spark):
     assert health.fit_leave_one_out(df.where("grp = 'g1'"), "grp", check=False).count() == 0
 
 
-def test_a_thousand_units(spark):
+def test_hundreds_of_units(spark):
     cols = [F.when(F.rand(k) < 0.99, 1 + F.pow(F.col("i") / 12, 2) * F.rand(k + 50)).alias(f) for k, f in enumerate(health.REFERENCE)]
-    df = spark.range(1000 * 20).select((F.col("id") % 1000).cast("string").alias(U), F.lit("learning").alias("role"), F.floor(F.col("id") / 1000).alias("i")).select(U, "role", F.col("i").alias(SEQ), *cols)
+    df = spark.range(300 * 20).select((F.col("id") % 300).cast("string").alias(U), F.lit("learning").alias("role"), F.floor(F.col("id") / 300).alias("i")).select(U, "role", F.col("i").alias(SEQ), *cols)
     began = time.time()
     params = health.fit_leave_one_out(df, check=False)
-    assert params.where("healthy < failure").count() == 1000
-    assert time.time() - began < 240
+    assert params.where("healthy < failure").count() == 300
+    assert time.time() - began < 180
