@@ -58,6 +58,18 @@ def s19_insert_absent(spark, sf_dir):
 S19 = "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
 
 
+def s19_insert_new_pairs(spark, sf_dir):
+    """Customers and states of orders since 1997 that no earlier order has: what an insert would add."""
+    orders = views.load(spark, sf_dir, "orders")
+    pairs = orders.select("o_custkey", "o_orderstatus")
+    late = F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")
+    return catalog.absent(pairs.where(late), pairs.where(~late), ["o_custkey", "o_orderstatus"])
+
+
+S19N = """SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'
+EXCEPT SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"""
+
+
 def s17_a48_lineage(spark, sf_dir):
     """Counts of lineage rows by unit, kind and role."""
     rows = views.acq(spark, sf_dir).withColumn("dataset_id", F.when(F.col("role") == "full_test", "college").otherwise("femto"))
@@ -146,6 +158,6 @@ U1 = f"{with_views('acq', 'samples')} SELECT unit, count(*) AS n, {r('avg(a)')}
 
 QUERIES = {
     "l4_latest_by_role": (l4_latest_by_role, L4), "l9_preferred_batch": (l9_preferred_batch, L9), "s29_roles_listing": (s29_roles_listing, S29), "s15_u5_distinct_roles": (s15_u5_distinct_roles, S15), "u3_u4_role_sets": (u3_u4_role_sets, U3),
-    "s19_insert_absent": (s19_insert_absent, S19), "s17_a48_lineage": (s17_a48_lineage, S17), "j11_unprocessed": (j11_unprocessed, J11), "p10_p12_paths": (p10_p12_paths, P10), "p11_host_paths": (p11_host_paths, P11),
+    "s19_insert_absent": (s19_insert_absent, S19), "s19_insert_new_pairs": (s19_insert_new_pairs, S19N), "s17_a48_lineage": (s17_a48_lineage, S17), "j11_unprocessed": (j11_unprocessed, J11), "p10_p12_paths": (p10_p12_paths, P10), "p11_host_paths": (p11_host_paths, P11),
     "p21_resolve_paths": (p21_resolve_paths, P21), "s28_content_hash": (s28_content_hash, S28), "f3_phm_score": (f3_phm_score, F3), "u1_u2_unions": (u1_u2_unions, U1),
 }

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,83 @@ def test_pca_indicator_falls_with_life(spark):
     df = _df(spark, _runs())
     hi = health.apply_pca(df, health.fit_pca(df, top_k=4))
     assert all(r["trend_corr"] < 0 for r in health.evaluate(hi).collect())
+
+
+def test_pca_indicator_equals_a_singular_value_decomposition(spark):
+    rng = np.random.default_rng(3)
+    rows = [(*r[:4], *[v + 0.4 * k * rng.normal() + (2.0 * k if k == 3 else 0) for k, v in enumerate(r[4:])]) for r in _runs(n=80)]
+    df = _df(spark, rows)
+    model = health.fit_pca(df, top_k=4)
+    best = [r["feature"] for r in health.feature_scores(df, list(health.REFERENCE)).limit(4).collect()]
+    assert model.features == best
+    keys = [(r[0], r[2]) for r in rows]
+    x = np.array([[r[4 + health.REFERENCE.index(f)] for f in best] for r in rows])
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    first = z @ np.linalg.svd(z - z.mean(axis=0), full_matrices=False)[2][0]
+    life = np.array([k[1] for k in keys]) / 79
+    first = -first if np.corrcoef(first, life)[0, 1] > 0 else first
+    want = dict(zip(keys, (first - first.min()) / (first.max() - first.min()), strict=True))
+    assert _hi(health.apply_pca(df, model)) == pytest.approx(want, abs=1e-6)
+    # Another frame is held against the fitted ends.
+    part = _hi(health.apply_pca(df.where(f"{SEQ} < 30"), model))
+    assert part == pytest.approx({k: want[k] for k in part}, abs=1e-6)
+
+
+def _tree(lines):
+    """A tree from its printed form: a leaf's value, or feature, threshold and both sides."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict:"):
+        return float(line.split(":")[1])
+    feature, threshold = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+    low = _tree(lines)
+    assert lines.pop(0).strip().startswith("Else")
+    return int(feature), float(threshold), low, _tree(lines)
+
+
+def _walk(tree, x):
+    while isinstance(tree, tuple):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def _by_hand(model, rows):
+    """Predictions by unit and sequence from the printed trees and the saved fills."""
+    cols = model.stages[0].getInputCols()
+    fills = model.stages[0].surrogateDF.first()
+    trees = [_tree(t.toDebugString.splitlines()[1:]) for t in model.stages[-1].trees]
+    out = {}
+    for r in rows:
+        x = [fills[c] if r[c] is None else r[c] for c in cols]
+        out[r[U], r[SEQ]] = np.mean([_walk(t, x) for t in trees])
+    return out
+
+
+def test_held_out_tree_predictions_walked_by_hand(spark):
+    df = _df(spark, [(*r[:5], None if r[2] % 11 == 0 else r[5], *r[6:]) for r in _runs(n=60, offset=0.1)])
+    size = {"trees": 5, "depth": 4}
+    got = {(r["split"], r[SEQ]): (r["predicted"], r["actual"]) for r in rul.lobo_trees(df, **size).collect()}
+    rows = df.collect()
+    for unit in ("m0", "m1", "m2"):
+        model = rul.fit_forest(df.where(F.col(U) != unit), **size)
+        hand = _by_hand(model, [r for r in rows if r[U] == unit])
+        assert {(unit, r[SEQ]): got[unit, r[SEQ]] for r in rows if r[U] == unit} == {k: (pytest.approx(v), 10.0 * (59 - k[1])) for k, v in hand.items()}
+    metrics = {r["split"]: r for r in rul.metrics(rul.lobo_trees(df, **size), "model", "split").collect()}
+    for unit, told in metrics.items():
+        e = np.array([p - a for (u, _), (p, a) in got.items() if u == unit])
+        assert (told["mae"], told["rmse"], told["mean_signed_error"], told["n_over"]) == pytest.approx((np.abs(e).mean(), np.sqrt((e * e).mean()), e.mean(), (e > 0).sum()))
+
+
+def test_walk_forward_trees_see_only_what_came_before(spark):
+    runs = _df(spark, _runs(n_units=1, n=80, role="college_run"))
+    size = {"trees": 4, "depth": 3}
+    got = {(r["split"], r[SEQ]): r["predicted"] for r in rul.walk_forward_trees(runs, **size).collect()}
+    rows, want = runs.collect(), {}
+    folds = rul.walk_forward_folds(runs, 4)
+    for i in (1, 2, 3):
+        # A forest's samples go with the rows' partitions, so it is refitted on the same ones.
+        before = folds.where(f"fold = {i} AND part = 'train'").drop("fold", "part")
+        assert before.agg(F.max(SEQ), F.count(F.lit(1))).first() == (20 * i - 1, 20 * i)
+        model = rul.fit_forest(before, **size)
+        hand = _by_hand(model, [r for r in rows if 20 * i <= r[SEQ] < 20 * i + 20])
+        want |= {(f"fold {i}", k[1]): v for k, v in hand.items()}
+    assert got == pytest.approx(want)
