@@ -283,31 +283,48 @@ def _neighbour_pairs(rows: pd.DataFrame, similarity: float, last: int, few: int)
 
 
 def _part_pairs(rows: pd.DataFrame, similarity: float, salts: int) -> Iterator[pd.DataFrame]:
-    """Pairs of rows of one token and different parts, sorted by part: what one part holds costs nothing."""
-    token, key, size, pos, part, salt, other = _columns(rows, "token", "key", "size", "pos", "part", "salt", "other")
-    change = (token[1:] != token[:-1]) | (other[1:] != other[:-1])
-    n = len(rows)
-
-    def ends(breaks: np.ndarray) -> np.ndarray:
-        """For each row where its stretch ends."""
-        at = np.append(np.flatnonzero(breaks) + 1, n)
-        return at[np.searchsorted(at, np.arange(n), side="right")]
+    """Pairs of rows of one token (and block) and different parts.
 
-    part_end, end = ends(change | (part[1:] != part[:-1])), ends(change)
-    many = end - part_end
+    Sorted by part, a row meets those of later parts; sorted by size, those up to the size
+    that can be alike. Each token takes the way that meets fewer: what one part holds, or
+    what differs in size, costs nothing.
+    """
+    n = len(rows)
+    token, other, size, part = _columns(rows, "token", "other", "size", "part")
+    group = np.append(0, np.cumsum((token[1:] != token[:-1]) | (other[1:] != other[:-1])))
+    first = np.searchsorted(group, group)
+    end = np.searchsorted(group, group, side="right")
+    fresh = np.append(True, (part[1:] != part[:-1]) | (group[1:] != group[:-1]))
+    run = np.cumsum(fresh)
+    by_part = np.searchsorted(run, run, side="right")
+    order = np.lexsort((size, group))
+    scale = float(size.max()) / similarity + 2
+    sorted_size = size[order] + group * scale
+    limit = np.searchsorted(sorted_size, size[order] / similarity + 1e-6 + group * scale, side="right")
+    by_size = np.minimum(limit, end)
+    sums = lambda x: np.add.reduceat(x, np.flatnonzero(np.append(True, group[1:] != group[:-1])))[group]
+    small = sums(by_size - np.arange(n) - 1) < sums(end - by_part)
+    for chosen, at, start, stop in ((~small, np.arange(n), by_part, end), (small, order, np.arange(n) + 1, by_size)):
+        yield from _ranges(rows, np.flatnonzero(chosen), at, start, stop, similarity, salts)
+
+
+def _ranges(rows: pd.DataFrame, which: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray, similarity: float, salts: int) -> Iterator[pd.DataFrame]:
+    """Pairs of the rows at places ``which`` of an order ``at`` with those at places ``start`` to ``stop``, a bounded number at a time."""
+    key, size, pos, part, salt, other = (x[at] for x in _columns(rows, "key", "size", "pos", "part", "salt", "other"))
+    many = (stop - start)[which]
     upto = np.cumsum(many)
-    start = 0
-    while start < n:
-        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 200_000, side="right")))
-        count = many[start:stop]
-        i = np.repeat(np.arange(start, stop), count)
-        j = part_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    k = 0
+    while k < len(which):
+        to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + 200_000, side="right")))
+        count = many[k:to]
+        i = np.repeat(which[k:to], count)
+        j = np.repeat(start[which[k:to]], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         # Blocks of two salts hold pairs across them; those inside a salt are in its own block.
-        good = _can_be_alike(size, pos, i, j, similarity) & ((salt[i] != salt[j]) | (other[i] == salt[i] * salts + salt[i]))
+        good = (part[i] != part[j]) & _can_be_alike(size, pos, i, j, similarity) & ((salt[i] != salt[j]) | (other[i] == salt[i] * salts + salt[i]))
         if good.any():
             i, j = i[good], j[good]
             yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
-        start = stop
+        k = to
 
 
 def _by_token(ordered: DataFrame, by: list[str], pairs) -> DataFrame:
