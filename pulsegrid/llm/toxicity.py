@@ -121,16 +121,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str
     """Fit on at most ``sample`` labelled rows.
 
     ``categories`` are names and SQL conditions on the labels. Labels with a null among
-    their conditions are left out; of several for one id, any that holds counts. Without
-    labels, or with one class only, a category gets a constant probability.
+    their conditions are left out; of several for one id, any that holds counts. Of several
+    documents with one id the smallest text is learnt from. Without labels, or with one class only, a category gets a constant probability.
     """
     ship(docs.sparkSession)
     names = [name for name, _ in categories]
     flags = labels.select(F.col(id_col).alias("label_id"), *[F.expr(c).alias(f"y{k}") for k, (_, c) in enumerate(categories)]).dropna()
     flags = flags.groupBy("label_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
     chosen = flags.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
     ys = [f"y{k}" for k in range(len(names))]
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    # One row for each id, so at most ``sample`` rows go on, whatever repeats.
+    known = materialise(known.groupBy("label_id", *ys).agg(F.min("text").alias("text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Counter()

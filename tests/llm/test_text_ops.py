@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
 from collections import Counter
@@ -105,6 +107,39 @@ def test_toxicity_on_given_labels(spark, data):
     assert sum(got[i] == bool(t) for i, t in labels.items()) >= 0.97 * len(labels)
 
 
+def test_toxicity_held_out(spark, data):
+    # The smallest tables have 59 labels outside the held-out third, too few to learn from.
+    data = os.path.join(os.path.dirname(data), "sf0.01")
+    docs, labels = _documents(spark, data), spark.read.parquet(data + "/labels.parquet")
+    held = {r["doc_id"]: bool(r["toxic"]) for r in labels.where("doc_id % 3 = 0").collect()}
+    chain = toxicity.fit_chain(docs, labels.where("doc_id % 3 <> 0"))
+    got = {r["id"]: r["is_toxic"] for r in toxicity.score(docs, chain).where("id % 3 = 0").collect()}
+    assert sum(got[i] == t for i, t in held.items()) >= 0.9 * len(held)
+    assert sum(got[i] for i, t in held.items() if t) >= 0.85 * sum(held.values()) > 0
+
+
+def test_chain_scores_as_sums_by_hand(spark, data):
+    docs = _documents(spark, data)
+    chain = toxicity.fit_chain(docs, spark.read.parquet(data + "/labels.parquet"))
+    got = {r["id"]: [r[f"p_{n}"] for n in chain.names] for r in toxicity.score(docs, chain).collect()}
+    for r in docs.collect():
+        places = {chain.vocabulary[f] for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()) for f in [w, w[:4] + "-", w[:5] + "-", w[:6] + "-"] if f in chain.vocabulary and len(w) > len(f.rstrip("-")) - (f == w)}
+        known = []
+        for w in chain.weights:
+            later = w[len(chain.vocabulary) : -1]
+            z = sum(w[p] for p in places) + sum(a * b for a, b in zip(known, later, strict=True)) + w[-1]
+            known.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert got[r["doc_id"]] == pytest.approx(known, abs=1e-9)
+
+
+def test_chain_learns_from_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(k, f"{'vile' if k % 2 else 'kind'} words {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    often = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
+    once, many = (toxicity.fit_chain(d, labels) for d in (docs, often))
+    assert once.vocabulary == many.vocabulary and all((a == b).all() for a, b in zip(once.weights, many.weights, strict=True))
+
+
 # Personal data and secrets
 
 
