@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_low, corr_or_null, log_compress, logistic, row_mean, safe_divide
-from ..tables import materialise
+from ..tables import materialise, sized
 from .guards import assert_no_leakage, assert_order
 from .quantiles import exact_medians
-from .ranks import SortedCells, moments_without, scores_by_fold
+from .ranks import SortedCells, average_ranks, moments_without, places, previous, quantiles, scores_by_fold
 
 CONTRACT = (
     "acquisition_id", "dataset_id", "bearing_run_id", "role", "source_file_path", "sequence_index", "event_timestamp", "sample_rate_hz", "n_samples",
@@ -57,17 +57,22 @@ def null_fractions(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def healthy_mask(df: DataFrame, fraction: float) -> DataFrame:
     """``df`` with ``is_healthy``: the early ``fraction`` of each unit's sequence numbers."""
-    cut = df.groupBy(U).agg(F.percentile(SEQ, F.lit(fraction)).alias("__cut"))
-    return df.join(cut, U).withColumn("is_healthy", F.col(SEQ) <= F.col("__cut")).drop("__cut")
+    cut = quantiles(df.select(U, SEQ), [U], SEQ, {"__cut": fraction})
+    return df.join(sized(materialise(cut)), U).withColumn("is_healthy", F.col(SEQ) <= F.col("__cut")).drop("__cut")
 
 
 def life_fraction(df: DataFrame) -> DataFrame:
-    """``df`` with the life fraction by sequence value and by position."""
-    unit = Window.partitionBy(U)
-    place = F.row_number().over(by_sequence()) - 1
-    return df.withColumn("life_by_value", safe_divide(F.col(SEQ).cast("double"), F.max(SEQ).over(unit))).withColumn(
-        "life_by_position", safe_divide(place.cast("double"), F.count(F.lit(1)).over(unit) - 1)
-    )
+    """``df`` with the life fraction by sequence value and by position; a unit may be of any length."""
+    placed = places(df, [U], [SEQ], "__place").join(_lengths(df, (U,)), F.col(U).eqNullSafe(F.col("__u0")))
+    by_value = safe_divide(F.col(SEQ).cast("double"), F.col("__last"))
+    by_position = safe_divide(F.col("__place").cast("double"), F.col("__n") - 1)
+    return placed.select(*df.columns, by_value.alias("life_by_value"), by_position.alias("life_by_position"))
+
+
+def _lengths(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``__u<k>, __n, __last``: rows and last sequence number of each unit, a narrow table."""
+    named = df.select(*[F.col(c).alias(f"__u{k}") for k, c in enumerate(keys)], SEQ)
+    return sized(materialise(named.groupBy(*[f"__u{k}" for k in range(len(keys))]).agg(F.count(F.lit(1)).alias("__n"), F.max(SEQ).alias("__last"))))
 
 
 # Transparent indicator
@@ -285,34 +290,34 @@ def leave_one_out_reference(df: DataFrame, unit: str = U, check: bool = True) ->
 
 def ranked(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = (U,)) -> DataFrame:
     """Adds the average rank of a value within its unit; nulls have none."""
-    known = F.col(value).isNotNull()
-    below = Window.partitionBy(*keys, known).orderBy(value)
-    same = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.when(known, F.rank().over(below) + (F.count(F.lit(1)).over(same) - 1) / 2))
+    return average_ranks(df, list(keys), value, out)
 
 
 def evaluate(df: DataFrame, hi: str = "hi", keys: tuple[str, ...] = (U,)) -> DataFrame:
     """By unit: monotonicity, Pearson and Spearman correlation with the sequence, n."""
-    rows = ranked(ranked(df, hi, "__rh", keys), SEQ, "__rs", keys)
-    rows = rows.withColumn("__d", F.signum(F.col(hi) - F.lag(hi).over(by_sequence(*keys))))
+    rows = previous(df.select(*keys, hi, SEQ), list(keys), [SEQ], hi, "__previous")
+    rows = ranked(ranked(rows, hi, "__rh", keys), SEQ, "__rs", keys)
     return rows.groupBy(*keys).agg(
-        F.abs(F.avg("__d")).alias("monotonicity"), corr_or_null(F.col(hi), F.col(SEQ)).alias("trend_corr"), corr_or_null(F.col("__rh"), F.col("__rs")).alias("spearman"), F.count(F.lit(1)).alias("n")
-    )
+        F.abs(F.avg(F.signum(F.col(hi) - F.col("__previous")))).alias("monotonicity"), corr_or_null(F.col(hi), F.col(SEQ)).alias("trend_corr"),
+        corr_or_null(F.col("__rh"), F.col("__rs")).alias("spearman"), F.count(F.lit(1)).alias("n"),
+    )
 
 
 def diagnostics(df: DataFrame, hi: str = "hi", keys: tuple[str, ...] = (U,)) -> DataFrame:
     """By unit: range, share of pinned rows, early and final medians, usable range."""
-    place = F.row_number().over(by_sequence(*keys)) - 1
-    rows = df.withColumn("__p", place).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    narrow = materialise(df.select(*keys, hi, SEQ))
+    rows = places(narrow, list(keys), [SEQ], "__p")
+    rows = rows.join(_lengths(narrow, keys), [F.col(c).eqNullSafe(F.col(f"__u{k}")) for k, c in enumerate(keys)])
     last = F.col("__p") >= F.col("__n") - F.greatest(F.lit(1), F.floor(F.col("__n") / 100))
     h = F.col(hi)
     shape = rows.groupBy(*keys).agg(
         F.min(h).alias("hi_min"), F.max(h).alias("hi_max"),
         (100.0 * F.count_if(h >= 0.999) / F.count(F.lit(1))).alias("pct_at_one"), (100.0 * F.count_if(h <= 0.001) / F.count(F.lit(1))).alias("pct_at_zero"),
         F.median(F.when(F.col("__p").between(10, 59), h)).alias("hi_healthy_window"), F.median(F.when(last, h)).alias("hi_final_1pct"),
-        (F.percentile(h, F.lit(0.95)) - F.percentile(h, F.lit(0.05))).alias("usable_range_p05_p95"),
     )
-    return shape.join(evaluate(df, hi, keys).drop("trend_corr"), list(keys))
+    spread = quantiles(narrow, list(keys), hi, {"__p95": 0.95, "__p05": 0.05})
+    usable = spread.select(*keys, (F.col("__p95") - F.col("__p05")).alias("usable_range_p05_p95"))
+    return shape.join(usable, list(keys), "left").join(evaluate(narrow, hi, keys).drop("trend_corr"), list(keys))
 
 
 def pinning_report(diagnosed: DataFrame, by: str = "hi_name") -> DataFrame:

@@ -17,10 +17,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..tables import materialise
+from ..tables import materialise, sized
 
 #: Rows of a cell at least, and cells of a value's name at most: so the table of cells is bounded.
 CELL_ROWS, CELLS = 256, 16_384
+#: Values of more rows than this are joined by broadcast, so that no task gets all of them.
+FREQUENT = 100_000
+
+
+def _ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """``df`` written in ranges of a distributed sort, with ``__range``; equal rows share a range."""
+    return materialise(df.repartitionByRange(*groups, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def _beside(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """``df`` to be joined by ``_same``: its keys are renamed."""
+    return df.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(keys)], *values)
+
+
+def _same(keys: list[str]) -> list:
+    return [F.col(c).eqNullSafe(F.col(f"__o{k}")) for k, c in enumerate(keys)]
 
 
 def running_sum(df: DataFrame, groups: list[str], order: list[str], weight: str, out: str) -> DataFrame:
@@ -29,18 +45,76 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], weight: str,
     A group is dealt to many ranges, so it may be of any size; its rows must differ in
     ``order``. The sorted table is written once.
     """
-    ranged = materialise(df.repartitionByRange(*groups, *order).withColumn("__range", F.spark_partition_id()))
+    ranged = _ranged(df, groups, order)
     place = [*groups, "__range"]
     before = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # A row for each range and group in it.
     totals = ranged.groupBy(*place).agg(F.sum(weight).alias("__total"))
     ahead = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(place)], F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__offset"))
-    on = [F.col(c).eqNullSafe(F.col(f"__o{k}")) for k, c in enumerate(place)]
-    summed = ranged.withColumn("__in", F.coalesce(F.sum(weight).over(before), F.lit(0))).join(offsets, on)
+    offsets = _beside(totals.withColumn("__offset", F.coalesce(F.sum("__total").over(ahead), F.lit(0))), place, "__offset")
+    summed = ranged.withColumn("__in", F.coalesce(F.sum(weight).over(before), F.lit(0))).join(offsets, _same(place))
     return summed.withColumn(out, F.col("__offset") + F.col("__in")).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
+def places(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: a row's place in its group, from 0; rows equal in ``order`` follow one another in any order."""
+    return running_sum(df.withColumn("__one", F.lit(1)), groups, order, "__one", out).drop("__one")
+
+
+def previous(df: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the value of the row before in the group, null for the first; groups of any size."""
+    ranged = _ranged(df, groups, order)
+    place = [*groups, "__range"]
+    inside = Window.partitionBy(*place).orderBy(*order)
+    # A row for each range and group in it: its last value goes on to the next.
+    ends = ranged.groupBy(*place).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__end"))
+    carried = ends.withColumn("__carried", F.lag("__end.v").over(Window.partitionBy(*groups).orderBy("__range")))
+    found = ranged.withColumn("__n", F.row_number().over(inside)).withColumn("__before", F.lag(value).over(inside)).join(_beside(carried, place, "__carried"), _same(place))
+    return found.withColumn(out, F.when(F.col("__n") == 1, F.col("__carried")).otherwise(F.col("__before"))).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def _blocks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """The distinct known values of each group with their rows ``__c`` and the rows of lower values ``__below``."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
+    return running_sum(counts, groups, [value], "__c", "__below")
+
+
+def average_ranks(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the average rank of a value in its group; nulls have none.
+
+    Groups and ties may be of any size: values are counted before they are sorted, and those
+    of over ``FREQUENT`` rows get their rank without a shuffle.
+    """
+    keys = [*groups, value]
+    ranks = materialise(_blocks(df, groups, value).withColumn("__rank", F.col("__below") + (F.col("__c") + 1) / 2))
+    often = _beside(ranks.where(F.col("__c") > FREQUENT).withColumn("__often", F.col("__rank")), keys, "__often")
+    rest = _beside(ranks.where(F.col("__c") <= FREQUENT).withColumn("__at", F.lit(0)), keys, "__rank", "__at")
+    held = df.join(sized(often), _same(keys), "left").drop(*[f"__o{k}" for k in range(len(keys))])
+    # Rows that need no partner are dealt out.
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 16)) + 1
+    held = held.withColumn("__salt", F.when(F.col("__often").isNotNull() | F.col(value).isNull(), spread).otherwise(F.lit(0)))
+    joined = held.join(rest, [*_same(keys), F.col("__salt") == F.col("__at")], "left")
+    return joined.withColumn(out, F.coalesce("__often", "__rank")).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``groups, <name>...``: exact quantiles of the known values of each group, interpolated between ranks.
+
+    Groups may be of any size; one without a known value has no row.
+    """
+    blocks = materialise(_blocks(df, groups, value))
+    totals = _beside(blocks.groupBy(*groups).agg(F.sum("__c").alias("__n")), groups, "__n")
+    rows = blocks.join(sized(materialise(totals)), _same(groups))
+
+    def at(q: float):
+        spot = F.lit(q) * (F.col("__n") - 1)
+        value_at = lambda k: F.min(F.when(F.col("__below") + F.col("__c") > k, F.col(value)))
+        low, high, share = value_at(F.floor(spot)), value_at(F.ceil(spot)), F.max(spot - F.floor(spot))
+        return F.when(low == high, low.cast("double")).otherwise(low * (1 - share) + high * share)
+
+    return rows.groupBy(*groups).agg(*[at(q).alias(name) for name, q in wanted.items()])
+
+
 class SortedCells:
     """Values ``name, unit, v``, sorted by name and value and cut into cells; nulls are left out."""
 

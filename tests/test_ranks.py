@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,47 @@ def test_hundreds_of_units(spark):
     params = health.fit_leave_one_out(df, check=False)
     assert params.where("healthy < failure").count() == 300
     assert time.time() - began < 180
+
+
+def _uneven(spark):
+    """One long unit with a pinned value, ties, nulls, a null unit and short units."""
+    r = random.Random(4)
+    rows = [("a", k, None if r.random() < 0.1 else 1.0 if r.random() < 0.4 else round(r.random(), 2)) for k in range(900)]
+    rows += [("b", 0, 0.5), ("b", 1, None), ("c", 7, None), (None, 1, 0.1), (None, 2, 0.4), (None, 2, 0.4)]
+    return rows, spark.createDataFrame(rows, "u string, s long, v double").repartition(7)
+
+
+def test_average_ranks_of_a_long_group(spark, monkeypatch):
+    rows, df = _uneven(spark)
+    frame = pd.DataFrame(rows, columns=["u", "s", "v"])
+    want = Counter((a, b, c, d) for a, b, c, d in zip(*zip(*rows), frame.groupby("u", dropna=False)["v"].rank().astype(object).where(lambda x: x.notna(), None)))
+    for frequent in (100_000, 50):
+        monkeypatch.setattr(ranks, "FREQUENT", frequent)
+        assert Counter(tuple(x) for x in ranks.average_ranks(df, ["u"], "v", "r").collect()) == want
+
+
+def test_places_and_previous_of_a_long_group(spark):
+    rows, df = _uneven(spark)
+    for unit in ("a", "b", "c", None):
+        mine = sorted((x for x in rows if x[0] == unit), key=lambda x: x[1])
+        got = [x for x in ranks.places(df, ["u"], ["s"], "p").collect() if x["u"] == unit]
+        assert sorted((x["s"], x["p"]) for x in got) == [(x[1], k) for k, x in enumerate(mine)]
+        got = [x for x in ranks.previous(df, ["u"], ["s"], "v", "w").collect() if x["u"] == unit]
+        assert [x["w"] for x in sorted(got, key=lambda x: (x["s"], x["w"] or 0))] == [None, *[x[2] for x in mine[:-1]]]
+
+
+def test_quantiles_of_a_long_group(spark):
+    rows, df = _uneven(spark)
+    got = {x["u"]: (x["low"], x["mid"], x["top"]) for x in ranks.quantiles(df, ["u"], "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", None}
+    for unit, found in got.items():
+        known = [x[2] for x in rows if x[0] == unit and x[2] is not None]
+        assert found == pytest.approx(tuple(np.quantile(known, [0.05, 0.5, 1.0])), abs=1e-12)
+    assert ranks.quantiles(df.where("1 = 0"), ["u"], "v", {"low": 0.05}).count() == 0
+
+
+def test_a_long_unit_is_many_tasks(spark):
+    df = spark.range(400_000).selectExpr("'x' AS bearing_run_id", "id AS sequence_index", "IF(id % 3 = 0, 1.0D, sin(id)) AS hi")
+    spread = ranks.places(df, ["bearing_run_id"], ["sequence_index"], "p").groupBy(F.spark_partition_id()).count().collect()
+    assert max(x["count"] for x in spread) < 200_000
+    assert health.evaluate(df).first()["n"] == 400_000
