@@ -1,10 +1,10 @@
 """Ranks and quantiles over groups of any size, and over all rows but those of one unit.
 
-Running sums are worked out inside ranges of a distributed sort plus the ranges' totals. On
-such a sort, cells of about equally many rows say how many values of a unit lie where. What a
-unit leaves behind when it is left out follows by subtraction: the cells tell which few of
-them hold the quantile, and only their rows are looked at. So a study leaves out every unit
-in turn and sorts the rows once.
+Running sums are worked out inside ranges of a distributed sort plus the ranges' totals. For
+studies, cells of about equally many rows, cut by a sketch, say how many values of a unit lie
+where. What a unit leaves behind when it is left out follows by subtraction: the cells tell
+which few of them hold the quantile, and only their rows are looked at. So a study leaves out
+every unit in turn and sorts none of the other rows.
 """
 
 from __future__ import annotations
@@ -13,16 +13,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..tables import materialise, sized
 
 #: Rows of a cell at least, and cells of a value's name at most: so the table of cells is bounded.
-CELL_ROWS, CELLS = 256, 16_384
+CELL_ROWS, CELLS = 256, 4_096
+#: Of the sketch that cuts the cells; it decides on speed alone.
+ACCURACY = 5_000
 #: Values of more rows than this are joined by broadcast, so that no task gets all of them.
 FREQUENT = 100_000
+#: Groups of at most this many rows are worked through by windows, each in a task.
+GROUP_ROWS = 200_000
+
+
+def short_groups(df: DataFrame, groups: list[str]) -> bool:
+    """Whether each group may be worked through in a task; one count by group."""
+    most = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= GROUP_ROWS
+
+
+def window_rank(groups: list[str], value: str) -> Column:
+    """The average rank of a value in its short group; nulls have none."""
+    order = Window.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def _ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
@@ -116,23 +134,24 @@ def quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, fl
 
 
 class SortedCells:
-    """Values ``name, unit, v``, sorted by name and value and cut into cells; nulls are left out."""
+    """Values ``name, unit, v``, dealt to cells of neighbouring values; nulls are left out.
+
+    A sketch gives the ends of the cells, so nothing is sorted. ``long`` is read a few times,
+    so it should be stored or follow cheaply from what is.
+    """
 
     def __init__(self, long: DataFrame) -> None:
         ship(long.sparkSession)
-        # Equal values of a unit are one row.
-        blocks = long.where("v IS NOT NULL AND unit IS NOT NULL").groupBy("name", "unit", "v").agg(F.count(F.lit(1)).alias("c"))
-        order = ("name", "v", "unit")
-        # Numbers grow along the sort, range by range, so cells cut from them follow one another.
-        self.rows = materialise(blocks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cell", F.monotonically_increasing_id()))
+        known = long.where("v IS NOT NULL AND unit IS NOT NULL")
+        marks = F.lit(np.arange(1, CELLS) / CELLS)
         # One row for each name.
-        self.sizes = {r["name"]: max(CELL_ROWS, -(-r["n"] // CELLS)) for r in self.rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
-        size = F.coalesce(*[F.when(F.col("name") == n, F.lit(s)) for n, s in self.sizes.items()], F.lit(CELL_ROWS))
-        self.rows = self.rows.withColumn("cell", F.floor(F.col("cell") / size))
-        cells = self.rows.groupBy("name", "cell").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).toArrow().to_pandas()
+        told = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", marks, ACCURACY).alias("ends")).collect()
+        self.sizes = {r["name"]: r["n"] for r in told}
+        self.rows = _in_cells(known, {r["name"]: r["ends"][(step := -(-CELLS // max(1, r["n"] // CELL_ROWS))) - 1 :: step] for r in told})
+        self.own = materialise(self.rows.groupBy("name", "unit", "cell").agg(F.count(F.lit(1)).alias("own"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        cells = self.own.groupBy("name", "cell").agg(F.sum("own").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow().to_pandas()
         found = {name: g.sort_values("cell") for name, g in cells.groupby("name")}
         self.cells = long.sparkSession.sparkContext.broadcast({name: tuple(g[c].to_numpy() for c in ("cell", "n", "lo", "hi")) for name, g in found.items()})
-        self.own = self.rows.groupBy("name", "unit", "cell").agg(F.sum("c").alias("own"))
 
     def quantiles_without(self, units: DataFrame, q: float = 0.5, around: DataFrame | None = None) -> DataFrame:
         """``name, unit, value``: the quantile of all values but the unit's own, for each of ``units``.
@@ -144,7 +163,7 @@ class SortedCells:
         names = spark.createDataFrame([(n,) for n in self.sizes], "name string")
         # A row for each unit and name: those that have no value of that name are left out of nothing.
         every = units.select("unit").where("unit IS NOT NULL").distinct().crossJoin(F.broadcast(names))
-        asked = self.own.unionByName(every.select("name", "unit", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("own")))
+        asked = self.own.select("name", "unit", "cell", "own").unionByName(every.select("name", "unit", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("own")))
         asked = asked.join(units.select(F.col("unit").alias("u")).distinct(), F.col("unit") == F.col("u"), "left_semi")
         if around is None:
             asked = asked.withColumn("m", F.lit(None).cast("double"))
@@ -153,15 +172,26 @@ class SortedCells:
         kind = units.schema["unit"].dataType.simpleString()
         searched = asked.groupBy("unit").applyInPandas(_search(self.cells, q, around is not None), f"name string, unit {kind}, m double, first long, second long, share double, cell long")
         searched = materialise(searched)
-        rows = self.rows.select("name", "cell", F.col("unit").alias("other"), "v", "c")
+        rows = self.rows.select("name", "cell", F.col("unit").alias("other"), "v")
         value = F.col("v") if around is None else F.abs(F.col("v") - F.col("m"))
-        near = searched.join(rows, ["name", "cell"]).where("other <> unit").withColumn("d", value)
-        counts = near.groupBy("name", "unit", "first", "second", "share", "d").agg(F.sum("c").alias("c"))
+        near = rows.join(sized(searched), ["name", "cell"]).where("other <> unit").withColumn("d", value)
+        counts = near.groupBy("name", "unit", "first", "second", "share", "d").agg(F.count(F.lit(1)).alias("c"))
         upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("name", "unit").orderBy("d")))
         low, high = F.min(F.when(F.col("upto") >= F.col("first"), F.col("d"))), F.min(F.when(F.col("upto") >= F.col("second"), F.col("d")))
         return upto.groupBy("name", "unit").agg((low + (high - low) * F.max("share")).alias("value"))
 
 
+def _in_cells(known: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
+    """Adds ``cell``: the place of a value between the ends of its name."""
+    if not ends:
+        return known.withColumn("cell", F.lit(0).cast("long"))
+    splits = [[-np.inf, *(sorted({e for e in found if np.isfinite(e)}) or [0.0]), np.inf] for found in ends.values()]
+    names = [(n, f"__v{k}", f"__c{k}") for k, n in enumerate(ends)]
+    parted = known.withColumns({v: F.when(F.col("name") == n, F.col("v")) for n, v, _ in names})
+    placed = Bucketizer(splitsArray=splits, inputCols=[v for _, v, _ in names], outputCols=[c for *_, c in names], handleInvalid="keep").transform(parted)
+    return placed.select("name", "unit", "v", F.coalesce(*[F.when(F.col("name") == n, F.col(c)) for n, _, c in names]).cast("long").alias("cell"))
+
+
 def _search(cells, q: float, distances: bool):
     """The cells that may hold the quantile, and which of their values in order it is."""
 

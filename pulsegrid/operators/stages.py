@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import materialise, sized
 from .guards import assert_no_leakage, assert_order
 from .health import EOL, N_REF, SEQ, SKIP, U, by_sequence, end_of_life
 from .ranks import SortedCells
@@ -39,12 +39,13 @@ def fit_thresholds_without(df: DataFrame, unit: str, hi: str = "hi", skip: int =
     last = rows.where(F.col("__p") >= F.col("__n") - end_of_life(F.col("__n"), eol)).groupBy(F.col(unit).alias("unit"), U).agg(F.median(hi).alias("v"))
     last = materialise(last)
     units = materialise(last.select("unit").distinct())
-    warn = SortedCells(rows.where(early).select(F.lit("early").alias("name"), F.col(unit).alias("unit"), F.col(hi).alias("v"))).quantiles_without(units, quantile)
+    first = materialise(rows.where(early).select(F.lit("early").alias("name"), F.col(unit).alias("unit"), F.col(hi).alias("v")))
+    warn = SortedCells(first).quantiles_without(units, quantile)
     critical = SortedCells(last.select(F.lit("end").alias("name"), "unit", "v")).quantiles_without(units)
     machines = last.groupBy("unit").count()
     left = machines.select("unit", (F.sum("count").over(Window.partitionBy()) - F.col("count")).alias("n_units"))
     params = warn.select(F.col("unit").alias("fold"), F.col("value").alias("hi_warn")).join(critical.select(F.col("unit").alias("fold"), F.col("value").alias("hi_critical")), "fold")
-    params = params.join(left.withColumnRenamed("unit", "fold"), "fold")
+    params = materialise(params.join(left.withColumnRenamed("unit", "fold"), "fold"))
     return assert_order(params, "hi_critical", "hi_warn") if check else params
 
 
@@ -71,7 +72,9 @@ def debounce(df: DataFrame, raw: str, k: int = PERSISTENCE, out: str = "stage",
 
 
 def assign_stages(df: DataFrame, params: DataFrame, hi: str = "hi", by: str | None = None, k: int = PERSISTENCE) -> DataFrame:
-    rows = df.withColumn("__fold", F.lit("all") if by is None else F.col(by)).join(params.select(F.col("fold").alias("__fold"), "hi_warn", "hi_critical"), "__fold")
+    rows = df.withColumn("__fold", F.lit("all") if by is None else F.col(by)).join(sized(params.select(F.col("fold").alias("__fold"), "hi_warn", "hi_critical")), "__fold")
+    # All windows of a unit from one shuffle.
+    rows = rows.repartition(U)
     staged = debounce(rows.withColumn("raw_stage", raw_stage(F.col(hi), F.col("hi_warn"), F.col("hi_critical"))), "raw_stage", k)
     return staged.drop("__fold", "hi_warn", "hi_critical")
 

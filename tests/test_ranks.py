@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid import tables
 from pulsegrid.operators import health, ranks, stages
 
 U, SEQ = health.U, health.SEQ
@@ -139,3 +140,39 @@ def test_a_long_unit_is_many_tasks(spark):
     spread = ranks.places(df, ["bearing_run_id"], ["sequence_index"], "p").groupBy(F.spark_partition_id()).count().collect()
     assert max(x["count"] for x in spread) < 200_000
     assert health.evaluate(df).first()["n"] == 400_000
+
+
+def test_short_units_go_by_windows_with_the_same_results(spark, monkeypatch):
+    rows, df = _uneven(spark)
+    df = df.toDF(U, SEQ, "hi").where(f"NOT ({U} <=> NULL)")
+    plain = lambda d: {r[U]: pytest.approx(r.asDict(), nan_ok=True) for r in d.collect()}
+    told = [lambda: health.diagnostics(df), lambda: health.evaluate(df), lambda: health.feature_scores(df, ["hi"]).withColumn(U, F.col("feature"))]
+    written = sum(len(x) for x in tables._WRITTEN.values())
+    short = [{r[U]: r.asDict() for r in f().collect()} for f in told]
+    # Nothing is sorted and written.
+    assert sum(len(x) for x in tables._WRITTEN.values()) == written
+    monkeypatch.setattr(health, "short_groups", lambda *_: False)
+    for f, got in zip(told, short, strict=True):
+        assert got == plain(f())
+    whole = df.withColumn("role", F.lit("learning"))
+    want = Counter(health.healthy_mask(whole, 0.1).collect()), Counter(health.life_fraction(whole).select(U, SEQ, "life_by_value").collect())
+    monkeypatch.undo()
+    assert want == (Counter(health.healthy_mask(whole, 0.1).collect()), Counter(health.life_fraction(whole).select(U, SEQ, "life_by_value").collect()))
+
+
+def test_no_task_holds_the_values_of_a_fold(spark):
+    rows = [("all", f"u{u}", k, 100, float((u * 7 + k * k) % 31)) for u in range(6) for k in range(100)]
+    found = health.anchors(spark.createDataFrame(rows, f"fold string, {U} string, pos int, n_unit int, score double"), "fold")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan
+    early = [r[4] for r in rows if 10 <= r[2] < 60]
+    ends = [np.median([r[4] for r in rows if r[1] == f"u{u}" and r[2] >= 95]) for u in range(6)]
+    assert found.first().asDict() == {"fold": "all", "healthy": np.median(early), "failure": np.median(ends)}
+
+
+def test_cells_follow_odd_values(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "CELL_ROWS", 1)
+    rows = [("a", u, v) for u in range(4) for v in (-0.0, 0.0, float("inf"), float("-inf"), 2.0 * u)]
+    cells = ranks.SortedCells(spark.createDataFrame(rows, LONG))
+    got = cells.quantiles_without(spark.createDataFrame([(u,) for u in range(4)], "unit int"))
+    assert {r["unit"]: r["value"] for r in got.collect()} == {u: float(np.median([v for _, w, v in rows if w != u])) for u in range(4)}
