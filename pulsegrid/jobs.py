@@ -82,10 +82,11 @@ def compare_indicators(df: DataFrame, unit: str = health.U, check: bool = True)
     The reference indicator counts as held out (fitted without each ``unit``); the others are
     fitted on all rows. Stages are those of the reference indicator, thresholds held out too.
     """
+    df = health.materialise(df)
     transparent = health.apply_transparent(df, health.fit_transparent(df))
     own = [c for c in df.columns if c in (*health.CONTRACT, *health.REFERENCE)]
     component = health.apply_pca(df.select(*own), health.fit_pca(df.select(*own)))
-    reference = health.leave_one_out_reference(df, unit, check)
+    reference = health.materialise(health.leave_one_out_reference(df, unit, check))
     named = {"transparent": transparent, "component": component, "reference": reference}
     by_unit = None
     for name, rows in named.items():
@@ -94,7 +95,7 @@ def compare_indicators(df: DataFrame, unit: str = health.U, check: bool = True)
     by_unit = health.materialise(by_unit)
     overall = health.pinning_report(by_unit)
     chosen = health.select_indicator(overall)
-    held = health.materialise(reference.drop("fold"))
+    held = reference.drop("fold")
     limits = stages.fit_thresholds_without(held, unit, check=check)
     staged = stages.summarize(stages.assign_stages(held, limits, by=unit))
     # The choice is one row.
