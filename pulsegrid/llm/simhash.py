@@ -381,11 +381,24 @@ def _far_candidates(named: DataFrame, similarity: float) -> DataFrame:
     return _by_token(ordered, ["token", "other"], lambda rows: _part_pairs(rows, similarity, most))
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: links that join rows ``key, text`` whose fingerprints differ in at most ``radius`` bits.
+
+    Rows of one fingerprint link to the smallest key; those stand for it in the trees' links.
+    """
+    fps = materialise(fingerprints(docs, "key").toDF("key", "fp").distinct())
+    first = materialise(fps.groupBy("fp").agg(F.min("key").alias("first")))
+    same = fps.join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    met = links(first, radius).toDF("x", "y").join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y")
+    return materialise(same.union(met.select("a", "b")))
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, joined: DataFrame | None = None) -> DataFrame:
     """``a, b``: links between rows ``key, text`` that keep all groups of chained similar texts.
 
     Texts are similar if they share at least ``similarity`` (Jaccard) of their word shingles.
-    All such pairs are compared but those that other pairs have joined already.
+    All such pairs are compared but those that other pairs have joined already; links that are
+    known before (``joined``) count as such and are returned too.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -427,22 +440,27 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     near = materialise(_near_candidates(tokens, similarity))
     edges = verified(near)
+    edges = edges if joined is None else edges.union(joined)
     parts = materialise(connected_components(edges).toDF("key", "component"))
     named = materialise(tokens.join(parts, "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("part")))
     far = materialise(_far_candidates(named, similarity).join(near, ["a", "b"], "left_anti"))
     return edges.union(verified(far))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """``docs`` without the near-duplicates of the row with the smallest id of their group.
 
     Rows link if they share at least ``similarity`` (Jaccard) of their word shingles, texts
-    without words sharing all; a group is what links chain together. All columns stay. Rows
+    without words sharing all, and with ``radius`` also if their fingerprints differ in at most
+    so many bits, found by the vantage-point trees before shingles are searched; a group is
+    what links chain together. All columns stay. Rows
     without an id stay where no row of their group has one; repeated ids stay together.
     """
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     points = materialise(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-    parts = connected_components(similar_links(keyed.select("key", "text"), shingle, similarity)).toDF("key", "component")
+    texts = keyed.select("key", "text")
+    joined = None if radius is None else fingerprint_links(texts, radius)
+    parts = connected_components(similar_links(texts, shingle, similarity, joined)).toDF("key", "component")
     named = points.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     groups = named.groupBy("component").agg(F.min("least").alias("__least"), F.sum("n").alias("n")).where("n > 1 AND __least IS NOT NULL")
     kept = materialise(named.select("key", "component").join(groups, "component").select(F.col("key").alias("__key"), "__least"))

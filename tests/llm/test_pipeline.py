@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from pulsegrid.llm import exact_dedup, mixing
+from pulsegrid.llm import exact_dedup, mixing, simhash
 from pulsegrid.llm.common import materialise
 
 
@@ -62,3 +62,22 @@ def test_stages_take_odd_and_empty_rows(spark, data, odd, nothing):
     assert left["toxicity"] == {"1", "2", "3", "4", "5", "6", "7", "8", "9", "None"}
     assert left["exact dedup"] == {"9", "4", "5", "6", "7", "8", "None"} and left["near dedup"] == {"9", "4", "6", "7", "8", "None"}
     assert left["mixing"] <= left["near dedup"]
+
+
+def test_near_copies_are_found_by_fingerprints_too(spark, data):
+    words = [f"w{k}" for k in range(40)]
+    base = " ".join(words * 30)
+    rows = [(1, base), (2, base + " end"), (3, "other text of its own"), (4, " ".join(f"v{k}" for k in range(90)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = simhash.fingerprint_links(docs.withColumnRenamed("doc_id", "key"))
+    near = {(r["a"], r["b"]) for r in links.collect()}
+    bits = {(a, b) for a, s in rows for b, t in rows if a < b and (simhash.fingerprint(s.encode()) ^ simhash.fingerprint(t.encode())).bit_count() <= 2}
+    assert {tuple(sorted(p)) for p in near} == bits == {(1, 2)}
+    asked = []
+    whole = simhash.fingerprint_links
+    simhash.fingerprint_links = lambda *a: asked.append(1) or whole(*a)
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, docs, data)
+    finally:
+        simhash.fingerprint_links = whole
+    assert asked and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
