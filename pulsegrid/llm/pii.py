@@ -313,7 +313,7 @@ def redact(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: st
         start = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
         return F.aggregate(piece, start, put, lambda own: F.struct(own["at"].alias("at"), F.concat(acc["out"], own["out"]).alias("out")))
 
-    done = F.aggregate(once(ordered, pieces), zero, put_piece, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = F.aggregate(once(ordered, lambda spans: pieces(spans)), zero, put_piece, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return found.select("id", done.alias("text"))
 
 
