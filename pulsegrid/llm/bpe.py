@@ -2,8 +2,9 @@
 
 Merges of a word are found with a segment tree over the ranks of its adjacent pairs: the
 root holds the lowest rank, the way down to the left gives its leftmost place, and a merge
-updates three leaves in logarithmic time. The work is spread by document; a worker keeps the
-ids of frequent words, as many as a fixed bound allows.
+updates three leaves in logarithmic time. The new words of a batch are merged side by side,
+their trees the rows of one array; long words have a tree of their own. The work is spread by
+document; a worker keeps the ids of words in use, as many as a fixed bound allows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 NO_RANK = 1 << 60
+#: The same in arrays, and words of how many bytes are merged side by side, so many at once.
+NO_RANK_32, SIDE, SIDE_WORDS = (1 << 31) - 1, 64, 1 << 14
+#: Characters of texts whose new words are looked up together.
+GROUP_CHARS = 1 << 22
 CACHED = 150_000
 CACHED_LENGTH = 80
 #: White space to str.split that isn't white space to the vocabulary's splitter.
@@ -85,6 +90,27 @@ class PairTree:
             low[k] = rank
 
 
+class Cache:
+    """A dictionary in two generations: what wasn't asked for while one filled up is forgotten.
+
+    So words in use stay when rare ones have filled the bound.
+    """
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordBPE:
     """Encoder and decoder for a vocabulary file with word ends and lower-cased text."""
 
@@ -101,8 +127,13 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._words: dict[str, list[int]] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._words, self._chunks = Cache(CACHED), Cache(CACHED)
+        # The same tables as arrays: pairs in order, their ranks, and what a rank's pair becomes.
+        keys = np.array([a << 32 | b for a, b in self.ranks], np.int64)
+        order = np.argsort(keys)
+        self._pairs, self._pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
+        self._made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self._inner, self._last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -136,46 +167,132 @@ class WordBPE:
                 put(h, rank((symbols[h], new), NO_RANK))
         return [s for s in symbols if s >= 0]
 
-    def _plain(self, chunk: str) -> list[int]:
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, keys), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == keys, self._pair_ranks[at], NO_RANK_32)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers; short ones are merged side by side."""
+        found: list[bytes] = [b""] * len(words)
+        kinds: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            if len(word) > SIDE or not len(self._pairs):
+                ids = self.merge(word)
+                found[at] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                kinds.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(at)
+        for width, places in kinds.items():
+            for k in range(0, len(places), SIDE_WORDS):
+                some = places[k : k + SIDE_WORDS]
+                for at, ids in zip(some, self._side_by_side([words[x] for x in some], width), strict=True):
+                    found[at] = ids
+        return found
+
+    def _side_by_side(self, words: list[bytes], width: int) -> list[bytes]:
+        """``merge`` of words of at most ``width`` bytes (a power of two): a row for each word."""
+        m, n = len(words), np.array([len(w) for w in words])
+        place = np.arange(width)
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(m, width)
+        symbols = np.where(place == n[:, None] - 1, self._last[letters], self._inner[letters])
+        symbols[place >= n[:, None]] = -1
+        # Leaf k of a word's tree is the pair that begins at k; node 1 is its root.
+        tree = np.full((m, 2 * width), NO_RANK_32, np.int64)
+        inside = place[:-1] < n[:, None] - 1
+        tree[:, width:-1][inside] = self._ranks_of(symbols[:, :-1][inside], symbols[:, 1:][inside])
+        k = width // 2
+        while k:
+            tree[:, k : 2 * k] = np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2])
+            k //= 2
+        after, before = np.tile(place + 1, (m, 1)).ravel(), np.tile(place - 1, (m, 1)).ravel()
+        low, symbol = tree.ravel(), symbols.ravel()
+        rows = np.flatnonzero(tree[:, 1] < NO_RANK_32)
+        while len(rows):
+            root, base, ends = rows * (2 * width), rows * width, n[rows]
+            least, node = low[root + 1], np.ones(len(rows), np.int64)
+            for _ in range(width.bit_length() - 1):
+                node *= 2
+                node += low[root + node] != least
+            i = node - width
+            j, h, new = after[base + i], before[base + i], self._made[least]
+            k = after[base + j]
+            symbol[base + i], symbol[base + j], after[base + i] = new, -1, k
+            goes, low[root + width + j], low[root + width + i] = k < ends, NO_RANK_32, NO_RANK_32
+            nxt = (base + k)[goes]
+            before[nxt] = i[goes]
+            low[(root + node)[goes]] = self._ranks_of(new[goes], symbol[nxt])
+            led = h >= 0
+            low[(root + width + h)[led]] = self._ranks_of(symbol[(base + h)[led]], new[led])
+            for up in (width + j, node, (width + h)[led]):
+                top = root if len(up) == len(root) else root[led]
+                for _ in range(width.bit_length() - 1):
+                    up = up >> 1
+                    low[top + up] = np.minimum(low[top + 2 * up], low[top + 2 * up + 1])
+            rows = rows[low[root + 1] < NO_RANK_32]
+        left = symbols >= 0
+        ids, ends = symbols[left].astype("<u4").tobytes(), (4 * np.cumsum(left.sum(axis=1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _parts_of(self, chunk: str) -> list[str]:
+        """The words of a run without white space, and the special tokens in it."""
+        if self._cut is None or "<|" not in chunk:
+            return self._words_of(chunk)
+        return [part for piece in self._cut.split(chunk) for part in ([piece] if piece in self.special else self._words_of(piece))]
+
+    @staticmethod
+    def _words_of(chunk: str) -> list[str]:
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-            parts = _PARTS.findall(chunk.lower())
-        else:
-            parts = [chunk.lower()] if chunk.isalpha() else _PARTS.findall(chunk.lower())
-        ids: list[int] = []
-        for part in parts:
-            known = self._words.get(part)
+            return _PARTS.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        return [chunk.lower()] if chunk.isalpha() else _PARTS.findall(chunk.lower())
+
+    def _pack(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of each run, as little-endian 32-bit integers."""
+        packed, cut = {}, {}
+        for chunk in chunks:
+            known = self._chunks.get(chunk)
             if known is None:
-                known = self.merge(part.encode())
-                if len(part) <= CACHED_LENGTH:
-                    if len(self._words) >= CACHED:
-                        self._words.clear()
-                    self._words[part] = known
-            ids += known
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a run without white space, as little-endian 32-bit integers."""
-        if self._cut is None or "<|" not in chunk:
-            ids = self._plain(chunk)
-        else:
-            ids = []
-            for piece in self._cut.split(chunk):
-                ids += [self.special[piece]] if piece in self.special else self._plain(piece)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self._chunks) >= CACHED:
-                self._chunks.clear()
-            self._chunks[chunk] = packed
+                cut[chunk] = self._parts_of(chunk)
+            else:
+                packed[chunk] = known
+        # No word is written like a special token: the splitter parts letters from signs.
+        words = {name: struct.pack("<I", i) for name, i in self.special.items()}
+        asked = {part for parts in cut.values() for part in parts}.difference(words)
+        new = []
+        for word in asked:
+            known = self._words.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                words[word] = known
+        for word, ids in zip(new, self.merge_all([word.encode() for word in new]), strict=True):
+            words[word] = ids
+            if len(word) <= CACHED_LENGTH:
+                self._words.put(word, ids)
+        for chunk, parts in cut.items():
+            packed[chunk] = ids = words[parts[0]] if len(parts) == 1 else b"".join([words[part] for part in parts])
+            if len(chunk) <= CACHED_LENGTH:
+                self._chunks.put(chunk, ids)
         return packed
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers; null is the empty text."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= GROUP_CHARS:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [_SPACE.split(text) if _ODD.search(text) else text.split() for text in texts]
+        packed = self._pack({chunk for chunks in cut for chunk in chunks}).__getitem__
+        for chunks in cut:
+            yield b"".join(map(packed, chunks))
+
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers; null is the empty text."""
-        if not text:
-            return b""
-        chunks = _SPACE.split(text) if _ODD.search(text) else text.split()
-        known, new = self._chunks.get, self._chunk
-        return b"".join([x if (x := known(c)) is not None else new(c) for c in chunks])
+        return next(iter(self.encode_all([text])))
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by blanks, as the vocabulary file names no decoder; special ones stay."""
@@ -214,8 +331,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         coder = load(_here(path))
         for batch in batches:
             rows, packed = [], []
-            for text in batch.column(1).to_pylist():
-                ids = coder.encode(text)
+            for ids in coder.encode_all(batch.column(1).to_pylist()):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids).encode()).hexdigest()))
                 if with_ids:
                     packed.append(ids)

@@ -54,6 +54,18 @@ def test_coder_equals_library():
         assert coder.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_merges_words_side_by_side_and_keeps_those_in_use():
+    coder = bpe.WordBPE(bpe.vocabulary_path())
+    r = random.Random(5)
+    words = [bytes(r.choice(b"etaoinshr\xc3\xa4") for _ in range(r.randrange(1, 80))) for _ in range(500)] + [b"a" * k for k in range(1, 80)]
+    assert coder.merge_all(words) == [np.array(coder.merge(w), "<u4").tobytes() for w in words]
+    kept = bpe.Cache(10)
+    for k in range(100):
+        kept.put(str(k), k)
+        kept.get("0")
+    assert kept.get("0") == 0 and kept.get("50") is None and len(kept.young) + len(kept.old) <= 10
+
+
 def test_bpe_query_equals_library(spark, data, odd, nothing):
     library = _library()
     for docs, got in ((_documents(spark, data), bpe.op10_bpe(spark, data)), (odd, bpe.encode(odd).withColumnRenamed("id", "doc_id"))):
