@@ -43,8 +43,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return F.transform(F.sequence(F.lit(0), n - window), of)
 
     codes = each(lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
-    # A one-element array binds a value to a name, so that it is worked out once.
-    distinct = F.transform(F.array(codes), lambda c: F.size(F.array_distinct(c)) == F.size(c))[0]
+    # Outside of a lambda function Spark compiles the set of codes.
+    distinct = F.size(F.array_distinct(codes)) == n - window + 1
     texts = each(lambda i: F.array_join(F.slice(words, i + 1, F.lit(window)), " "))
     return F.when(n < window, F.lit(0)).when(distinct, F.lit(0)).otherwise(F.transform(F.array(texts), lambda c: _covered(c, window))[0])
 
@@ -86,23 +86,37 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
+def occurrences(words: Column, wanted: Column) -> Column:
+    """How often each of the distinct ``wanted`` words occurs; what is counted is not looked at again."""
+    start = F.struct(words.alias("rest"), F.array().cast("array<int>").alias("sizes"))
+
+    def without(acc: Column, c: Column) -> Column:
+        return F.struct(F.array_remove(acc["rest"], c).alias("rest"), F.concat(acc["sizes"], F.array(F.size(acc["rest"]))).alias("sizes"))
+
+    sizes = F.aggregate(wanted, start, without, lambda acc: F.concat(acc["sizes"], F.array(F.size(acc["rest"]))))
+    # A one-element array binds a value to a name, so that it is worked out once.
+    return F.transform(F.array(sizes), lambda x: F.transform(wanted, lambda c, k: F.get(x, k) - F.get(x, k + 1)))[0]
+
+
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts of the base rules and of character classes; null is no text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("q_text", text).withColumn("q_words", words_of(F.col("q_text")))
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(WORD))
-    rows = rows.withColumn("q_lines", lines).select(
+    # Neither letters nor white space: next to nothing in most texts, so that it is cheap to search again.
+    rows = rows.withColumn("q_lines", lines).withColumn("q_signs", F.regexp_replace("q_text", rf"[\p{{L}}{SPACE[1:-2]}]+", ""))
+    rows = rows.withColumn("q_word_chars", F.length(F.array_join("q_words", "")).cast("long")).select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "q_words",
         F.size("q_words").cast("long").alias("n_words"),
-        _left(F.col("q_text"), SPACE).alias("word_chars"),
-        _left(F.col("q_text"), f"[^{SYMBOLS}]+").alias("n_symbols"),
+        F.col("q_word_chars").alias("word_chars"),
+        _left(F.col("q_signs"), f"[^{SYMBOLS}]+").alias("n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("q_words")).cast("long").alias("n_repeat_words"),
         F.length("q_text").cast("long").alias("q_chars"),
-        _left(F.col("q_text"), r"\P{L}+").alias("q_letters"),
+        (F.col("q_word_chars") - F.length("q_signs")).alias("q_letters"),
         _left(F.col("q_text"), r"\P{Lu}+").alias("q_upper"),
-        _left(F.col("q_text"), r"[^0-9]+").alias("q_digit"),
+        _left(F.col("q_signs"), r"[^0-9]+").alias("q_digit"),
     )
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
@@ -149,7 +163,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .select(
             "id", "q_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             _shares("q_lower", "q_upper", "q_digit", "q_space", "n_symbols", "q_other").alias("classes"),
-            F.transform("common", lambda c: F.size("q_brief") - F.size(F.array_remove("q_brief", c))).alias("seen"),
+            occurrences(F.col("q_brief"), F.col("common")).alias("seen"),
         )
     )
     passed = features.where("NOT base_failed")

@@ -305,3 +305,11 @@ def test_texts_without_common_words_fail_from_the_guard_length(spark):
     assert len(got) == len(rows) and not any(got[100 + i]["kept"] for i in range(4))
     assert all(got[i]["kept"] for i in [*range(60), *range(200, 204)])
     assert all(got[1_000 + i]["word_distance"] == 0 for i in range(300))
+
+
+def test_common_words_are_counted_once_and_signs_from_what_is_left(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "x"], ["a", "b", "c"]), ([], ["a"]), (["a"], None)], "words array<string>, wanted array<string>")
+    assert [r[0] for r in rows.select(quality.occurrences(F.col("words"), F.col("wanted"))).collect()] == [[1, 2, 0], [0], None]
+    text = " É1 a$|\n\t#x 22 \U0001d400ǅ % "
+    got = quality.base_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["word_chars"], got["n_symbols"], got["q_letters"], got["q_upper"], got["q_digit"]) == (12, 4, 5, 2, 3)
