@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 NO_RANK = 1 << 60
-#: The same in arrays, and words of how many bytes are merged side by side, so many at once.
-NO_RANK_32, SIDE, SIDE_WORDS = (1 << 31) - 1, 64, 1 << 14
-#: Characters of texts whose new words are looked up together.
-GROUP_CHARS = 1 << 22
+#: The same in arrays, and words of how many bytes are merged side by side, in arrays of so many places.
+NO_RANK_32, SIDE, SIDE_PLACES = (1 << 31) - 1, 64, 1 << 17
+#: Characters of texts whose new words are looked up together; with the caches it decides on a worker's memory.
+GROUP_CHARS = 1 << 20
 CACHED = 150_000
 CACHED_LENGTH = 80
 #: White space to str.split that isn't white space to the vocabulary's splitter.
@@ -121,7 +121,7 @@ class WordBPE:
         vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
-        self.merged = {(vocab[a], vocab[b]): vocab[a + b] for a, b in pairs}
+        self.made = [vocab[a + b] for a, b in pairs]
         letters = byte_letters()
         self.inner, self.last = [vocab[x] for x in letters], [vocab[x + self.end] for x in letters]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -132,7 +132,7 @@ class WordBPE:
         keys = np.array([a << 32 | b for a, b in self.ranks], np.int64)
         order = np.argsort(keys)
         self._pairs, self._pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
-        self._made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self._made = np.array(self.made, np.int64)
         self._inner, self._last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
@@ -143,7 +143,8 @@ class WordBPE:
         n = len(symbols)
         if n == 1:
             return symbols
-        rank, merged = self.ranks.get, self.merged
+        ranks, made = self.ranks, self.made
+        rank = ranks.get
         tree = PairTree([rank(p, NO_RANK) for p in zip(symbols, symbols[1:])])
         low, put, leftmost = tree.low, tree.put, tree.leftmost
         if low[1] == NO_RANK:
@@ -152,7 +153,7 @@ class WordBPE:
         while low[1] != NO_RANK:
             i = leftmost()
             j = after[i]
-            symbols[i] = new = merged[symbols[i], symbols[j]]
+            symbols[i] = new = made[ranks[symbols[i], symbols[j]]]
             symbols[j] = -1
             after[i] = k = after[j]
             if j < n - 1:
@@ -183,8 +184,9 @@ class WordBPE:
             else:
                 kinds.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(at)
         for width, places in kinds.items():
-            for k in range(0, len(places), SIDE_WORDS):
-                some = places[k : k + SIDE_WORDS]
+            most = SIDE_PLACES // width
+            for k in range(0, len(places), most):
+                some = places[k : k + most]
                 for at, ids in zip(some, self._side_by_side([words[x] for x in some], width), strict=True):
                     found[at] = ids
         return found
@@ -269,7 +271,10 @@ class WordBPE:
             if len(word) <= CACHED_LENGTH:
                 self._words.put(word, ids)
         for chunk, parts in cut.items():
-            packed[chunk] = ids = words[parts[0]] if len(parts) == 1 else b"".join([words[part] for part in parts])
+            if len(parts) == 1:  # a word's ids are kept once, with the words
+                packed[chunk] = words[parts[0]]
+                continue
+            packed[chunk] = ids = b"".join([words[part] for part in parts])
             if len(chunk) <= CACHED_LENGTH:
                 self._chunks.put(chunk, ids)
         return packed
