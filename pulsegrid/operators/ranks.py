@@ -136,18 +136,26 @@ def quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, fl
 class SortedCells:
     """Values ``name, unit, v``, dealt to cells of neighbouring values; nulls are left out.
 
-    A sketch gives the ends of the cells, so nothing is sorted. ``long`` is read a few times,
-    so it should be stored or follow cheaply from what is.
+    A sketch gives the ends of the cells, so nothing is sorted. ``rows`` is read a few times,
+    so it should be stored or follow cheaply from what is. With ``names`` it has ``unit`` and
+    a column for each name instead, and goes by name only when the cells are known.
     """
 
-    def __init__(self, long: DataFrame) -> None:
+    def __init__(self, rows: DataFrame, names: list[str] | None = None) -> None:
+        long = rows
         ship(long.sparkSession)
-        known = long.where("v IS NOT NULL AND unit IS NOT NULL")
         marks = F.lit(np.arange(1, CELLS) / CELLS)
-        # One row for each name.
-        told = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", marks, ACCURACY).alias("ends")).collect()
+        if names is None:
+            known = long.where("v IS NOT NULL AND unit IS NOT NULL")
+            # One row for each name.
+            told = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", marks, ACCURACY).alias("ends")).collect()
+        else:
+            known = rows.where("unit IS NOT NULL")
+            each = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.percentile_approx(c, marks, ACCURACY).alias("ends")) for c in names]
+            told = [x for x in known.agg(F.array(*each).alias("x")).first()["x"] if x["n"]]
         self.sizes = {r["name"]: r["n"] for r in told}
-        self.rows = _in_cells(known, {r["name"]: r["ends"][(step := -(-CELLS // max(1, r["n"] // CELL_ROWS))) - 1 :: step] for r in told})
+        ends = {r["name"]: r["ends"][(step := -(-CELLS // max(1, r["n"] // CELL_ROWS))) - 1 :: step] for r in told}
+        self.rows = _in_cells(known, ends) if names is None else _columns_in_cells(known, ends)
         self.own = materialise(self.rows.groupBy("name", "unit", "cell").agg(F.count(F.lit(1)).alias("own"), F.min("v").alias("lo"), F.max("v").alias("hi")))
         cells = self.own.groupBy("name", "cell").agg(F.sum("own").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow().to_pandas()
         found = {name: g.sort_values("cell") for name, g in cells.groupby("name")}
@@ -181,11 +189,25 @@ class SortedCells:
         return upto.groupBy("name", "unit").agg((low + (high - low) * F.max("share")).alias("value"))
 
 
+def _splits(ends: dict[str, list[float]]) -> list[list[float]]:
+    return [[-np.inf, *(sorted({e for e in found if np.isfinite(e)}) or [0.0]), np.inf] for found in ends.values()]
+
+
+def _columns_in_cells(wide: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
+    """``name, unit, v, cell`` of the known values of the columns ``ends`` names; a row is dealt once for each of them."""
+    cells = {n: f"__c{k}" for k, n in enumerate(ends)}
+    placed = Bucketizer(splitsArray=_splits(ends), inputCols=list(cells), outputCols=list(cells.values()), handleInvalid="keep").transform(wide) if ends else wide
+    each = [F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v"), F.col(c).cast("long").alias("cell")) for n, c in cells.items()]
+    none = F.array().cast("array<struct<name:string,v:double,cell:bigint>>")
+    long = placed.select("unit", F.explode(F.array(*each) if each else none).alias("x"))
+    return long.select("x.name", "unit", "x.v", "x.cell").where("v IS NOT NULL")
+
+
 def _in_cells(known: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
     """Adds ``cell``: the place of a value between the ends of its name."""
     if not ends:
         return known.withColumn("cell", F.lit(0).cast("long"))
-    splits = [[-np.inf, *(sorted({e for e in found if np.isfinite(e)}) or [0.0]), np.inf] for found in ends.values()]
+    splits = _splits(ends)
     names = [(n, f"__v{k}", f"__c{k}") for k, n in enumerate(ends)]
     parted = known.withColumns({v: F.when(F.col("name") == n, F.col("v")) for n, v, _ in names})
     placed = Bucketizer(splitsArray=splits, inputCols=[v for _, v, _ in names], outputCols=[c for *_, c in names], handleInvalid="keep").transform(parted)
@@ -226,9 +248,17 @@ def _search(cells, q: float, distances: bool):
     return search
 
 
-def moments_without(long: DataFrame) -> DataFrame:
-    """``name, unit, sd``: the population standard deviation of all values but the unit's own, by subtraction."""
-    own = long.where("v IS NOT NULL AND unit IS NOT NULL").groupBy("name", "unit").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"))
+def moments_without(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``name, unit, sd``: the population standard deviation of all values but the unit's own, by subtraction.
+
+    ``rows`` and ``names`` as those of ``SortedCells``.
+    """
+    told = lambda v: (F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+    if names is None:
+        own = rows.where("v IS NOT NULL AND unit IS NOT NULL").groupBy("name", "unit").agg(*told("v"))
+    else:
+        each = F.array(*[F.struct(F.lit(c).alias("name"), *told(c)) for c in names])
+        own = rows.where("unit IS NOT NULL").groupBy("unit").agg(each.alias("x")).select("unit", F.explode("x").alias("x")).select("x.name", "unit", "x.n", "x.mean", "x.m2").where("n > 0")
     pooled = own.groupBy("name").agg(F.sum("n").alias("a_n"), F.sum(F.col("n") * F.col("mean")).alias("a_sum"))
     mean = pooled.select("name", "a_n", (F.col("a_sum") / F.col("a_n")).alias("a_mean"))
     # A row for each name.
@@ -258,7 +288,7 @@ def _median(x: np.ndarray) -> np.ndarray:
 
 
 def scores_by_fold(folds: list, scales: np.ndarray, columns: list[str], skip: int, n_ref: int, width: int, end_rows):
-    """For a unit's rows: its early scores and its median score at the end of life, under the scales of every fold.
+    """For each unit of rows of one group: its early scores and its median score at the end of life, under the scales of every fold.
 
     ``scales`` has a row for each fold. Folds are worked through in blocks, so that memory
     goes with the unit's rows alone.
@@ -266,10 +296,7 @@ def scores_by_fold(folds: list, scales: np.ndarray, columns: list[str], skip: in
     names = np.empty(len(folds), dtype=object)
     names[:] = folds
 
-    def run(key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.sort_values("pos")
-        pos, n = rows["pos"].to_numpy(), int(rows["n_unit"].iloc[0])
-        x = rows[columns].to_numpy(dtype=float)
+    def of_unit(key: tuple, pos: np.ndarray, n: int, x: np.ndarray) -> Iterator[tuple]:
         known = (~np.isnan(x)).sum(axis=1, keepdims=True).astype(float)
         known[known == 0] = np.nan
         x = np.nan_to_num(x)
@@ -282,6 +309,13 @@ def scores_by_fold(folds: list, scales: np.ndarray, columns: list[str], skip: in
             fused = (x @ (1 / scales[some]).T) / known
             first = score_windows(pos, fused, early, width) if len(early) else np.empty((0, len(some)))
             last = _median(score_windows(pos, fused, late, width)[None])[0]
-            yield pd.DataFrame({"fold": names[some], "end": [None if np.isnan(v) else v for v in last], "early": [c[~np.isnan(c)] for c in first.T]})
+            yield from zip(names[some], [None if np.isnan(v) else v for v in last], [c[~np.isnan(c)] for c in first.T], strict=True)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__u", "pos"])
+        unit, pos, n, x = rows["__u"].factorize()[0], rows["pos"].to_numpy(), rows["n_unit"].to_numpy(), rows[columns].to_numpy(dtype=float)
+        begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else np.zeros(0, int)
+        found = [r for a, b in zip(begins, np.append(begins[1:], len(unit)), strict=True) for r in of_unit(key, pos[a:b], int(n[a]), x[a:b])]
+        return pd.DataFrame(found, columns=["fold", "end", "early"])
 
-    return lambda key, rows: pd.concat(list(run(key, rows)) or [pd.DataFrame(columns=["fold", "end", "early"])])
+    return run

@@ -71,10 +71,11 @@ def debounce(df: DataFrame, raw: str, k: int = PERSISTENCE, out: str = "stage",
     return rows.withColumn(out, F.coalesce(F.last(commit, ignorenulls=True).over(upto), F.lit(UNKNOWN))).drop("__nth", "__new", "__run", "__in")
 
 
-def assign_stages(df: DataFrame, params: DataFrame, hi: str = "hi", by: str | None = None, k: int = PERSISTENCE) -> DataFrame:
+def assign_stages(df: DataFrame, params: DataFrame, hi: str = "hi", by: str | None = None, k: int = PERSISTENCE, dealt: bool = False) -> DataFrame:
+    """``df`` with ``raw_stage`` and ``stage``; ``dealt`` says that it is stored by unit."""
     rows = df.withColumn("__fold", F.lit("all") if by is None else F.col(by)).join(sized(params.select(F.col("fold").alias("__fold"), "hi_warn", "hi_critical")), "__fold")
     # All windows of a unit from one shuffle.
-    rows = rows.repartition(U)
+    rows = rows if dealt else rows.repartition(U)
     staged = debounce(rows.withColumn("raw_stage", raw_stage(F.col(hi), F.col("hi_warn"), F.col("hi_critical"))), "raw_stage", k)
     return staged.drop("__fold", "hi_warn", "hi_critical")
 

@@ -176,3 +176,29 @@ def test_cells_follow_odd_values(spark, monkeypatch):
     cells = ranks.SortedCells(spark.createDataFrame(rows, LONG))
     got = cells.quantiles_without(spark.createDataFrame([(u,) for u in range(4)], "unit int"))
     assert {r["unit"]: r["value"] for r in got.collect()} == {u: float(np.median([v for _, w, v in rows if w != u])) for u in range(4)}
+
+
+def test_columns_are_dealt_to_cells_as_rows_by_name(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "CELL_ROWS", 7)
+    rng = random.Random(9)
+    odd = [None, float("nan"), 0.0, 2.5]
+    rows = [(rng.choice([None, 1, 2, 3]), rng.gauss(0, 1), rng.choice(odd), None) for _ in range(400)]
+    wide = spark.createDataFrame(rows, "unit int, a double, b double, c double")
+    long = spark.createDataFrame([(n, r[0], v) for r in rows for n, v in zip("abc", r[1:], strict=True)], LONG)
+    cell = lambda cells: Counter((r["name"], r["unit"], str(r["v"]), r["cell"]) for r in cells.rows.collect())
+    assert cell(ranks.SortedCells(wide, ["a", "b", "c"])) == cell(ranks.SortedCells(long))
+    told = lambda df: {(r["name"], r["unit"]): r["sd"] for r in df.collect()}
+    assert told(ranks.moments_without(wide, ["a", "b", "c"])) == pytest.approx(told(ranks.moments_without(long)), nan_ok=True)
+
+
+def test_held_out_indicator_is_stored_by_machine_in_bounded_buckets(spark, monkeypatch):
+    """So windows over it need no shuffle, and what a task gets doesn't grow with the table."""
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 100)
+    rng = random.Random(3)
+    rows = [(f"m{u}", k, "learning", f"g{u % 3}", float(99 - k), *[rng.gauss(k / 30, 1) for _ in health.REFERENCE]) for u in range(24) for k in range(100)]
+    df = spark.createDataFrame(rows, f"{U} string, {SEQ} int, role string, grp string, rul_seconds double, " + ", ".join(f"{f} double" for f in health.REFERENCE))
+    hi = health.leave_one_out_reference(df, "grp", check=False, keep=(U, SEQ, "role", "grp", "rul_seconds"))
+    by_unit = hi.withColumn("p", F.row_number().over(health.by_sequence()))
+    plan = by_unit._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and len(hi.inputFiles()) > 8
+    assert hi.count() == 2400 and health.evaluate(hi).count() == 24
