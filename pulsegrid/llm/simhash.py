@@ -15,7 +15,9 @@ by a few bits only. No choice of vantage points or radii avoids this; the README
 The pipeline's stage has a task of its own, texts that share most of their word shingles,
 which fingerprints a few bits apart can't find. Each set of shingles is put in one common
 order, rare ones first; two sets alike enough share one of the first few (prefix filter).
-Rows meet at these, and pairs whose sizes and places allow it are compared in full.
+Rows meet at these, and pairs whose sizes, places and sketches allow it are compared in
+full. A sketch is a bitmap of the parities of a set's hashes; two sets differ by at least as
+many shingles as their bitmaps by bits, so no pair that is alike enough is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ NEIGHBOURS = 16
 TOKEN_ROWS, SALTS_MOST = 20_000, 64
 #: Places apart at which rows of frequent tokens are compared at first.
 FEW = 4
+#: Bits of a sketch, at least and at most; in between it has about as many as its set has shingles.
+SKETCH_LEAST, SKETCH_MOST = 256, 4_096
+#: Pairs whose sketches are compared at a time.
+SKETCH_PAIRS = 16_384
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -260,6 +266,45 @@ def prefix(codes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity:
     return codes[np.lexsort((codes, rank))][: len(codes) - int(np.ceil(similarity * len(codes) - 1e-9)) + 1]
 
 
+def sketch(codes: np.ndarray) -> bytes:
+    """A bitmap of the parities of the number of codes by their low bits."""
+    bits = max(SKETCH_LEAST, min(SKETCH_MOST, 1 << (len(codes) - 1).bit_length()))
+    odd = np.bincount(codes & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of some rows; a wider one is folded where it meets one of half its width."""
+
+    def __init__(self, sketches: np.ndarray):
+        self.width = np.array([len(x) for x in sketches], np.int64)
+        self.by_width = {}
+        for w in np.unique(self.width).tolist():
+            own, wider = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            folded = self._words(sketches[wider], 2 * w)
+            place = np.full(len(sketches), -1, np.int64)
+            place[own], place[wider] = np.arange(len(own)), len(own) + np.arange(len(wider))
+            self.by_width[w] = place, np.concatenate([self._words(sketches[own], w), folded[:, : w // 8] ^ folded[:, w // 8 :]])
+
+    @staticmethod
+    def _words(sketches: np.ndarray, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(sketches), dtype="<u8").reshape(-1, width // 8)
+
+    def can_be_alike(self, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether rows i and j may differ by so few shingles that they are alike; true where widths don't meet."""
+        good = np.ones(len(i), bool)
+        most = (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + 1e-6
+        least = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(least).tolist():
+            place, words = self.by_width[w]
+            here = np.flatnonzero((least == w) & (place[i] >= 0) & (place[j] >= 0))
+            for k in range(0, len(here), SKETCH_PAIRS):
+                at = here[k : k + SKETCH_PAIRS]
+                off = np.bitwise_count(words[place[i[at]]] ^ words[place[j[at]]]).sum(axis=1, dtype=np.int64)
+                good[at] = off <= most[at]
+        return good
+
+
 def _can_be_alike(size, pos, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Whether rows i and j of a token may share enough, by their sizes and the token's places in their prefixes."""
     most = np.minimum(size[i] - pos[i], size[j] - pos[j])
@@ -304,13 +349,15 @@ def _part_pairs(rows: pd.DataFrame, similarity: float, salts: int) -> Iterator[p
     by_size = np.minimum(limit, end)
     sums = lambda x: np.add.reduceat(x, np.flatnonzero(np.append(True, group[1:] != group[:-1])))[group]
     small = sums(by_size - np.arange(n) - 1) < sums(end - by_part)
+    sketches = Sketches(rows["sketch"].to_numpy())
     for chosen, at, start, stop in ((~small, np.arange(n), by_part, end), (small, order, np.arange(n) + 1, by_size)):
-        yield from _ranges(rows, np.flatnonzero(chosen), at, start, stop, similarity, salts)
+        yield from _ranges(rows, sketches, np.flatnonzero(chosen), at, start, stop, similarity, salts)
 
 
-def _ranges(rows: pd.DataFrame, which: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray, similarity: float, salts: int) -> Iterator[pd.DataFrame]:
+def _ranges(rows: pd.DataFrame, sketches: Sketches, which: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray, similarity: float, salts: int) -> Iterator[pd.DataFrame]:
     """Pairs of the rows at places ``which`` of an order ``at`` with those at places ``start`` to ``stop``, a bounded number at a time."""
     key, size, pos, part, salt, other = (x[at] for x in _columns(rows, "key", "size", "pos", "part", "salt", "other"))
+    own_size = rows["size"].to_numpy(np.int64)
     many = (stop - start)[which]
     upto = np.cumsum(many)
     k = 0
@@ -321,6 +368,8 @@ def _ranges(rows: pd.DataFrame, which: np.ndarray, at: np.ndarray, start: np.nda
         j = np.repeat(start[which[k:to]], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         # Blocks of two salts hold pairs across them; those inside a salt are in its own block.
         good = (part[i] != part[j]) & _can_be_alike(size, pos, i, j, similarity) & ((salt[i] != salt[j]) | (other[i] == salt[i] * salts + salt[i]))
+        i, j = i[good], j[good]
+        good = sketches.can_be_alike(own_size, at[i], at[j], similarity)
         if good.any():
             i, j = i[good], j[good]
             yield pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])})
@@ -365,8 +414,8 @@ def _near_candidates(tokens: DataFrame, similarity: float) -> DataFrame:
     return _by_token(ordered, ["token", "salt"], lambda rows: _neighbour_pairs(rows, similarity, last, few))
 
 
-def _far_candidates(named: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: rows of one token that lie in different parts (``part``).
+def _far_candidates(named: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: rows of one token that lie in different parts (``part``) and whose ``key, sketch`` can be alike.
 
     Tokens within one part are passed over. The rows of a frequent token are dealt to blocks,
     one for each two salts, so that a task holds a few of them and every two rows meet once.
@@ -375,7 +424,7 @@ def _far_candidates(named: DataFrame, similarity: float) -> DataFrame:
     salts = F.least(F.ceil(F.col("n") / TOKEN_ROWS), F.lit(SALTS_MOST)).cast("int")
     rows = named.join(sized(materialise(several.select("token", salts.alias("salts")))), "token").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
     block = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda t: F.least(F.col("salt"), t) * SALTS_MOST + F.greatest(F.col("salt"), t))
-    dealt = rows.select("token", "key", "size", "pos", "part", "salt", F.explode(block).alias("other"))
+    dealt = rows.join(sketches, "key").select("token", "key", "size", "pos", "part", "salt", "sketch", F.explode(block).alias("other"))
     ordered = dealt.repartition("token", "other").sortWithinPartitions("token", "other", "part", "size", "key")
     most = SALTS_MOST
     return _by_token(ordered, ["token", "other"], lambda rows: _part_pairs(rows, similarity, most))
@@ -420,7 +469,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, jo
             batch = batch[~batch["key"].duplicated() & ~batch["key"].isin(met)]
             met.update(batch["key"].tolist())
             sets = [shingle_set(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "size": [len(s) for s in sets], "tokens": [prefix(s, *order.value, similarity) for s in sets]})
+            yield pd.DataFrame({"key": batch["key"], "size": [len(s) for s in sets], "tokens": [prefix(s, *order.value, similarity) for s in sets], "sketch": [sketch(s) for s in sets]})
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -429,7 +478,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, jo
             total = np.array([len(x) + len(y) for x, y in sets], dtype=float)
             yield batch.loc[shared >= similarity * (total - shared) - 1e-9, ["a", "b"]]
 
-    made = materialise(raw.mapInPandas(prefixes, "key long, size int, tokens array<long>"))
+    made = materialise(raw.mapInPandas(prefixes, "key long, size int, tokens array<long>, sketch binary"))
     tokens = made.select("key", "size", F.posexplode("tokens").alias("pos", "token"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -443,7 +492,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, jo
     edges = edges if joined is None else edges.union(joined)
     parts = materialise(connected_components(edges).toDF("key", "component"))
     named = materialise(tokens.join(parts, "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("part")))
-    far = materialise(_far_candidates(named, similarity).join(near, ["a", "b"], "left_anti"))
+    sketches = made.groupBy("key").agg(F.first("sketch").alias("sketch"))
+    far = materialise(_far_candidates(named, sketches, similarity).join(near, ["a", "b"], "left_anti"))
     return edges.union(verified(far))
 
 

@@ -218,3 +218,27 @@ def test_frequent_tokens_in_blocks_give_the_same_groups(spark, monkeypatch):
         monkeypatch.setattr(simhash, "SALTS_MOST", most)
         monkeypatch.setattr(simhash, "NEIGHBOURS", places)
         assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
+def test_sketches_never_say_more_than_sets_differ_and_part_unlike_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pool = rng.integers(-(2**62), 2**62, 12_000)
+    sets = [np.unique(rng.choice(pool[: max(2, 2 * n)], n)) for n in (1, 3, 250, 255, 260, 300, 500, 520, 5_000, 6_000)]
+    sets += [np.union1d(s[: 9 * len(s) // 10], rng.integers(0, 2**62, len(s) // 20)) for s in sets]
+    size, sketches = np.array([len(s) for s in sets]), simhash.Sketches(np.array([simhash.sketch(s) for s in sets], dtype=object))
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    for similarity in (0.3, 0.8, 1.0):
+        alike = np.array([len(np.intersect1d(sets[a], sets[b])) >= similarity * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+        assert sketches.can_be_alike(size, i, j, similarity)[alike].all()
+    assert not sketches.can_be_alike(size, np.array([4]), np.array([5]), 0.8).any()
+
+    # Sixty texts share two thirds of their words, no two of them enough; a random order of shingles makes them meet.
+    told, whole = [], simhash._far_candidates
+    monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
+    monkeypatch.setattr(simhash, "ORDER_DOCS", 0)
+    monkeypatch.setattr(simhash, "_far_candidates", lambda *a: told.append(whole(*a).count()) or whole(*a))
+    texts = [" ".join([f"t{k}" for k in range(200)] + [f"o{i}x{k}" for k in range(100)]) for i in range(60)]
+    texts += [texts[0] + " one", texts[1] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(60))
+    assert told[0] < 60
