@@ -155,6 +155,20 @@ def test_pca_indicator_equals_a_singular_value_decomposition(spark):
     assert part == pytest.approx({k: want[k] for k in part}, abs=1e-6)
 
 
+def test_pca_fit_and_application_in_one_fill_gaps_once(spark, monkeypatch):
+    rows = _runs(n=80)
+    gappy = [(*r[:4], *[None if v is not None and f == health.REFERENCE[0] and k % 9 == 0 else v for f, v in zip(health.REFERENCE, r[4:], strict=True)]) for k, r in enumerate(rows)]
+    df = _df(spark, gappy)
+    want = _hi(health.apply_pca(df, health.fit_pca(df)))
+    asked, whole = [], health.Imputer
+    monkeypatch.setattr(health, "Imputer", lambda **k: asked.append(k["inputCols"]) or whole(**k))
+    got = _hi(health.fit_apply_pca(df))
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == len(rows)
+    assert asked == [[health.REFERENCE[0]]]
+    asked.clear()
+    assert len(_hi(health.fit_apply_pca(_df(spark, rows)))) == len(rows) and not asked
+
+
 def _tree(lines):
     """A tree from its printed form: a leaf's value, or feature, threshold and both sides."""
     line = lines.pop(0).strip()
