@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import brief_shuffles, materialise, release
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
 
 
 def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    with brief_shuffles(edges.sparkSession):
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     before = _sum(now)
     while before[0]:
-        now = materialise(_star(_star(now, both_ways=True), both_ways=False))
+        last, now = now, materialise(_star(_star(now, both_ways=True), both_ways=False))
+        release(last)
         after = _sum(now)
         if after == before:
             break

@@ -15,6 +15,8 @@ by a few bits only. No choice of vantage points or radii avoids this; the README
 The pipeline's stage has a task of its own, texts that share most of their word shingles,
 which fingerprints a few bits apart can't find. Each set of shingles is put in one common
 order, rare ones first; two sets alike enough share one of the first few (prefix filter).
+Most of these stand in one set alone: tokens are counted first, and a Bloom filter of those
+of several sets lets rows of these through, so what is dealt and paired is a small part.
 Rows meet at these, and pairs whose sizes, places and sketches allow it are compared in
 full. A sketch is a bitmap of the parities of a set's hashes; two sets differ by at least as
 many shingles as their bitmaps by bits, so no pair that is alike enough is lost.
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, sized, table
+from .common import brief_shuffles, materialise, release, ship, sized, table
 from .components import connected_components
 
 RADIUS = 2
@@ -49,6 +51,10 @@ FEW = 4
 SKETCH_LEAST, SKETCH_MOST = 256, 4_096
 #: Pairs whose sketches are compared at a time.
 SKETCH_PAIRS = 16_384
+#: Bits of the filter for a token of several rows, bytes of the filter at most (beyond, more rows pass), bytes of a chunk.
+TOKEN_BITS, FILTER_BYTES, CHUNK_BYTES = 16, 32 << 20, 1 << 16
+#: Rows whose tokens are looked up together.
+FILTER_ROWS = 256
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -399,6 +405,44 @@ def _by_token(ordered: DataFrame, by: list[str], pairs) -> DataFrame:
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
+def _chunk(tokens: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of the filter that holds a token's bits."""
+    return ((tokens.view(np.uint64) >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
+
+
+def _places(tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of a token's three bits in its chunk."""
+    mixed = tokens.view(np.uint64) * _PRIME
+    for shift in (45, 26, 7):
+        yield (mixed >> np.uint64(shift) & np.uint64(8 * CHUNK_BYTES - 1)).astype(np.int64)
+
+
+def token_filter(tokens: DataFrame) -> np.ndarray:
+    """A Bloom filter of column ``token``, a row of bytes for each chunk; of bounded size, gathered on the driver."""
+    chunks = max(1, -(-min(FILTER_BYTES, tokens.count() * TOKEN_BITS // 8) // CHUNK_BYTES))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(8 * CHUNK_BYTES, bool)
+        own = group["token"].to_numpy(np.int64)
+        for at in _places(own):
+            bits[at] = True
+        return pd.DataFrame({"chunk": _chunk(own[:1], chunks), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    dealt = tokens.select("token", F.expr(f"shiftright(shiftrightunsigned(token, 32) * {chunks}L, 32)").alias("chunk"))
+    out = np.zeros((chunks, CHUNK_BYTES), np.uint8)
+    for row in dealt.groupBy("chunk").applyInPandas(pack, "chunk long, bits binary").toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Places of those of ``tokens`` that the filter lets through."""
+    left, chunk = np.arange(len(tokens)), _chunk(tokens, len(bits))
+    for at in _places(tokens):
+        left = left[bits[chunk[left], at[left] >> 3] >> (at[left] & 7).astype(np.uint8) & 1 == 1]
+    return left
+
+
 def _near_candidates(tokens: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: rows of one token that stand within ``NEIGHBOURS`` places by size.
 
@@ -439,7 +483,9 @@ def fingerprint_links(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = materialise(fps.groupBy("fp").agg(F.min("key").alias("first")))
     same = fps.join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
     met = links(first, radius).toDF("x", "y").join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y")
-    return materialise(same.union(met.select("a", "b")))
+    out = materialise(same.union(met.select("a", "b")))
+    release(fps, first)
+    return out
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, joined: DataFrame | None = None) -> DataFrame:
@@ -460,7 +506,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, jo
 
     share = min(1.0, ORDER_DOCS / max(1, docs.count()))
     counts = raw.where(F.rand(7) < share).select("text").mapInPandas(codes_only, "code long").groupBy("code").count().where("count > 1")
-    seen = counts.orderBy(F.desc("count"), "code").limit(ORDER_CODES).toPandas().sort_values("code")
+    with brief_shuffles(spark):
+        seen = counts.orderBy(F.desc("count"), "code").limit(ORDER_CODES).toPandas().sort_values("code")
     order = spark.sparkContext.broadcast((seen["code"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -479,7 +526,33 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, jo
             yield batch.loc[shared >= similarity * (total - shared) - 1e-9, ["a", "b"]]
 
     made = materialise(raw.mapInPandas(prefixes, "key long, size int, tokens array<long>, sketch binary"))
-    tokens = made.select("key", "size", F.posexplode("tokens").alias("pos", "token"))
+    met_again = materialise(made.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"))
+    shared = spark.sparkContext.broadcast(token_filter(met_again))
+
+    def rows_that_meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), FILTER_ROWS):
+                few = batch.iloc[k : k + FILTER_ROWS]
+                many = few["tokens"].map(len).to_numpy()
+                token = np.concatenate(few["tokens"].to_list())
+                pos = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
+                at = may_hold(shared.value, token)
+                yield pd.DataFrame({"token": token[at]} | {c: np.repeat(few[c].to_numpy(), many)[at] for c in ("key", "size")} | {"pos": pos[at]})
+
+    tokens = materialise(made.select("key", "size", "tokens").mapInPandas(rows_that_meet, "token long, key long, size int, pos int"))
+    sketches = materialise(made.groupBy("key").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    release(made, met_again)
+
+    def may_be_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = np.arange(len(batch))
+            size = batch[["m", "n"]].to_numpy(np.int64).ravel(order="F")
+            good = Sketches(batch[["x", "y"]].to_numpy().ravel(order="F")).can_be_alike(size, n, n + len(n), similarity)
+            yield batch.loc[good, ["a", "b"]]
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.toDF("a", "m", "x"), "a").join(sketches.toDF("b", "n", "y"), "b")
+        return both.select("a", "b", "m", "n", "x", "y").mapInPandas(may_be_alike, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
@@ -487,14 +560,17 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, jo
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialise(both.mapInPandas(alike, "a long, b long"))
 
-    near = materialise(_near_candidates(tokens, similarity))
+    near = materialise(sketched(_near_candidates(tokens, similarity)))
     edges = verified(near)
     edges = edges if joined is None else edges.union(joined)
     parts = materialise(connected_components(edges).toDF("key", "component"))
     named = materialise(tokens.join(parts, "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("part")))
-    sketches = made.groupBy("key").agg(F.first("sketch").alias("sketch"))
-    far = materialise(_far_candidates(named, sketches, similarity).join(near, ["a", "b"], "left_anti"))
-    return edges.union(verified(far))
+    release(tokens, parts)
+    far = materialise(_far_candidates(named, sketches.select("key", "sketch"), similarity).join(near, ["a", "b"], "left_anti"))
+    release(named, near, sketches)
+    told = edges.union(verified(far))
+    release(far)
+    return told
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
@@ -514,6 +590,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = points.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     groups = named.groupBy("component").agg(F.min("least").alias("__least"), F.sum("n").alias("n")).where("n > 1 AND __least IS NOT NULL")
     kept = materialise(named.select("key", "component").join(groups, "component").select(F.col("key").alias("__key"), "__least"))
+    release(points)
     marked = docs.withColumn("__text_key", _text_key(F.col(text_col))).join(sized(kept), F.col("__text_key") == F.col("__key"), "left")
     return marked.where(F.col("__least").isNull() | F.col(id_col).eqNullSafe(F.col("__least"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

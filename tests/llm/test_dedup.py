@@ -10,6 +10,7 @@ import xxhash
 from helpers import assert_same
 from pyspark.sql import functions as F
 
+from pulsegrid import tables
 from pulsegrid.llm import exact_dedup, simhash
 from pulsegrid.llm.components import connected_components
 
@@ -242,3 +243,33 @@ def test_sketches_never_say_more_than_sets_differ_and_part_unlike_rows(spark, mo
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(60))
     assert told[0] < 60
+
+
+def test_stage_deals_shared_tokens_alone_and_leaves_little(spark, monkeypatch):
+    texts = [" ".join(f"o{i}x{k}" for k in range(100)) for i in range(300)]
+    texts += [texts[i] + " end" for i in range(0, 300, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told, whole = [], simhash._near_candidates
+    monkeypatch.setattr(simhash, "_near_candidates", lambda tokens, *a: told.append(tokens.count()) or whole(tokens, *a))
+    before = len(tables._WRITTEN.get(spark.sparkContext.applicationId, []))
+    # A row has about 20 tokens; those of the 60 rows that have a partner are dealt, and few that the filter mistakes.
+    for most in (simhash.FILTER_BYTES, 0):
+        monkeypatch.setattr(simhash, "FILTER_BYTES", most)
+        kept = simhash.drop_near_duplicates(docs, radius=2)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+    assert all(60 * 15 < n < 60 * 21 + 200 for n in told)
+    tokens = np.random.default_rng(4).integers(-(2**62), 2**62, 40_000)
+    bits = simhash.token_filter(spark.createDataFrame([(int(t),) for t in tokens[:20_000]], "token long"))
+    passed = simhash.may_hold(bits, tokens)
+    assert (passed[:20_000] == np.arange(20_000)).all() and len(passed) < 20_800
+    # What is read no more is gone, tables and shuffle files; the setting is as it was.
+    assert len(tables._WRITTEN[spark.sparkContext.applicationId]) - before < 30
+    sums = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: disk.getAllFiles().mkString("\n").count("/shuffle_")
+    held = shuffled()
+    stored = tables.materialise(sums)
+    time.sleep(1)
+    assert shuffled() <= held and stored.count() == 7
+    tables.release(stored)
+    assert spark.conf.get(tables._CLEAN) == "false"
