@@ -5,10 +5,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalar
-from pulsegrid.operators import guards, health, rul, stages
+from pulsegrid.operators import forest, guards, health, rul, stages
 
 U, SEQ = health.U, health.SEQ
 
@@ -244,3 +245,59 @@ def test_large_fits_go_alone(spark, monkeypatch):
     monkeypatch.setattr(rul, "SIDE_ROWS", 0, raising=False)
     assert rul.lobo_trees(rows, "g").count() == 60
     assert most == [1, 1, 1]
+
+
+def test_large_fits_merge_rows_of_equal_bins_and_take_all_rows(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        a, b, c = int(rng.integers(0, 7)), float(rng.normal()), None if i % 13 == 5 else float(rng.integers(0, 3))
+        rows.append((f"u{i % 5}", i // 5, "learning", float(a), b, c, 1.0, 100.0 * a + 40 * (b > 0.3) + 7 * (c or 1.0) + float(rng.normal())))
+    df = spark.createDataFrame(rows, f"{U} string, {SEQ} int, role string, a double, b double, c double, same double, rul_seconds double")
+    monkeypatch.setattr(rul, "MERGE_ROWS", 100)
+    for sent in (12_000_000, 100):
+        monkeypatch.setattr(rul, "SENT_ROWS", sent)
+        model = rul.fit_forest(df, trees=6, depth=5)
+        fills = model.stages[0].surrogateDF.first()
+        x = [[fills[k] if v is None else v for k, v in zip("abc", r[3:6], strict=True)] + [r[6]] for r in rows]
+        assert model.stages[0].getInputCols() == ["a", "b", "c", "same"] and len(model.stages[-1].trees) == 6
+        shapes = set()
+        for t in model.stages[-1].trees:
+            tree = _tree(t.toDebugString.splitlines()[1:])
+            shapes.add(t.toDebugString)
+            reached = {}
+            for values, r in zip(x, rows, strict=True):
+                reached.setdefault(_walk(tree, values), []).append(r[-1])
+            # Every row counts once: a leaf says the mean of all rows that reach it.
+            assert {k: pytest.approx(np.mean(v)) for k, v in reached.items()} == {k: k for k in reached} and len(reached) > 8
+            assert t.depth <= 5 and t._call_java("rootNode").impurityStats().count() == 3000
+        assert len({s.split("\n", 1)[1] for s in shapes}) == 6
+        told = {(r[U], r[SEQ]): r["predicted"] for r in rul.predict_forest(df, model).collect()}
+        assert told == {k: pytest.approx(v) for k, v in _by_hand(model, [dict(zip((U, SEQ, "role", "a", "b", "c", "same"), r, strict=False)) for r in rows]).items()}
+        assert np.mean([abs(told[r[0], r[1]] - r[-1]) for r in rows]) < 40
+        assert sum(model.stages[-1].featureImportances) == pytest.approx(1) and model.stages[-1].featureImportances[3] == 0
+        model.write().overwrite().save(str(tmp_path / "m"))
+        again = rul.predict_forest(df, PipelineModel.load(str(tmp_path / "m")))
+        assert {(r[U], r[SEQ]): r["predicted"] for r in again.collect()} == told
+
+
+def test_a_grown_tree_takes_the_best_splits():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 4, (200, 2)).astype(np.uint8)
+    n, mean = rng.integers(1, 5, 200), rng.normal(size=200)
+    told = forest.grow(forest.Merged(bins, n, n * mean, n * mean * mean), 4, 2, 2, [1]).set_index("id")
+
+    def error(at):
+        return (n[at] * (mean[at] - np.average(mean[at], weights=n[at])) ** 2).sum() if at.any() else 0
+
+    todo = [(0, np.ones(200, bool))]
+    while todo:
+        i, at = todo.pop()
+        row = told.loc[i]
+        assert (row["n"], row["total"]) == pytest.approx((n[at].sum(), (n * mean)[at].sum()))
+        if row["feature"] >= 0:
+            best = min(error(at & (bins[:, f] <= k)) + error(at & (bins[:, f] > k)) for f in range(2) for k in range(3))
+            left = at & (bins[:, int(row["feature"])] <= row["bin"])
+            assert error(left) + error(at & ~left) == pytest.approx(best)
+            todo += [(row["left"], left), (row["right"], at & ~left)]
+    assert len(told) == 7
